@@ -107,9 +107,11 @@ def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _by_part(part: np.ndarray, of: np.ndarray, values: np.ndarray, parts: int):
     """Yields (part, entity indices, their counts, values); ``of`` ascends within a part."""
+    if not len(part):
+        return
     order = np.argsort(part.astype(np.uint16 if parts <= TOP else np.uint32), kind="stable")
     part, of, values = part[order], of[order], values[order]
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     for a, b in zip(cut, np.r_[cut[1:], len(part)], strict=True):
         o = of[a:b]
         at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
