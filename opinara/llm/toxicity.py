@@ -29,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled texts of each class that the model is fitted on at most.
 PER_CLASS = 3000
@@ -205,7 +206,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     own = [c for c in docs.columns if c not in ("score", "predicted")]
     kept = docs.select(*[F.col(f"`{c}`") for c in own])
     at = own.index("text")
-    schema = kept.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
