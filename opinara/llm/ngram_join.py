@@ -9,9 +9,9 @@ is the connected component of each document.
    first; the others are known by number and stand before them in the order.
 3. The prefix of a set of n is its n - ceil(3n/4) + 1 rarest shingles: similar sets share one of
    them.  Entities whose prefix has no shared shingle are alone.
-4. Prefix entries are joined by shingle.  In two rounds each entity is first compared with one
-   *hub* only (the least entity of its shingle), which joins large groups of copies by as many
-   pairs as they have members.  The last round takes every pair of entities of different
+4. Prefix entries are joined by shingle.  In a few turns each entity is first compared with some
+   *hubs* only (one entity of each shingle), which joins large groups of copies by a few pairs
+   for each member.  The last round takes every pair of entities of different
    components that share a prefix shingle and pass the length and positional filters: after it
    no link between different texts is missing, whatever the group sizes.
 5. Each pair is verified once, on the shared shingles of both, after a suffix filter.
@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.llm.components import contract
@@ -40,9 +41,11 @@ HOT_GRAMS = 1 << 20
 #: A shingle in fewer sets than this is never very frequent.
 HOT_LEAST = 1000
 #: Shingles in one task of the frequency count.
-PER_PART = 2_000_000
+PER_PART = 1_500_000
 #: Shingles of one batch of postings.
-BATCH = 1_500_000
+BATCH = 1_000_000
+#: Hubs that an entity is compared with in one of the later turns, and turns at most.
+HUBS, HUB_TURNS = 4, 6
 TOP = 65_535
 _MASK = np.uint64((1 << GRAM_BITS) - 1)
 
@@ -241,18 +244,25 @@ def verify(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def _may_link(n1, n2, p1, p2):
-    """Length filter, and positional filter for a shingle at places p1 and p2 of the sets."""
+    """Length filter, and positional filter: the rarest shingle that two sets share has no shared one
+    before it, so at places p1 and p2 it leaves room for the whole overlap that a link needs."""
     least, most = F.least(n1, n2), F.greatest(n1, n2)
-    bound = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (100 * least >= 75 * most) & (175 * bound >= 75 * (n1 + n2))
+    need = F.ceil(F.lit(3) * (n1 + n2) / F.lit(7))
+    return (100 * least >= 75 * most) & (p1 + need <= n1) & (p2 + need <= n2)
 
 
-def hub_pairs(entries: DataFrame) -> DataFrame:
-    """One pair (a, b) at most for each entity: with the hub that shares most prefix shingles with it."""
-    hub = entries.groupBy("gram").agg(F.min(F.struct("comp", "sig", "n", "pos")).alias("hub"), F.max("comp").alias("most")).filter("hub.comp < most")
-    near = entries.hint("merge").join(hub, "gram").filter(F.col("comp") > F.col("hub.comp")).filter(_may_link(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
-    counts = near.groupBy("sig", F.col("hub.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    return counts.groupBy(F.col("sig").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+def hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of an entity and a hub of another component: of the hubs of its prefix shingles
+    the one that most of them have in common, in later turns HUBS.  First the least entity of a
+    shingle is its hub, later one by a hash that differs by shingle and turn."""
+    order = F.col("sig") if turn == 0 else F.xxhash64("sig", "gram", F.lit(turn))
+    hub = entries.groupBy("gram").agg(F.min(F.struct(order.alias("at"), "comp", "sig", "n", "pos")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
+    near = entries.hint("merge").join(hub, "gram").filter(F.col("comp") != F.col("hub.comp")).filter(_may_link(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
+    counts = near.groupBy(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    if turn == 0:
+        return counts.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    best = W.partitionBy("a").orderBy(F.col("c").desc(), F.xxhash64("a", "b"))
+    return counts.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= HUBS).select("a", "b")
 
 
 def all_pairs(entries: DataFrame) -> DataFrame:
@@ -266,7 +276,7 @@ def all_pairs(entries: DataFrame) -> DataFrame:
     return near.select(F.col("sig1").alias("a"), F.col("sig2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable by links.  Null, empty and word-less texts have
@@ -281,12 +291,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, hub_rounds: int = 2) -> DataFra
     hot = np.sort(np.array([r[0] for r in frequent.select("gram").collect()], dtype=np.int64).view(np.uint64))  # HOT_GRAMS at most
     entities = shared_grams(docs, k, hot, totals)
     entries = prefix_entries(entities)
-    comps = None
-    for turn in range(hub_rounds + 1):
+    comps, hubs, turn = None, True, 0
+    while True:
         placed = entries.withColumn("comp", F.col("sig")) if comps is None else entries.hint("merge").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        pairs = hub_pairs(placed) if turn < hub_rounds else all_pairs(placed)
+        pairs = written(hub_pairs(placed, turn) if hubs else all_pairs(placed), "join-pairs")
         links = written(verify(pairs, entities), "join-links")
         comps = contract(links, comps)
+        if not hubs:
+            break
+        turn += 1
+        hubs = turn < hub_turns and links.count() * 20 > pairs.count()  # hubs still join groups; all other links come in the last round
     found = rows.filter("gram IS NULL").select("doc_id", "n", "sig")
     root = found.hint("merge").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left")
     root = root.withColumn("root", F.when(F.col("n") > 0, F.coalesce("comp", "sig")))
