@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, langid, mixing, ngram_join, topk, toxicity
+from opinara.llm import chat, langid, linedup, mixing, ngram_join, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -51,6 +56,7 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix_sources,
         "op3_chat_format": op3_chat_format,
         "op4_ngram_join": op4_ngram_join,
+        "op5_line_dedup": op5_line_dedup,
         "op6_top_k": op6_top_k,
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
