@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, langid, linedup, mixing, ngram_join, topk, toxicity
+from opinara.llm import chat, langid, linedup, mixing, ngram_join, pieces, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = pieces.decode(coded, vocabulary)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = toxicity.held_out(F.col("doc_id"))
@@ -58,6 +71,7 @@ def queries() -> dict:
         "op4_ngram_join": op4_ngram_join,
         "op5_line_dedup": op5_line_dedup,
         "op6_top_k": op6_top_k,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
     }
