@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, langid, linedup, mixing, ngram_join, pieces, topk, toxicity
+from opinara.llm import chat, fingerprint, langid, linedup, mixing, ngram_join, pieces, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op7_sentencepiece": op7_sentencepiece,
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
