@@ -1,8 +1,67 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each over all that the stage before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opinara.llm import linedup, mixing, ngram_join, pieces, toxicity
+from opinara.scratch import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _like_documents(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled rows of ``docs``, rejects go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs.select(*COLUMNS), model).filter("predicted = 0").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chunks of lines stay where they stand first; a document of which nothing is left goes."""
+    out = linedup.dedup_lines(docs.select(*COLUMNS))
+    return _like_documents(out.filter("removed_lines = 0 OR removed_lines < n_lines"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group stays."""
+    groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
+    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document that the mix takes twice stands twice."""
+    return mixing.mix_sources(docs.select(*COLUMNS))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, with the proof that they decode to its text."""
+    vocabulary = pieces.Vocabulary()
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), vocabulary)
+    back = pieces.decode(coded, vocabulary)
+    return back.select("doc_id", "source", "ids", F.size("ids").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("mixing", mix_to_weights),
+    ("pieces", encode_pieces),
+]
+
+#: The stages are beyond SQL (compression, chunk hashes, sampling); tests hold each against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, fingerprint, langid, linedup, mixing, ngram_join, pieces, topk, toxicity
+from opinara.llm import chat, fingerprint, langid, linedup, mixing, ngram_join, pieces, pii, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), b"key of the registered query")
+    return out.select("doc_id", "text", "n_found", *[F.coalesce(F.col("found")[k], F.lit(0)).alias(f"n_{k}") for k in pii.KINDS])
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     odd = "\\### Assistant: </turn> ok"
@@ -71,6 +76,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_pii": op2_pii,
         "op3_chat_format": op3_chat_format,
         "op4_ngram_join": op4_ngram_join,
         "op5_line_dedup": op5_line_dedup,
