@@ -12,12 +12,12 @@ is the connected component of each document.
 4. Prefix entries are joined by shingle.  In a few turns each entity is first compared with some
    *hubs* only (one entity of each shingle), which joins large groups of copies by a few pairs
    for each member.  The last round takes every pair of entities of different
-   components that share a prefix shingle and pass the length and positional filters: after it
+   components that share a prefix shingle and pass the length, positional and suffix filters: after it
    no link between different texts is missing, whatever the group sizes.
-5. Each pair is verified once, on the shared shingles of both, after a suffix filter.
+5. Each pair is verified once, on the shared shingles of both.
 
 Very frequent shingles (at most ``HOT_GRAMS``, by count) are not listed by document anywhere;
-they stand last in the order.  Hashes have 48 bits: a pair of sets of 1,000 shingles has a chance
+they stand last in the order, by steps of their count.  Hashes have 48 bits: a pair of sets of 1,000 shingles has a chance
 of about 4e-9 to count one shingle too many.
 """
 
@@ -46,6 +46,10 @@ PER_PART = 1_500_000
 BATCH = 1_000_000
 #: Hubs that an entity is compared with in one of the later turns, and turns at most.
 HUBS, HUB_TURNS = 4, 6
+#: 64-bit words of an entity's bitmap in the last round.
+BITMAP = 8
+#: Classes of document frequency in 16 bits: exact below RARE, above it by steps of a logarithm.
+RARE = 50_000
 TOP = 65_535
 _MASK = np.uint64((1 << GRAM_BITS) - 1)
 
@@ -121,7 +125,7 @@ def _by_part(part: np.ndarray, of: np.ndarray, values: np.ndarray, parts: int):
         yield int(part[a]), o[at], np.diff(np.r_[at, len(o)]), values[a:b]
 
 
-def shared_grams(docs: DataFrame, k: int, hot: np.ndarray, total: int) -> DataFrame:
+def shared_grams(docs: DataFrame, k: int, hot: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
     """(sig, n, keys) of each entity with a shared shingle in its prefix, written.  keys: its shared
     shingles, ascending by (document frequency, hash), as unsigned 64-bit numbers."""
     parts = max(1, -(-total // PER_PART))
@@ -131,8 +135,10 @@ def shared_grams(docs: DataFrame, k: int, hot: np.ndarray, total: int) -> DataFr
         for _, sizes, sets in _sets_of(batches, k):
             sizes, sets, sigs = _distinct(sizes, sets, signatures(sizes, sets))
             of = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-            known = hot_list.value
-            is_hot = known[np.minimum(np.searchsorted(known, sets), len(known) - 1)] == sets if len(known) else np.zeros(len(sets), bool)
+            known, classes = hot_list.value
+            at = np.minimum(np.searchsorted(known, sets), max(0, len(known) - 1))
+            is_hot = known[at] == sets if len(known) else np.zeros(len(sets), bool)
+            ordered = sets[is_hot] | (classes[at[is_hot]] << np.uint64(GRAM_BITS)) if len(known) else sets[:0]
             out = []
             for p, at, n, grams in _by_part(sets[~is_hot] % np.uint64(parts), of[~is_hot], sets[~is_hot], parts):
                 out.append((p, 0, _pack(sigs[at], n, np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())))
@@ -141,7 +147,7 @@ def shared_grams(docs: DataFrame, k: int, hot: np.ndarray, total: int) -> DataFr
             for p, at, _, own in _by_part(home, every, sizes.astype(np.uint64), parts):
                 out.append((p, 1, _pack(sigs[at], own, b"")))
             hot_of = of[is_hot]
-            for p, at, n, grams in _by_part(home[hot_of], hot_of, sets[is_hot] | np.uint64(TOP << GRAM_BITS), parts):
+            for p, at, n, grams in _by_part(home[hot_of], hot_of, ordered, parts):
                 out.append((p, 2, _pack(sigs[at], n, grams.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["part", "kind", "blob"])
 
@@ -158,7 +164,7 @@ def shared_grams(docs: DataFrame, k: int, hot: np.ndarray, total: int) -> DataFr
             of, grams = of[once], grams[once]
             at = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
             df = np.repeat(d := np.diff(np.r_[at, len(grams)]), d)
-            of, keys = of[df > 1], grams[df > 1] | (np.minimum(df[df > 1], TOP - 1).astype(np.uint64) << np.uint64(GRAM_BITS))
+            of, keys = of[df > 1], grams[df > 1] | (np.minimum(df[df > 1], RARE - 1).astype(np.uint64) << np.uint64(GRAM_BITS))
             order = np.argsort(of, kind="stable")
             of, keys = of[order], keys[order]
             for q, o, n, own in _by_part((names[of] % np.uint64(parts)).astype(np.int64), of, keys, parts):
@@ -265,15 +271,42 @@ def hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
     return counts.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= HUBS).select("a", "b")
 
 
-def all_pairs(entries: DataFrame) -> DataFrame:
-    """Every pair of entities of different components that share a prefix shingle and may link."""
+def bitmaps(entities: DataFrame) -> DataFrame:
+    """(sig, alone, b0, ...): number of shingles that no other entity has, and a bitmap of the others."""
+    schema = "sig long, alone int, " + ", ".join(f"b{i} long" for i in range(BITMAP))
+
+    def run(batches):
+        for b in batches:
+            out = np.zeros((b.num_rows, BITMAP), np.uint64)
+            blobs = b.column(2).to_pylist()
+            for row, blob in zip(out, blobs, strict=True):
+                bit = mix(np.frombuffer(blob, np.uint64) & _MASK) % np.uint64(64 * BITMAP)
+                np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            alone = b.column(1).to_numpy() - np.array([len(x) // 8 for x in blobs], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(alone.astype(np.int32)), *[pa.array(out[:, i].view(np.int64)) for i in range(BITMAP)]], ["sig", "alone", *[f"b{i}" for i in range(BITMAP)]])
+
+    return entities.mapInArrow(run, schema)
+
+
+def all_pairs(entries: DataFrame, entities: DataFrame) -> DataFrame:
+    """Every pair of entities of different components that share a prefix shingle and may link.
+
+    Suffix filter: a bit that one bitmap has and the other has not is a shingle that they do not
+    share, so the bits that differ bound the overlap from above before a pair is made.
+    """
     mixed = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram")
-    kept = written(entries.hint("merge").join(mixed, "gram", "left_semi"), "join-open")
-    x = kept.select("gram", *[F.col(c).alias(f"{c}1") for c in ("sig", "n", "pos", "comp")])
-    y = kept.select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "comp")])
-    near = x.hint("merge").join(y, "gram").filter(F.col("comp1") < F.col("comp2"))
-    near = near.filter(_may_link(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2")))
-    return near.select(F.col("sig1").alias("a"), F.col("sig2").alias("b")).distinct()
+    kept = entries.hint("merge").join(mixed, "gram", "left_semi").hint("merge").join(bitmaps(entities), "sig")
+    kept = written(kept, "join-open")
+    own = [c for c in kept.columns if c != "gram"]
+    x = kept.select("gram", *[F.col(c).alias(f"{c}_1") for c in own])
+    y = kept.select("gram", *[F.col(c).alias(f"{c}_2") for c in own])
+    differ = F.col("alone_1") + F.col("alone_2")
+    for i in range(BITMAP):
+        differ = differ + F.bit_count(F.col(f"b{i}_1").bitwiseXOR(F.col(f"b{i}_2")))
+    n = F.col("n_1") + F.col("n_2")
+    near = x.hint("merge").join(y, "gram").filter(F.col("comp_1") < F.col("comp_2"))
+    near = near.filter(_may_link(F.col("n_1"), F.col("n_2"), F.col("pos_1"), F.col("pos_2"))).filter(differ + 2 * F.ceil(3 * n / F.lit(7)) <= n)
+    return near.select(F.col("sig_1").alias("a"), F.col("sig_2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) -> DataFrame:
@@ -288,13 +321,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) ->
     totals = rows.filter("gram IS NULL").agg(F.sum("n")).first()[0] or 0
     least = max(HOT_LEAST, totals // HOT_GRAMS)
     frequent = rows.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("c")).filter(F.col("c") >= least)
-    hot = np.sort(np.array([r[0] for r in frequent.select("gram").collect()], dtype=np.int64).view(np.uint64))  # HOT_GRAMS at most
+    rows_hot = frequent.orderBy("gram").collect()  # HOT_GRAMS at most
+    known = np.array([r[0] for r in rows_hot], dtype=np.int64).view(np.uint64)
+    step = np.log2(np.array([r[1] for r in rows_hot], dtype=float)) * 256
+    hot = known, np.minimum(RARE + step.astype(np.int64), TOP).astype(np.uint64)
     entities = shared_grams(docs, k, hot, totals)
     entries = prefix_entries(entities)
     comps, hubs, turn = None, True, 0
     while True:
         placed = entries.withColumn("comp", F.col("sig")) if comps is None else entries.hint("merge").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        pairs = written(hub_pairs(placed, turn) if hubs else all_pairs(placed), "join-pairs")
+        pairs = written(hub_pairs(placed, turn) if hubs else all_pairs(placed, entities), "join-pairs")
         links = written(verify(pairs, entities), "join-links")
         comps = contract(links, comps)
         if not hubs:
