@@ -126,7 +126,7 @@ def parse_sentiment_reply(df: DataFrame, col: str, string_tag: bool = True) -> D
     label = get("$.sentiment", "string")
     out = df.withColumn("_v", v).withColumns({
         "sentiment": F.when(label.isin(*LABELS), label).otherwise("neutral"),
-        "sentiment_score": F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), number)), F.lit(0.0)),
+        "sentiment_score": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0)))),
         "emotion_tags": F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(F.array(F.lit(CALM))),
     })
     return out.drop("_v")

@@ -54,10 +54,10 @@ def url_entities(df: DataFrame, col: str = "url") -> DataFrame:
     c = F.col(col)
     content = {p: _found(c, r) for p, r in CONTENT_ID.items()}
     creator = {p: _found(c, r) for p, r in CREATOR_ID.items()}
-    bare = F.when(c.rlike("^BV[0-9A-Za-z]{10}$"), F.struct(F.lit("bili"), c)).when(c.rlike("^[0-9a-f]{24}$"), F.struct(F.lit("xhs"), c)).when(c.rlike("^[0-9]{19}$"), F.struct(F.lit("dy"), c))
-    platform = F.coalesce(*[F.when(F.coalesce(content[p], creator[p]).isNotNull(), p) for p in CONTENT_ID], bare["col1"])
+    bare = F.when(c.rlike("^BV[0-9A-Za-z]{10}$"), F.struct(F.lit("bili").alias("p"), c.alias("i"))).when(c.rlike("^[0-9a-f]{24}$"), F.struct(F.lit("xhs").alias("p"), c.alias("i"))).when(c.rlike("^[0-9]{19}$"), F.struct(F.lit("dy").alias("p"), c.alias("i")))
+    platform = F.coalesce(*[F.when(F.coalesce(content[p], creator[p]).isNotNull(), p) for p in CONTENT_ID], bare["p"])
     kind = F.when(c.contains("zhuanlan.zhihu.com/p/"), "article").when(c.rlike("zhihu.com/question/[0-9]+/answer/"), "answer").when(c.contains("zhihu.com/zvideo/"), "video")
-    out = df.withColumns({"platform": platform, "content_id": F.coalesce(*content.values(), bare["col2"]), "creator_id": F.coalesce(*creator.values()), "content_type": kind})
+    out = df.withColumns({"platform": platform, "content_id": F.coalesce(*content.values(), bare["i"]), "creator_id": F.coalesce(*creator.values()), "content_type": kind})
     return out.withColumn("reason", F.when(F.col("platform").isNull(), "no id in the address"))
 
 
