@@ -45,7 +45,7 @@ PER_PART = 1_500_000
 #: Shingles of one batch of postings.
 BATCH = 1_000_000
 #: Hubs that an entity is compared with in one of the later turns, and turns at most.
-HUBS, HUB_TURNS = 4, 6
+HUBS, HUB_TURNS = 4, 4
 #: 64-bit words of an entity's bitmap in the last round.
 BITMAP = 8
 #: Classes of document frequency in 16 bits: exact below RARE, above it by steps of a logarithm.
@@ -235,18 +235,18 @@ def _similar(n1: int, k1: np.ndarray, n2: int, k2: np.ndarray) -> bool:
 
 
 def verify(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Those of the distinct (a, b) pairs that link."""
+    """``pairs`` (a, b, ca, cb: entities and their components), each once, with ``hit``: whether they link."""
     left = entities.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("keys").alias("k1"))
     right = entities.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("keys").alias("k2"))
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "n1", "k1", "n2", "k2")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("ca", "cb", "n1", "k1", "n2", "k2")
 
     def run(batches):
         for x in batches:
-            cols = [c.to_pylist() for c in x.columns]
-            hit = [_similar(n1, np.frombuffer(k1, np.uint64), n2, np.frombuffer(k2, np.uint64)) for _, _, n1, k1, n2, k2 in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            cols = [c.to_pylist() for c in x.columns[2:]]
+            hit = [_similar(n1, np.frombuffer(k1, np.uint64), n2, np.frombuffer(k2, np.uint64)) for n1, k1, n2, k2 in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(hit, pa.bool_())], ["a", "b", "hit"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, hit boolean")
 
 
 def _may_link(n1, n2, p1, p2):
@@ -264,11 +264,11 @@ def hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
     order = F.col("sig") if turn == 0 else F.xxhash64("sig", "gram", F.lit(turn))
     hub = entries.groupBy("gram").agg(F.min(F.struct(order.alias("at"), "comp", "sig", "n", "pos")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
     near = entries.hint("merge").join(hub, "gram").filter(F.col("comp") != F.col("hub.comp")).filter(_may_link(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
-    counts = near.groupBy(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counts = near.groupBy(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("ca"), F.min("hub.comp").alias("cb"))
     if turn == 0:
-        return counts.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        return counts.groupBy("a").agg(F.max_by(F.struct("b", "ca", "cb"), F.struct("c", "b")).alias("x")).select("a", "x.*")
     best = W.partitionBy("a").orderBy(F.col("c").desc(), F.xxhash64("a", "b"))
-    return counts.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= HUBS).select("a", "b")
+    return counts.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= HUBS).select("a", "b", "ca", "cb")
 
 
 def bitmaps(entities: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def all_pairs(entries: DataFrame, entities: DataFrame) -> DataFrame:
     n = F.col("n_1") + F.col("n_2")
     near = x.hint("merge").join(y, "gram").filter(F.col("comp_1") < F.col("comp_2"))
     near = near.filter(_may_link(F.col("n_1"), F.col("n_2"), F.col("pos_1"), F.col("pos_2"))).filter(differ + 2 * F.ceil(3 * n / F.lit(7)) <= n)
-    return near.select(F.col("sig_1").alias("a"), F.col("sig_2").alias("b")).distinct()
+    return near.select(F.col("sig_1").alias("a"), F.col("sig_2").alias("b"), F.col("comp_1").alias("ca"), F.col("comp_2").alias("cb")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) -> DataFrame:
@@ -329,16 +329,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) ->
     entries = prefix_entries(entities)
     comps, hubs, turn = None, True, 0
     while True:
-        placed = entries.withColumn("comp", F.col("sig")) if comps is None else entries.hint("merge").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        pairs = written(hub_pairs(placed, turn) if hubs else all_pairs(placed, entities), "join-pairs")
-        links = written(verify(pairs, entities), "join-links")
-        comps = contract(links, comps)
+        placed = entries.withColumn("comp", F.col("sig")) if comps is None else entries.hint("merge").join(comps, "sig")
+        pairs = hub_pairs(placed, turn) if hubs else all_pairs(placed, entities)
+        checked = written(verify(pairs, entities), "join-checked")
+        roots = contract(checked.filter("hit")).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        known = entities.select("sig", F.col("sig").alias("comp")) if comps is None else comps
+        comps = written(known.hint("merge").join(roots, "comp", "left").select("sig", F.coalesce("root", "comp").alias("comp")), "join-components")
         if not hubs:
             break
         turn += 1
-        hubs = turn < hub_turns and links.count() * 20 > pairs.count()  # hubs still join groups; all other links come in the last round
+        tried, linked = checked.agg(F.count(F.lit(1)), F.count_if("hit")).first()
+        hubs = turn < hub_turns and linked * 20 > tried  # hubs still join groups; all other links come in the last round
     found = rows.filter("gram IS NULL").select("doc_id", "n", "sig")
-    root = found.hint("merge").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left")
+    root = found.hint("merge").join(comps, "sig", "left")
     root = root.withColumn("root", F.when(F.col("n") > 0, F.coalesce("comp", "sig")))
     least_id = root.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
     out = root.hint("merge").join(least_id, "root", "left")
