@@ -29,7 +29,7 @@ from opinara.llm.shingles import mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK, ALPHA, SEED = 50.0, 1.0, 7
 #: Characters that a worker segments at a time; units above LONG characters go one by one.
-CHUNK, LONG = 400_000, 200
+CHUNK, LONG = 1_000_000, 200
 _SPACE, _ODD = 0x2581, 0x10FFFF + 1
 _DENSE = 512
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -89,6 +89,9 @@ class _Trie:
         self.surface = [(p or "").replace("▁", " ").encode() for p in vocabulary.pieces]
         for b in range(256):
             self.surface[self.bytes0 + b] = bytes([b])
+        self.size = np.array([len(b) for b in self.surface], np.int32)
+        self.begin = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(self.surface), np.uint8)
         self.scale = self.weight[self.weight > 0].mean() ** (-1 / 3)
 
     def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
@@ -144,6 +147,7 @@ def _lattice(t: _Trie, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
         at, nodes = at[ok], nodes[ok]
         if not len(at):
             break
+    weight, piece = weight[: length + 1], piece[: length + 1]
     alone = np.flatnonzero(piece[0] < 0)
     c = chars[alone]
     size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
@@ -160,12 +164,11 @@ def _forward(weight: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[n
     first = begin + np.arange(len(begin))
     nodes = n + len(begin)
     # edges by the node they end at, longest first: column j has length depth - j
-    into = np.zeros((depth, nodes))
+    into = np.zeros((nodes, depth))
+    unit = np.repeat(np.arange(len(begin)), size)
     for length in range(1, depth + 1):
         some = np.flatnonzero(weight[length - 1])
-        if len(some):
-            into[depth - length, some + np.searchsorted(begin, some, "right") - 1 + length] = weight[length - 1, some]
-    into = np.ascontiguousarray(into.T)
+        into[some + unit[some] + length, depth - length] = weight[length - 1, some]
     total = np.zeros(nodes + depth)
     total[first + depth] = 1.0
     before = np.lib.stride_tricks.sliding_window_view(total, depth)
@@ -177,11 +180,12 @@ def _forward(weight: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[n
         node = start[: count[i]] + i
         total[node + depth] = np.einsum("ij,ij->i", into[node], before[node])
     into *= before[:nodes]
-    cum = np.cumsum(into[:, ::-1], axis=1)
-    cum /= np.maximum(total[depth:], 1e-300)[:, None]
+    into *= (1.0 / np.maximum(total[depth:], 1e-300))[:, None]
+    cum = into[:, ::-1].astype(np.float32)
+    np.cumsum(cum, axis=1, out=cum)
     # rounding must not lead beyond the longest piece there is
-    cum[cum >= 1 - 1e-12] = 2.0
-    return cum.astype(np.float32), first
+    cum[cum >= 1 - 5e-7] = 2.0
+    return cum, first
 
 
 def _draw(key: np.ndarray, step: int) -> np.ndarray:
@@ -194,13 +198,13 @@ def _long_unit(t: _Trie, chars: np.ndarray, key: np.uint64) -> list[int]:
     weight, piece = _lattice(t, chars, np.full(n, n))
     log = [0.0] + [-math.inf] * n
     for i in range(1, n + 1):
-        terms = [log[i - k] + math.log(w) for k in range(1, min(i, t.depth) + 1) if (w := weight[k - 1, i - k]) > 0]
+        terms = [log[i - k] + math.log(w) for k in range(1, min(i, len(weight)) + 1) if (w := weight[k - 1, i - k]) > 0]
         m = max(terms)
         log[i] = m + math.log(sum(math.exp(x - m) for x in terms))
     out, i, step = [], n, 0
     while i:
         u, s = float(_draw(np.array([key]), step)[0]), 0.0
-        for k in range(1, min(i, t.depth) + 1):
+        for k in range(1, min(i, len(weight)) + 1):
             if (w := weight[k - 1, i - k]) > 0:
                 last = k
                 s += math.exp(log[i - k] + math.log(w) - log[i])
@@ -217,6 +221,7 @@ def _segment(t: _Trie, texts: list[str], keys: list[int]) -> list[np.ndarray]:
     parts = [_symbols(x) for x in texts]
     sizes = np.array([len(p) for p in parts])
     chars = np.concatenate(parts)
+    del parts
     # units begin at a text's begin, at a run of spaces, and before and after a line feed
     cut = np.zeros(len(chars), bool)
     cut[np.cumsum(sizes) - sizes] = True
@@ -310,11 +315,20 @@ def segment_texts(vocabulary: Vocabulary, texts: list[str | None], keys: list, a
     return out
 
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int] | None, alpha: float = ALPHA) -> str | None:
-    if ids is None:
-        return None
-    surface = _trie(vocabulary, alpha).surface
-    return b"".join([surface[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+def decode_all(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Texts of piece ids that stand one after another, each up to one of ``ends``."""
+    t = _trie(vocabulary, ALPHA)
+    size = t.size[ids]
+    upto = np.cumsum(size, dtype=np.int64)
+    # where each byte stands in the table of surfaces
+    at = np.repeat(t.begin[ids] - (upto - size), size)
+    raw = t.raw[at + np.arange(len(at))].tobytes()
+    cut = np.r_[0, upto][ends].tolist()
+    return [raw[a + 1 : b].decode("utf-8", "surrogatepass") if b > a else "" for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
+
+def decode_ids(vocabulary: Vocabulary, ids: list[int] | None) -> str | None:
+    return None if ids is None else decode_all(vocabulary, np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", column: str = "text", to: str = "ids") -> DataFrame:
@@ -331,8 +345,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, alpha: float = ALPHA, seed:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                x = b.slice(start, 256)
+            for start in range(0, b.num_rows, 512):
+                x = b.slice(start, 512)
                 ids = segment_texts(shared.value, x.column(at).to_pylist(), x.column(by).to_pylist(), alpha, seed)
                 ends = np.cumsum([0 if i is None else len(i) for i in ids])
                 flat = np.concatenate([np.zeros(0, np.int32), *[i for i in ids if i is not None]])
@@ -354,7 +368,10 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 x = b.slice(start, 256)
-                texts = [decode_ids(shared.value, i) for i in x.column(at).to_pylist()]
+                lists = x.column(at)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
+                texts = [y if ok else None for y, ok in zip(decode_all(shared.value, flat, ends), lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.array(texts, pa.string())], [*x.schema.names, to])
 
     return kept.mapInArrow(run, schema)
