@@ -41,7 +41,7 @@ HOT_GRAMS = 1 << 20
 #: A shingle in fewer sets than this is never very frequent.
 HOT_LEAST = 1000
 #: Shingles in one task of the frequency count.
-PER_PART = 1_500_000
+PER_PART = 1_000_000
 #: Shingles of one batch of postings.
 BATCH = 1_000_000
 #: Hubs that an entity is compared with in one of the later turns, and turns at most.
@@ -56,7 +56,7 @@ _MASK = np.uint64((1 << GRAM_BITS) - 1)
 
 def _sets_of(batches: Iterator[pa.RecordBatch], k: int):
     """Of each run of texts with some BATCH shingles: first row in the batch, ids, sizes, sets."""
-    for batch in batches:
+    for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         held, n, first = [], 0, 0
