@@ -52,7 +52,7 @@ def contract(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, comp) of every node in ``links`` (a, b: long, written): comp is its component's least node."""
     if links.count() <= one_task:
         return written(_in_one_task(links), "components")
-    comps = None
+    comps, links = None, links.select("a", "b").filter("a != b")
     while True:
         if comps is not None:
             for end in ("a", "b"):

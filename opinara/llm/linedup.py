@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.llm.memory import release
 from opinara.scratch import written
 
 #: Lines that decide on a boundary; one in BOUNDARY lines ends a chunk; most lines of a chunk.
@@ -71,7 +72,7 @@ def proposed_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, chunk, key, keeper) of chunks whose hash occurs more than once, written."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             ids, marks, numbers, keys = [], [], [], []
             for doc_id, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines, chunks = _chunks(text)
@@ -156,5 +157,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     counts.append((len(lines), len(gone), len(lines) - len(left)))
                 cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(x.columns[:-1])]
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.array(v, pa.int64()) for v in zip(*counts, strict=True)]], [*own, *ADDED])
+        release()
 
     return both.mapInArrow(run, schema)

@@ -33,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.llm.components import contract
+from opinara.llm.memory import release
 from opinara.llm.shingles import GRAM_BITS, mix, shingle_sets, signatures
 from opinara.scratch import written
 
@@ -68,6 +69,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], k: int):
                 held, n, first = [], 0, a + len(sizes)
         if held:
             yield ids[first:], np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    release()
 
 
 def _distinct(sizes: np.ndarray, sets: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,6 +171,7 @@ def shared_grams(docs: DataFrame, k: int, hot: tuple[np.ndarray, np.ndarray], to
             of, keys = of[order], keys[order]
             for q, o, n, own in _by_part((names[of] % np.uint64(parts)).astype(np.int64), of, keys, parts):
                 out.append((q, 0, _pack(names[o], n, own.tobytes())))
+        release()
         home = pdf[pdf.kind > 0]
         out += zip(home.part, home.kind, home.blob, strict=True)
         return pd.DataFrame(out, columns=["part", "kind", "blob"])
@@ -241,10 +244,11 @@ def verify(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("ca", "cb", "n1", "k1", "n2", "k2")
 
     def run(batches):
-        for x in batches:
+        for x in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             cols = [c.to_pylist() for c in x.columns[2:]]
             hit = [_similar(n1, np.frombuffer(k1, np.uint64), n2, np.frombuffer(k2, np.uint64)) for n1, k1, n2, k2 in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(hit, pa.bool_())], ["a", "b", "hit"])
+        release()
 
     return both.mapInArrow(run, "a long, b long, hit boolean")
 

@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from opinara.llm.memory import release
 from opinara.llm.shingles import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK, ALPHA, SEED = 50.0, 1.0, 7
 #: Characters that a worker segments at a time; units above LONG characters go one by one.
-CHUNK, LONG = 1_000_000, 200
+CHUNK, LONG = 500_000, 200
 _SPACE, _ODD = 0x2581, 0x10FFFF + 1
 _DENSE = 512
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -345,13 +346,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, alpha: float = ALPHA, seed:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for start in range(0, b.num_rows, 512):
-                x = b.slice(start, 512)
+            for start in range(0, b.num_rows, 256):
+                x = b.slice(start, 256)
                 ids = segment_texts(shared.value, x.column(at).to_pylist(), x.column(by).to_pylist(), alpha, seed)
                 ends = np.cumsum([0 if i is None else len(i) for i in ids])
                 flat = np.concatenate([np.zeros(0, np.int32), *[i for i in ids if i is not None]])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat), mask=pa.array([i is None for i in ids]))
                 yield pa.RecordBatch.from_arrays([*x.columns, lists], [*x.schema.names, to])
+        release()
 
     return kept.mapInArrow(run, schema)
 
@@ -373,5 +375,6 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str
                 ends = np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
                 texts = [y if ok else None for y, ok in zip(decode_all(shared.value, flat, ends), lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.array(texts, pa.string())], [*x.schema.names, to])
+        release()
 
     return kept.mapInArrow(run, schema)

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.llm.memory import release
+
 #: Labelled texts of each class that the model is fitted on at most.
 PER_CLASS = 3000
 LEVEL, THRESHOLD = 12, 0.7
@@ -39,7 +41,7 @@ DISTINCT, EACH, LEAST, SUPPORT, WORTH, RATIO, SHARP = 96, 8, 5, 0.02, 0.1, 6, 40
 #: Texts of more words than this count as if they had so many.
 LONG = 800
 #: Word distances that a worker keeps at a time.
-KEPT = 300_000
+KEPT = 100_000
 #: Distances at which a word goes to the next class of telling words.
 STEPS = (4, 7, 10, 13)
 _CLASS = [sum(d >= s for s in STEPS) for d in range(32)]
@@ -106,7 +108,7 @@ def _placed(word: str) -> bytes:
     return b"".join(out)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _compressors(contents: tuple[bytes, ...]):
     made = []
     for content in contents:
@@ -214,5 +216,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
                 x = b.slice(start, 512)
                 s = score_texts(model, x.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*x.schema.names, "score", "predicted"])
+        _compressors.cache_clear()
+        release()
 
     return kept.mapInArrow(run, schema)
