@@ -323,6 +323,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) ->
     """
     rows = document_sets(docs, k)
     totals = rows.filter("gram IS NULL").agg(F.sum("n")).first()[0] or 0
+    if not totals:
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     least = max(HOT_LEAST, totals // HOT_GRAMS)
     frequent = rows.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("c")).filter(F.col("c") >= least)
     rows_hot = frequent.orderBy("gram").collect()  # HOT_GRAMS at most

@@ -86,7 +86,7 @@ def test_chat_round_trip(spark):
     win = chat.chat_windows(df)
     w = win.collect()
     for r in w:
-        assert r.tokens - sum(0 for _ in ()) >= 0 and r.formatted.count("</turn>\n") == r.context_turns + r.own_turns
+        assert r.formatted.count("</turn>\n") == r.context_turns + r.own_turns
     got = {r.conv_id: r for r in chat.read_back(win).collect()}
     by = collections.defaultdict(list)
     for c, t, role, x in rows:
@@ -157,7 +157,7 @@ def test_ngram_join_empty(spark):
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, one_task):
     rng = random.Random(4)
-    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
+    links = [(rng.randrange(30), rng.randrange(30)) for _ in range(14)] + [(i, i + 1) for i in range(100, 106)]
     got = {r.node: r.comp for r in components.contract(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
