@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from opinara.scratch import BROADCAST_ROWS, small_side, written
 
 WEIGHTS, SHARE, MAX_REPEAT = (5, 2, 1), 1.5, 2
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 10, 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
