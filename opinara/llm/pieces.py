@@ -31,6 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK, ALPHA, SEED = 50.0, 1.0, 7
 #: Characters that a worker segments at a time; units above LONG characters go one by one.
 CHUNK, LONG = 500_000, 200
+#: Forward sums beyond this, or below one over it, are rescaled.
+FAR = 1e100
 _SPACE, _ODD = 0x2581, 0x10FFFF + 1
 _DENSE = 512
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -179,9 +181,17 @@ def _forward(weight: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[n
     start = first[order]
     for i in range(1, longest + 1):
         node = start[: count[i]] + i
-        total[node + depth] = np.einsum("ij,ij->i", into[node], before[node])
-    into *= before[:nodes]
-    into *= (1.0 / np.maximum(total[depth:], 1e-300))[:, None]
+        share = into[node]
+        share *= before[node]
+        sums = share.sum(1)
+        share /= sums[:, None]
+        into[node] = share
+        total[node + depth] = sums
+        far = (sums < 1 / FAR) | (sums > FAR)
+        if far.any():
+            # only ratios count: the sums that later nodes of the unit read are divided by the last one
+            at = node[far][:, None] + depth - np.arange(min(i + 1, depth))
+            total[at] /= sums[far][:, None]
     cum = into[:, ::-1].astype(np.float32)
     np.cumsum(cum, axis=1, out=cum)
     # rounding must not lead beyond the longest piece there is

@@ -274,6 +274,32 @@ def test_pieces_are_drawn_in_proportion():
     assert pieces._long_unit(t, long, np.uint64(5))  # the path for very long units covers the same lattice
 
 
+@pytest.mark.parametrize("chars", ["的一是不了人我在有他", "龘靐齉爩鱻麤龗灪籲鸞", "\U0001f642\U0001f9ff\U0001fab6\U0001f6f8", "日本語の文は空白なしで続く", "ประเทศไทย", "a\U0001fab6的=-\U00020000"])
+def test_pieces_of_units_without_spaces(chars):
+    v, rng = pieces.Vocabulary(), random.Random(13)
+    texts = ["".join(rng.choice(chars) for _ in range(n)) for n in range(20, pieces.LONG + 4)]
+    ids = pieces.segment_texts(v, texts, list(range(len(texts))))
+    assert [pieces.decode_ids(v, list(x)) for x in ids] == texts
+
+
+def test_forward_sums_of_long_units_are_those_in_logarithms():
+    t = pieces._trie(pieces.Vocabulary(), 1.0)
+    for text in ("龘靐" * 90, "\U0001fab6a" * 60, "=" * 150, "thing的" * 30):
+        chars = pieces._symbols(text)
+        n = len(chars)
+        weight, piece = pieces._lattice(t, chars, np.full(n, n))
+        cum, first = pieces._forward(weight, np.array([0]), np.array([n]))
+        log = np.full(n + 1, -np.inf)
+        log[0] = 0
+        for i in range(1, n + 1):
+            k = np.arange(1, min(i, len(weight)) + 1)
+            with np.errstate(divide="ignore"):
+                terms = log[i - k] + np.log(weight[k - 1, i - k])
+            log[i] = np.logaddexp.reduce(terms)
+            want = np.cumsum(np.exp(terms - log[i]))
+            assert np.allclose(np.minimum(cum[first[0] + i, : len(k)], 1), want, atol=1e-5)
+
+
 # ---- language and toxicity
 
 
