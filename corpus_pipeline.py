@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines stay where they stand first; a document of which nothing is left goes."""
-    out = linedup.dedup_lines(docs.select(*COLUMNS))
+    """Passages of two lines or more stay where they stand first; a document of which nothing is left goes."""
+    out = linedup.dedup_passages(docs.select(*COLUMNS))
     return _like_documents(out.filter("removed_lines = 0 OR removed_lines < n_lines"))
 
 

@@ -1,10 +1,14 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated passages, and by content-defined chunks of lines.
 
-A line's hash, combined with those of the lines before it, decides whether a chunk ends there: the
-boundary depends on the last ``WINDOW`` lines alone, so the same passage is cut alike wherever it
-stands.  Chunks of two lines or more that occur more than once over the corpus are removed but for
-their first occurrence (least doc_id, then place).  Hashes only propose; the bytes of every proposed
-chunk are compared before anything is removed.
+``dedup_passages`` takes every two neighbouring lines as a unit, so no passage of two lines or more
+is missed wherever it stands: each pair that occurs more than once over the corpus is removed but
+for its first occurrence (least doc_id, then place), and a passage is the union of its pairs.
+
+``dedup_lines`` takes chunks alone: a line's hash, combined with those of the lines before it,
+decides whether a chunk ends there, but not within two lines of the chunk's begin.  Lines at the
+edges of a passage may stand in chunks with others, so it removes less.
+
+Hashes only propose; the bytes of every proposed unit are compared before anything is removed.
 
 Counts per chunk are aggregated before they are shuffled, so a chunk that a third of all documents
 have is no hot key; texts are shuffled by document only.
@@ -12,7 +16,7 @@ have is no hot key; texts are shuffled by document only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -45,9 +49,14 @@ def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def _chunks(text: str | None) -> tuple[list[bytes], list[tuple[int, int]]]:
+def line_pairs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Every two neighbouring lines."""
+    return [(i, i + 2) for i in range(len(lines) - 1)]
+
+
+def _chunks(text: str | None, cut: Callable) -> tuple[list[bytes], list[tuple[int, int]]]:
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    return lines, chunk_lines(lines)
+    return lines, cut(lines)
 
 
 def _key(lines: list[bytes], a: int, b: int) -> int:
@@ -68,14 +77,14 @@ def _on(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["_id"]) & (left["mark"] == right["_mark"])
 
 
-def proposed_chunks(docs: DataFrame) -> DataFrame:
+def proposed_chunks(docs: DataFrame, cut: Callable = chunk_lines) -> DataFrame:
     """(doc_id, mark, chunk, key, keeper) of chunks whose hash occurs more than once, written."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             ids, marks, numbers, keys = [], [], [], []
             for doc_id, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lines, chunks = _chunks(text)
+                lines, chunks = _chunks(text, cut)
                 for i, (x, y) in enumerate(chunks):
                     if y - x > 1:
                         ids.append(doc_id)
@@ -89,7 +98,7 @@ def proposed_chunks(docs: DataFrame) -> DataFrame:
     return written(chunks.hint("merge").join(often, "key").withColumn("keeper", _place() == F.col("first")).drop("first").distinct(), "dedup-proposed")
 
 
-def _texts_of(docs: DataFrame, proposed: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, proposed: DataFrame, cut: Callable) -> DataFrame:
     """The proposed chunks with their bytes."""
     lists = proposed.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("chunk", "key")).alias("want"))
     keyed = _keyed(docs)
@@ -100,7 +109,7 @@ def _texts_of(docs: DataFrame, proposed: DataFrame) -> DataFrame:
             for start in range(0, b.num_rows, 256):
                 out = []
                 for r in b.slice(start, 256).to_pylist():
-                    lines, chunks = _chunks(r["text"])
+                    lines, chunks = _chunks(r["text"], cut)
                     for w in r["want"]:
                         x, y = chunks[w["chunk"]]
                         out.append({"doc_id": r["doc_id"], "mark": r["mark"], "chunk": w["chunk"], "key": w["key"], "bytes": b"\n".join(lines[x:y])})
@@ -110,21 +119,35 @@ def _texts_of(docs: DataFrame, proposed: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "doc_id long, mark long, chunk int, key long, bytes binary")
 
 
-def compared(docs: DataFrame, proposed: DataFrame) -> DataFrame:
-    """(doc_id, mark, chunk) to remove, after comparing bytes: grouping by the bytes themselves."""
-    texts = _texts_of(docs, proposed)
+def _verified(docs: DataFrame, proposed: DataFrame, cut: Callable) -> DataFrame:
+    """(doc_id, mark, chunk, keeper) of repeated units, after comparing bytes: grouping by the bytes themselves."""
+    texts = _texts_of(docs, proposed, cut)
     unequal = written(texts.groupBy("key", "bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("key"), "dedup-unequal")
-    removed = proposed.filter(~F.col("keeper"))
-    if unequal.head(1):
-        # one hash for different texts: such chunks are kept or removed by their bytes alone
-        own = written(_texts_of(docs, proposed.hint("merge").join(unequal, "key", "left_semi")), "dedup-texts")
-        first = own.groupBy("key", "bytes").agg(F.min(_place()).alias("first"))
-        more = own.hint("merge").join(first, ["key", "bytes"]).filter(_place() != F.col("first"))
-        removed = removed.hint("merge").join(unequal, "key", "left_anti").select("doc_id", "mark", "chunk").unionByName(more.select("doc_id", "mark", "chunk"))
-    return removed.select("doc_id", "mark", "chunk")
+    columns = ["doc_id", "mark", "chunk", "keeper"]
+    if not unequal.head(1):
+        return proposed.select(*columns)
+    # one hash for different texts: such chunks are kept or removed by their bytes alone
+    own = written(_texts_of(docs, proposed.hint("merge").join(unequal, "key", "left_semi"), cut), "dedup-texts")
+    first = own.groupBy("key", "bytes").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    more = own.hint("merge").join(first, ["key", "bytes"]).withColumn("keeper", _place() == F.col("first"))
+    return proposed.hint("merge").join(unequal, "key", "left_anti").select(*columns).unionByName(more.select(*columns))
+
+
+def compared(docs: DataFrame, proposed: DataFrame, cut: Callable = chunk_lines) -> DataFrame:
+    """(doc_id, mark, chunk) to remove, after comparing bytes."""
+    return _verified(docs, proposed, cut).filter(~F.col("keeper")).select("doc_id", "mark", "chunk")
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """As ``dedup_lines``, for every repeated passage of two lines or more.
+
+    A line that also belongs to the first occurrence of another repeated pair stays.
+    ``removed_chunks`` counts the runs of lines that are removed.
+    """
+    return dedup_lines(docs, line_pairs)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, cut: Callable = chunk_lines) -> DataFrame:
     """``docs`` with ``text`` rid of repeated chunks, and n_lines, removed_chunks, removed_lines.
 
     Lines end at a line feed.  A null text stays null and has no lines, an empty one has one line.
@@ -132,30 +155,31 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     is removed as a whole becomes empty.  A null doc_id is later than any other.  Other columns are
     kept, those of the added names replaced; an empty table gives an empty one.
     """
-    removed = compared(docs, proposed_chunks(docs))
-    lists = removed.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("chunk").alias("_drop"))
+    units = _verified(docs, proposed_chunks(docs, cut), cut)
+    sides = [F.collect_set(F.when(F.col("keeper") == F.lit(k), F.col("chunk"))).alias(c) for k, c in ((False, "_drop"), (True, "_stay"))]
+    lists = units.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(*sides).filter("size(_drop) > 0")
     own = [c for c in docs.columns if c not in ADDED]
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    both = kept.hint("merge").join(lists, _on(kept, lists), "left").select("row.*", "_drop")
+    both = kept.hint("merge").join(lists, _on(kept, lists), "left").select("row.*", "_drop", "_stay")
     at = own.index("text")
-    schema = T.StructType([*both.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in ADDED]])
+    schema = T.StructType([*both.schema.fields[:-2], *[T.StructField(c, T.LongType()) for c in ADDED]])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 x = b.slice(start, 512)
                 texts, counts = [], []
-                for text, drop in zip(x.column(at).to_pylist(), x.column(x.num_columns - 1).to_pylist(), strict=True):
+                for text, drop, stay in zip(*(x.column(i).to_pylist() for i in (at, x.num_columns - 2, x.num_columns - 1)), strict=True):
                     if not drop:
                         texts.append(text)
                         counts.append((0 if text is None else text.count("\n") + 1, 0, 0))
                         continue
-                    lines, chunks = _chunks(text)
-                    gone = set(drop)
-                    left = [line for i, (p, q) in enumerate(chunks) if i not in gone for line in lines[p:q]]
-                    texts.append(b"\n".join(left).decode("utf-8", "surrogatepass"))
-                    counts.append((len(lines), len(gone), len(lines) - len(left)))
-                cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(x.columns[:-1])]
+                    lines, chunks = _chunks(text, cut)
+                    gone = {i for c in drop for i in range(*chunks[c])} - {i for c in stay for i in range(*chunks[c])}
+                    texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone).decode("utf-8", "surrogatepass"))
+                    runs = sum(i - 1 not in gone for i in gone) if cut is line_pairs else len(drop)
+                    counts.append((len(lines), runs, len(gone)))
+                cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(x.columns[:-2])]
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.array(v, pa.int64()) for v in zip(*counts, strict=True)]], [*own, *ADDED])
         release()
 

@@ -206,6 +206,24 @@ def test_line_dedup(spark):
     assert linedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_planted_passages_go_whole(spark):
+    rng = random.Random(14)
+    own = [[f"{i} {j} {text(rng, 6)}" for j in range(rng.randrange(2, 9))] for i in range(120)]
+    want = {i: list(x) for i, x in enumerate(own)}
+    for k in range(60):
+        passage = [f"passage {k} {j} {text(rng, 8)}" for j in range(3 + k % 6)]
+        for i in (k, 60 + k):
+            at = rng.randrange(len(own[i]) + 1)
+            own[i] = own[i][:at] + passage + own[i][at:]
+        want[k] = own[k]
+    rows = [(i, "\n".join(x), None) for i, x in enumerate(own)]
+    got = {r.doc_id: r for r in linedup.dedup_passages(docs(spark, rows + ODD)).collect()}
+    assert all(got[i].text == "\n".join(x) for i, x in want.items())
+    assert all((got[60 + k].removed_chunks, got[60 + k].removed_lines) == (1, 3 + k % 6) for k in range(60))
+    assert [r.text for r in linedup.dedup_passages(docs(spark, [(1, "a\na\na\na", None), (2, "x\na\na\ny", None), (None, "x\na", None)])).orderBy(F.col("doc_id").asc_nulls_last()).collect()] == ["a\na", "x\na\ny", ""]
+    assert linedup.dedup_passages(docs(spark, [])).count() == 0
+
+
 def test_line_dedup_with_one_hash_for_different_texts(spark, monkeypatch):
     rows = [(1, "a\nb", None), (2, "c\nd", None), (3, "a\nb", None)]
     base = linedup.proposed_chunks(docs(spark, rows).withColumn("text", F.lit("same\nlines")))
