@@ -6,7 +6,11 @@ the pseudonym has the same format and is valid again, equal values get equal pse
 document, different values different ones, and the key's owner can invert it.  Where the range is no
 product of two halves the network is walked until it is back inside.
 
-Runs of digits that fail their check are no personal numbers and stay as they are.
+Runs of digits that fail their check are no personal numbers and stay as they are; but a candidate
+that fails is searched for valid values inside it: from its begin to each border of its groups (an
+IBAN first by its country's length), then from the next group on.  Where candidates overlap, the
+permutation is walked until the same ones are valid as before, so that the inverse finds the same
+values; such a value's pseudonym can differ from that of its equals elsewhere.
 
 The work is one pass over Arrow batches with nothing shuffled or shared but the key.
 """
@@ -39,6 +43,16 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
 )
 _HINT = re.compile(r"[0-9@]")
+#: Characters behind a value that its candidates reach at most, and values before it whose candidates reach it, with room.
+AHEAD, BEFORE = 400, 4
+_GROUP = re.compile(r"[A-Za-z0-9]+")
+# Digits of the groups of printed cards, and lengths of IBANs by country.
+CARDS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
+_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+IBANS = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
 
 
 def _round(key: bytes, tweak: str, i: int, x: int) -> int:
@@ -153,17 +167,75 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> tuple[st
     return kind, _fill(value, body + str((10 - luhn(body + "0")) % 10))
 
 
-def pseudonymize_text(text: str, key: bytes, counts: dict[str, int], back: bool = False) -> str:
-    """``text`` with every validated value replaced; ``counts`` is added to by kind."""
+def _trials(kind: str, value: str) -> list[int]:
+    """Ends of the values to try in a candidate, from its begin, in order; they depend on its format alone."""
+    if kind not in ("card", "iban"):
+        return [len(value)]
+    ends = [g.end() for g in _GROUP.finditer(value)]
+    sizes = [g.end() - g.start() for g in _GROUP.finditer(value)]
+    total = {end: sum(sizes[: i + 1]) for i, end in enumerate(ends)}
+    longest = ends[::-1]
+    if kind == "iban":
+        return sorted((e for e in longest if total[e] >= 12), key=lambda e: total[e] != IBANS.get(value[:2]))
+    whole = [e for e in longest if 13 <= total[e] <= 19]
+    return sorted(whole, key=lambda e: tuple(sizes[: ends.index(e) + 1]) not in CARDS)
+
+
+def _values(text: str, pos: int, key: bytes, back: bool) -> Iterator[tuple[str, int, int, int, bool]]:
+    """(kind, begin, end, begin of the first candidate since the value before, whether candidates
+    overlap it) of each valid value from ``pos`` on."""
+    reach, first = pos, -1
+    while m := PATTERN.search(text, pos):
+        first = m.start() if first < 0 else first
+        trials = _trials(m.lastgroup, m[0])
+        end = next((e for e in trials if pseudonym(m.lastgroup, m[0][:e], key, back)), 0)
+        near = m.start() < reach or end != trials[0] or end != len(m[0])
+        reach = max(reach, m.end())
+        if end:
+            pos = m.start() + end
+            yield m.lastgroup, m.start(), pos, first, near
+            first = -1
+        else:
+            after = _GROUP.match(text, m.start())
+            group = _GROUP.search(text, after.end() if after else m.start() + 1, m.end())
+            pos = group.start() if group else m.end()
 
-    def replace(m: re.Match) -> str:
-        made = pseudonym(m.lastgroup, m[0], key, back)
-        if not made:
-            return m[0]
-        counts[made[0]] = counts.get(made[0], 0) + 1
-        return made[1]
 
-    return PATTERN.sub(replace, text)
+def pseudonymize_text(text: str, key: bytes, counts: dict[str, int], back: bool = False) -> str:
+    """``text`` with every validated value replaced; ``counts`` is added to by kind."""
+    found = list(_values(text, 0, key, back))
+    if not found:
+        return text
+    ends = [0, *[v[2] for v in found]]
+    gaps = [text[e : v[1]] for e, v in zip(ends, found, strict=False)] + [text[ends[-1] :]]
+    values = [text[v[1] : v[2]] for v in found]
+
+    def same(i: int) -> bool:
+        """Whether the candidates that can touch value i give the same values up to it."""
+        lo = max(0, i - BEFORE)
+        cut = found[lo][3] - ends[lo]
+        lead = ((values[lo - 1] if lo else "") + gaps[lo][:cut])[-2:]
+        parts, want, at = [lead, gaps[lo][cut:]], [], len(lead) + len(gaps[lo]) - cut
+        for j in range(lo, i + 1):
+            want.append((found[j][0], at, at + len(values[j])))
+            parts += [values[j], gaps[j + 1][:AHEAD] if j == i else gaps[j + 1]]
+            at += len(values[j]) + len(gaps[j + 1])
+        j, room = i + 1, AHEAD - len(gaps[i + 1])
+        while j < len(values) and room > 0:
+            parts += [values[j], gaps[j + 1][:AHEAD]]
+            room -= len(values[j]) + len(gaps[j + 1])
+            j += 1
+        got = _values("".join(parts), len(lead), key, back)
+        return all(next(got, ("",) * 3)[:3] == w for w in want)
+
+    # the last value first, and the inverse the other way, so that both see the same neighbours
+    for i in range(len(found)) if back else reversed(range(len(found))):
+        kind, _, _, _, near = found[i]
+        counts[kind] = counts.get(kind, 0) + 1
+        values[i] = pseudonym(kind, values[i], key, back)[1]
+        while near and not same(i):
+            values[i] = pseudonym(kind, values[i], key, back)[1]
+    return gaps[0] + "".join(v + g for v, g in zip(values, gaps[1:], strict=True))
 
 
 def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:

@@ -392,6 +392,24 @@ def test_permutations_and_round_trips(spark):
     assert back[1] == t
 
 
+def test_values_inside_longer_candidates():
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    rng = random.Random(15)
+    texts = [f"{card} 05/27", f"{card} 123", f"{card} 05", "12 4111111111111111", "4111111111111111 9999 x", f"order 1234 5678 {card} end", "378282246310005 1234", f"{iban} ABC", "DE89 3704 0044 0532 0130 00 1234 CODE", f"ES91 2100 0418 4502 0005 1332 NEXT WORD {card}", "NO93 8601 1117 947 ABCD"]
+    texts += [f"{rng.randrange(10 ** rng.randrange(1, 6))} {card} {rng.randrange(10 ** rng.randrange(1, 6))} 2024-02-29" for _ in range(300)]
+    texts += [" ".join(str(rng.randrange(10 ** rng.randrange(1, 8))) for _ in range(40)) for _ in range(100)]
+    texts.append(" ".join(str(rng.randrange(1000)) for _ in range(3000)))
+    for n, t in enumerate(texts):
+        counts = {}
+        out = pii.pseudonymize_text(t, b"k", counts)
+        if n < 311:
+            assert counts, t
+        if n < 11:
+            for whole in (card, card.replace(" ", ""), "378282246310005", "WEST 1234", "DE89 3704 0044", "2100 0418", "8601 1117"):
+                assert whole not in out, (t, out)
+        assert len(out) == len(t) and pii.pseudonymize_text(out, b"k", {}, back=True) == t
+
+
 # ---- fingerprints
 
 
