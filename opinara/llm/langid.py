@@ -30,6 +30,10 @@ ORDERS = (1, 2, 3)
 SWITCH = 6.0
 #: A word's evidence is bounded, so that one odd word can't outweigh its neighbours.
 BOUND = 12.0
+#: A word's evidence against languages that don't use its script; no neighbours outweigh it.
+BARRED = 1000.0
+#: Begins the names of scripts among the n-grams; no word has it.
+_MARK = "\x00"
 #: Words whose scores a worker keeps at a time.
 KEPT = 200_000
 # Unicode script blocks, as (first, last) code points.
@@ -96,29 +100,29 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 for w, n in Counter(words_of(text)).items():
                     for g in _grams(w):
                         c[g] += n
-                    c[f"\\x00{script_of(w[0])}"] += n
+                    c[f"{_MARK}{script_of(w[0])}"] += n
         for lang, c in total.items():
             yield pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())})
 
     sums = drawn.select("text", "lang").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = F.row_number().over(W.partitionBy("lang").orderBy(F.col("gram").startswith(_MARK).desc(), F.desc("n"), "gram"))
     top: dict[str, dict[str, int]] = {lang: {} for lang in sorted(sizes)}
-    for r in sums.filter("n > 1").withColumn("i", best).filter(F.col("i") <= PER_MODEL).collect():  # PER_MODEL rows a language
+    for r in sums.filter("n > 1").withColumn("i", best).filter(F.col("i") <= PER_MODEL + len(SCRIPTS) + 1).collect():  # PER_MODEL rows a language
         top[r.lang][r.gram] = r.n
     langs = tuple(sorted(top))
     scripts: dict[str, np.ndarray] = {}
     for i, lang in enumerate(langs):
-        own = {g[1:]: n for g, n in top[lang].items() if g[0] == "\x00"}
+        own = {g[1:]: n for g, n in top[lang].items() if g[0] == _MARK}
         for name, n in own.items():
             if n >= 0.01 * sum(own.values()):
                 scripts.setdefault(name, np.zeros(len(langs), bool))[i] = True
-    total = np.array([max(1, sum(n for g, n in top[x].items() if g[0] != "\x00")) for x in langs], dtype=float)
+    total = np.array([max(1, sum(n for g, n in top[x].items() if g[0] != _MARK)) for x in langs], dtype=float)
     unseen = np.log(0.5 / total)
     grams: dict[str, int] = {}
     rows = [np.zeros(len(langs))]
     for i, lang in enumerate(langs):
         for g, n in top[lang].items():
-            if g[0] != "\x00":
+            if g[0] != _MARK:
                 if g not in grams:
                     grams[g] = len(rows)
                     rows.append(unseen.copy())
@@ -165,7 +169,7 @@ class _Scores:
         none = np.ones(len(m.langs), bool)
         may = np.array([m.scripts.get(script_of(w[0]), none) for w in words])
         s = np.where(may, s, -np.inf)
-        return np.maximum(s - s.max(1, keepdims=True), -BOUND)
+        return np.where(may, np.maximum(s - s.max(1, keepdims=True), -BOUND), -BARRED)
 
 
 def _viterbi(table: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:

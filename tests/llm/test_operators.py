@@ -336,6 +336,17 @@ def test_language_of_mixed_texts(spark):
     assert langid.identify(train.select("doc_id", "text"), empty).filter("lang_pred != 'und'").count() == 0
 
 
+def test_scripts_narrow_the_languages(spark):
+    train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("kalomi lokami mikalo", "aa"), ("streng engstr", "bb"), ("дане нероца роне", "cc")] * 20)], "doc_id long, text string, lang string")
+    m = langid.fit(train)
+    assert {s: [m.langs[i] for i in np.flatnonzero(x)] for s, x in m.scripts.items()} == {"latin": ["aa", "bb"], "cyrillic": ["cc"]}
+    assert not any(g[0] in "\x00\\" for g in m.grams)
+    rows = [(1, "щюж"), (2, "kalomi lokami щюж mikalo kalomi")]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), m, spans=True).collect()}
+    assert out[1].lang_pred == "cc"
+    assert [(s["first"], s["words"], s["lang"]) for s in out[2].spans] == [(0, 2, "aa"), (2, 1, "cc"), (3, 2, "aa")]
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(9)
     table = -rng.random((20, 3)).astype(np.float32) * 12
