@@ -8,7 +8,9 @@ beginnings match beginnings; the bytes that a window needs less with a toxic dic
 one are its distance.  (In windows of many words the choice of matches elsewhere in the window
 moves lengths by as many bytes as one telling word does; alone in the frame it cannot.)  Words are
 counted by steps of distance; a logistic calibration of these counts and the text's length, fitted
-on other labelled texts, turns them into a score, and 0.7 is the threshold.
+on other labelled texts, turns them into a score, and 0.7 is the threshold.  In texts of more than
+``WINDOW`` words the most toxic run of so many words is scored too, by a calibration of its own, and
+the higher score counts: a toxic passage decides however long the text around it is.
 
 The model is fitted on a bounded sample (``PER_CLASS`` texts of each class, by hash); scoring runs
 over every whole text in Arrow batches, with no shuffle.
@@ -40,6 +42,8 @@ BEGINNINGS = range(3, 9)
 DISTINCT, EACH, LEAST, SUPPORT, WORTH, RATIO, SHARP = 96, 8, 5, 0.02, 0.1, 6, 40
 #: Texts of more words than this count as if they had so many.
 LONG = 800
+#: Words of the sliding windows.
+WINDOW = 200
 #: Word distances that a worker keeps at a time.
 KEPT = 100_000
 #: Distances at which a word goes to the next class of telling words.
@@ -53,6 +57,8 @@ _WORD = re.compile(r"\w+")
 class Model:
     contents: tuple[bytes, ...]
     weights: tuple[float, ...]
+    #: Slope and offset of the calibrated score of a text's most toxic window.
+    window: tuple[float, float] = (0.0, -30.0)
 
 
 def _words(text: str | None) -> list[str]:
@@ -149,6 +155,18 @@ def _features(distances: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _worst_window(distances: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """The largest weighted sum over windows of WINDOW words; of the whole text where it is shorter."""
+    k = len(STEPS) + 1
+    word = np.add.outer(np.r_[0.0, weights[: k - 1]], np.r_[0.0, weights[k - 1 : 2 * k - 2]]).ravel()
+    out = np.zeros(len(distances))
+    for i, d in enumerate(distances):
+        total = np.r_[0.0, np.cumsum(word[d])]
+        n = min(len(d), WINDOW)
+        out[i] = (total[n:] - total[: len(total) - n]).max() + weights[-2] + weights[-1] * n / 100
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Ridge-damped Newton steps."""
     beta = np.zeros(x.shape[1])
@@ -170,12 +188,18 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
     if not len(y):
         return Model(contents, (0.0,) * (2 * len(STEPS)) + (-3.0, 0.0))
     w = np.where(y > 0, share / max(1, y.sum()), (1 - share) / max(1, len(y) - y.sum())) * len(y)
-    x = _features([_distances(x, contents) for x in toxic[0::3] + ordinary[0::3]])
-    return Model(contents, tuple(map(float, _logistic(x, y, w))))
+    distances = [_distances(x, contents) for x in toxic[0::3] + ordinary[0::3]]
+    beta = _logistic(_features(distances), y, w)
+    slope, offset = _logistic(np.c_[_worst_window(distances, beta), np.ones(len(y))], y, w)
+    return Model(contents, tuple(map(float, beta)), (float(slope), float(offset)) if slope > 0 else Model.window)
 
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
-    z = _features([_distances(t, model.contents) for t in texts]) @ np.array(model.weights)
+    distances, weights = [_distances(t, model.contents) for t in texts], np.array(model.weights)
+    z = _features(distances) @ weights
+    slope, offset = model.window
+    long = np.array([len(d) > WINDOW for d in distances], bool)
+    z = np.where(long, np.maximum(z, slope * _worst_window(distances, weights) + offset), z)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

@@ -381,6 +381,20 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(docs(spark, ODD), blank).filter("predicted = 1").count() == 0
 
 
+def test_toxic_passage_in_a_long_text():
+    rng = random.Random(16)
+    say = lambda n, bad: " ".join(rng.sample(w := text(rng, n).split() + [rng.choice(["vilejerk", "grossfool", "meanbrute"]) for _ in range(bad)], len(w)))
+    lengths = [rng.randrange(20, 1500) for _ in range(400)]
+    toxic, ordinary = [say(60, 8) for _ in range(200)], [say(n, i % 25 == 0) for i, n in enumerate(lengths)]
+    model = toxicity.train(toxic, ordinary, 0.1)
+    passage = say(60, 8)
+    for n in (100, 1000, 8000, 20000):
+        around = say(n, 0)
+        half = len(around) // 2
+        a, b = toxicity.score_texts(model, [f"{around[:half]} {passage} {around[half:]}", around])
+        assert a >= 0.7 > b, n
+
+
 # ---- pseudonyms
 
 
