@@ -1,6 +1,7 @@
 """Toxicity by compression distance.
 
-zstandard dictionaries of equal length are trained from labelled texts: two on the toxic ones (the
+zstandard dictionaries of equal length are made from labelled texts, not by zstandard's own training
+but as word lists: two on the toxic ones (the
 beginnings of words that ordinary texts hardly have, and of those that they have more seldom) and
 one on the ordinary ones; each holds the word beginnings that tell its class from the other.  A window is one word in a fixed frame that both
 dictionaries end with, each letter written as a checksum of the word up to it, so that only
