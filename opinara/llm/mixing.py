@@ -1,8 +1,8 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
-Each document has a 60-bit hash of its key.  Words are summed by source and the hash's top
+Each document has a 60-bit hash of its key and text.  Words are summed by source and the hash's top
 bits; a cumulative sum finds the bucket in which a source's budget ends, and only that bucket
-is opened by the next bits.  After four rounds the threshold is exact, and documents are
+is opened by the next bits.  After ``LEVELS`` rounds the threshold is exact, and documents are
 filtered by comparing their hash with it: no sort of documents, no shuffle of texts.
 Thresholds are nested: a larger budget takes a superset.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opinara.scratch import BROADCAST_ROWS, small_side, written
+from opinara.scratch import BROADCAST_ROWS, small_side, tidy, written
 
 WEIGHTS, SHARE, MAX_REPEAT = (5, 2, 1), 1.5, 2
 BITS, LEVELS = 10, 6
@@ -25,10 +25,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def key_hash(key: Column, seed: str) -> Column:
-    """60 bits of md5 over seed and key; a null key counts as the text ``null``."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def key_hash(key: Column, text: Column, seed: str) -> Column:
+    """60 bits of md5 over seed, key and the text's md5; a null key counts as the text ``null``, a null text as empty."""
+    of = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(of), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT) -> DataFrame:
@@ -62,8 +62,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MA
 
 def thresholds(measured: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a source: ``fulls`` (times that every document is taken) and the hash ``bound``
-    below which documents are taken once more; ``edge`` says whether the one hash at the bound
-    is taken too, which is so if that comes at least as near to the target."""
+    below which documents are taken once more, if any are (``open``); ``edge`` says whether the one
+    hash at the bound is taken too, which is so if that comes at least as near to the target."""
     fulls = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = written(
         targets.withColumn("fulls", fulls)
@@ -96,12 +96,12 @@ def thresholds(measured: DataFrame, targets: DataFrame) -> DataFrame:
             "mix-state",
         )
     nearer = F.col("rest") - F.col("done") >= F.col("done") + F.col("last") - F.col("rest")
-    return state.select("source", "source_size", "target", "fulls", "bound", nearer.alias("edge"))
+    return state.select("source", "source_size", "target", "fulls", "bound", nearer.alias("edge"), (F.col("rest") > 0).alias("open"))
 
 
 def measure(docs: DataFrame, key: str = "doc_id", seed: str = "mix") -> DataFrame:
     """(key, source, size, hash) of every document, written: the narrow table that all rounds read."""
-    return written(docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), key_hash(F.col(key), seed).alias("hash")), "mix-measured")
+    return written(docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), key_hash(F.col(key), F.col("text"), seed).alias("hash")), "mix-measured")
 
 
 def plan_mix(measured: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT) -> DataFrame:
@@ -112,27 +112,29 @@ def plan_mix(measured: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_R
 
 def copies(plan: DataFrame, rows: DataFrame, hashed: Column) -> DataFrame:
     """``rows`` joined to its source's plan row, with ``copies``: how often the mix takes each."""
-    p = plan.select(F.col("source").alias("_mix_source"), "source_size", "target", "fulls", "bound", "edge")
-    once = (hashed < F.col("bound")) | ((hashed == F.col("bound")) & F.col("edge"))
+    p = plan.select(F.col("source").alias("_mix_source"), "source_size", "target", "fulls", "bound", "edge", "open")
+    once = F.col("open") & ((hashed < F.col("bound")) | ((hashed == F.col("bound")) & F.col("edge")))
     joined = rows.join(small_side(p), rows["source"].eqNullSafe(F.col("_mix_source")), "left")
     return joined.withColumn("copies", F.coalesce(F.col("fulls") + F.when(once, 1).otherwise(0), F.lit(0)).cast("int"))
 
 
+@tidy
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT, seed: str = "mix") -> DataFrame:
     """The mixed corpus: ``docs``' own columns, each row as often as the mix takes it.
 
-    Rows with the same doc_id share a hash and are taken together.  A null source is a source
+    Rows with the same doc_id and text share a hash and are taken together.  A null source is a source
     of its own, null and empty texts have size 0, a source of size 0 has target 0, an empty
     table gives an empty one.  Columns beyond doc_id, text and source are carried, whatever
     their names.
     """
     plan = plan_mix(measure(docs, seed=seed), weights, share, max_repeat)
     own = docs.columns
-    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_mix_row"), F.col("source"), F.col("doc_id"))
-    taken = copies(plan, renamed, key_hash(F.col("doc_id"), seed)).filter("copies > 0")
+    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_mix_row"), F.col("source"), F.col("doc_id"), F.col("text"))
+    taken = copies(plan, renamed, key_hash(F.col("doc_id"), F.col("text"), seed)).filter("copies > 0")
     return taken.select("_mix_row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_mix_row.*")
 
 
+@tidy
 def mix_report(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every document, taken or not."""
     measured = measure(docs, seed=seed)
@@ -144,7 +146,7 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REP
 ORACLE = """
 WITH m AS (SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM m GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS DOUBLE) AS w FROM s),
 a AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(w) OVER () AS w_all FROM w),
@@ -158,6 +160,6 @@ c AS (SELECT m.doc_id, m.size, f.source_size, f.target, f.fulls, f.target - f.fu
     sum(size) OVER (PARTITION BY m.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
     sum(size) OVER (PARTITION BY m.source ORDER BY h RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS own
     FROM m JOIN f ON m.source IS NOT DISTINCT FROM f.source),
-d AS (SELECT *, CAST(fulls + CASE WHEN upto <= rest THEN 1 WHEN upto - own <= rest AND rest - (upto - own) >= upto - rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM c)
+d AS (SELECT *, CAST(fulls + CASE WHEN rest <= 0 THEN 0 WHEN upto <= rest THEN 1 WHEN upto - own <= rest AND rest - (upto - own) >= upto - rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM c)
 SELECT doc_id, size, source_size, target, copies, CAST(size * copies AS BIGINT) AS taken FROM d
 """
