@@ -1,11 +1,14 @@
 r"""Chat formatting in budgeted windows (DataFrame functions only).
 
-Turn tokens (words, and ``TURN_TOKENS`` for the marks) are summed along a conversation.  The
-running sum, cut into cells of half the budget, gives turn-aligned spans: a window holds the
-turns that end in one cell, so it stays within the budget; a turn of over half the budget has a
-window of its own.  A window repeats the conversation's first system turn and up to
-``history_turns`` turns before it within ``history_tokens``; repeated turns are never under the
-loss mask, so each assistant turn is a target exactly once.
+Turn tokens (words, and ``TURN_TOKENS`` for the marks) are summed along a conversation.  A window's
+``budget`` is charged with the conversation's first system turn, which every later window repeats;
+of what is left, ``history_tokens`` (a quarter at most) are kept for history, and the rest is room for
+own turns.  The running sum, cut into cells of that room less the longest turn that fits in half of it,
+gives turn-aligned spans: a window holds the turns that end in one cell, so it stays within the
+room; a turn of over half the room has a window of its own.  Up to ``history_turns`` turns before the
+window are repeated as far as the budget still goes; repeated turns are never under the loss mask, so
+each assistant turn is a target exactly once.  A window exceeds the budget only where the system turn
+and one own turn together do.
 
 A turn is written ``### role: text</turn>`` and a line feed.  Inside texts and roles a backslash
 is written ``\\``, ``</turn>`` is ``\e``, ``###`` is ``\h``, and in roles a colon is ``\c``: the
@@ -22,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.llm.mixing import word_count
-from opinara.scratch import written
+from opinara.scratch import tidy, written
 
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS, TURN_TOKENS = 512, 2, 128, 4
 END = "</turn>"
@@ -50,17 +53,25 @@ def placed(turns: DataFrame) -> DataFrame:
     return t.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id())
 
 
+@tidy
 def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """One row a window: conv_id, start (position of its first own turn), formatted, context_turns
     (repeated turns at its head), own_turns, tokens, and loss, an array of (at, length) spans of
     ``formatted`` in code points counted from 0.
 
     Null role and text count as empty, null conv_id is a conversation, other columns are ignored,
-    an empty table gives an empty one.  Windows hold at most ``budget`` own tokens unless one turn
-    alone has more than half of it; such turns are kept whole.
+    an empty table gives an empty one.  A window of more than ``budget`` tokens holds one own turn and
+    the system turn alone.
     """
-    step = budget // 2
-    t = written(placed(turns), "chat-turns").withColumn("long", (F.col("tokens") > step).cast("int"))
+    t = written(placed(turns), "chat-turns")
+    first = F.min(F.when(F.col("role") == "system", F.struct("turn", "text", "tokens")))
+    heads = t.groupBy("conv_id", "part").agg(first.alias("f"))
+    whole = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    own_room = F.greatest(F.lit(1), F.lit(budget) - F.coalesce("sys_tokens", F.lit(0)))
+    rooms = heads.withColumn("sys_tokens", F.first("f.tokens", ignorenulls=True).over(whole)).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "sys_tokens", own_room.alias("room"))
+    rooms = rooms.withColumn("room", F.col("room") - F.least(F.lit(history_tokens), F.floor(F.col("room") / 4)))
+    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    t = t.join(rooms.hint("merge"), on).drop("c", "p").withColumn("long", (F.col("tokens") > F.floor(F.col("room") / 2)).cast("int"))
     run = W.partitionBy("conv_id", "part").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
     inner = t.select(
         "*",
@@ -68,26 +79,28 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
         (F.sum("tokens").over(run) - F.col("tokens")).alias("pre"),
         (F.sum("long").over(run) - F.col("long")).alias("longs"),
     )
-    parts = t.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("s"), F.sum("long").alias("l"))
+    short = F.coalesce(F.max(F.when(F.col("long") == 0, F.col("tokens"))), F.lit(0)).alias("m")
+    parts = t.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("s"), F.sum("long").alias("l"), short)
     earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    off = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}0") for x in "nsl"])
-    t = inner.join(off.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select(
-        "conv_id", "role", "text", "tokens", "long",
+    off = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}0") for x in "nsl"], F.max("m").over(whole).alias("m"))
+    t = inner.join(off.hint("merge"), on).select(
+        "conv_id", "role", "text", "tokens", "long", "sys_tokens", "room", "m",
         (F.col("at") + F.col("n0")).alias("pos"),
         (F.col("pre") + F.col("s0")).alias("pre"),
         (F.col("longs") + F.col("l0")).alias("longs"),
     )
-    cell = F.floor((F.col("pre") + F.col("tokens") - 1) / step)
-    t = written(t.withColumn("cell", cell).withColumn("run", F.col("longs") * 2 + F.col("long")), "chat-placed")
+    cell = F.floor((F.col("pre") + F.col("tokens") - 1) / F.greatest(F.lit(1), F.col("room") - F.col("m")))
+    t = written(t.withColumn("cell", cell).withColumn("run", F.col("longs") * 2 + F.col("long")).drop("room", "m", "longs"), "chat-placed")
 
-    win = t.groupBy("conv_id", "cell", "run").agg(F.min("pos").alias("start"), F.min("pre").alias("pre_start"))
+    win = t.groupBy("conv_id", "cell", "run").agg(F.min("pos").alias("start"), F.min("pre").alias("pre_start"), F.sum("tokens").alias("size"), F.first("sys_tokens").alias("sys_tokens"))
+    win = win.withColumn("left", F.least(F.lit(history_tokens), F.lit(budget) - F.col("size") - F.coalesce("sys_tokens", F.lit(0))))
     own_key = W.partitionBy("conv_id", "cell", "run")
     own = t.withColumn("start", F.min("pos").over(own_key)).select("conv_id", "start", "pos", "role", "text", "tokens", F.lit(1).alias("own"))
 
-    w = win.select(F.col("conv_id").alias("c"), "start", "pre_start")
-    back = w.select("c", "start", "pre_start", F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("k")).withColumn("want", F.col("start") - F.col("k")).filter("want >= 0")
+    w = win.select(F.col("conv_id").alias("c"), "start", "pre_start", "left")
+    back = w.select("c", "start", "pre_start", "left", F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("k")).withColumn("want", F.col("start") - F.col("k")).filter("want >= 0")
     history = back.hint("merge").join(t, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("want")))
-    near = F.col("pre_start") - F.col("pre") <= history_tokens
+    near = F.col("pre_start") - F.col("pre") <= F.col("left")
     history = history.filter(near).select("conv_id", "start", "pos", "role", "text", "tokens", F.lit(0).alias("own"))
 
     first = t.filter(F.col("role") == "system").groupBy(F.col("conv_id").alias("s")).agg(F.min("pos").alias("sys"))
@@ -156,16 +169,20 @@ WITH c AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 4 AS tokens FROM c),
-e AS (SELECT *, CASE WHEN tokens > 256 THEN 1 ELSE 0 END AS big,
+y AS (SELECT conv_id, first(tokens ORDER BY turn NULLS FIRST, text) AS sys_tokens FROM t WHERE role = 'system' GROUP BY conv_id),
+q AS (SELECT t.*, coalesce(sys_tokens, 0) AS sys_tokens, greatest(1, 512 - coalesce(sys_tokens, 0)) AS rest FROM t LEFT JOIN y ON y.conv_id = t.conv_id),
+g AS (SELECT *, rest - least(128, rest // 4) AS room FROM q),
+h AS (SELECT *, CASE WHEN tokens > room // 2 THEN 1 ELSE 0 END AS big FROM g),
+e AS (SELECT *, greatest(1, room - coalesce(max(tokens) FILTER (big = 0) OVER (PARTITION BY conv_id), 0)) AS step,
   row_number() OVER o - 1 AS pos, sum(tokens) OVER o AS upto,
   length('### ' || replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\e'), '###', '\h'), ':', '\c') || ': '
     || replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '###', '\h') || '</turn>' || chr(10)) AS chars
-  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-b AS (SELECT *, upto - tokens AS pre, floor((upto - 1) / 256) AS cell, 2 * sum(big) OVER (PARTITION BY conv_id ORDER BY pos) - big AS run FROM e),
-w AS (SELECT conv_id, cell, run, min(pos) AS start, min(pre) AS pre_start FROM b GROUP BY ALL),
+  FROM h WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, upto - tokens AS pre, floor((upto - 1) / step) AS cell, 2 * sum(big) OVER (PARTITION BY conv_id ORDER BY pos) - big AS run FROM e),
+w AS (SELECT conv_id, cell, run, min(pos) AS start, min(pre) AS pre_start, least(128, 512 - sum(tokens) - any_value(sys_tokens)) AS left_over FROM b GROUP BY conv_id, cell, run),
 s AS (SELECT conv_id, min(pos) AS sys FROM b WHERE role = 'system' GROUP BY conv_id),
 r AS (SELECT w.conv_id, b.chars FROM w JOIN b ON b.conv_id = w.conv_id AND b.pos < w.start LEFT JOIN s ON s.conv_id = w.conv_id
-  WHERE (b.pos >= w.start - 2 AND w.pre_start - b.pre <= 128) OR b.pos = s.sys),
+  WHERE (b.pos >= w.start - 2 AND w.pre_start - b.pre <= w.left_over) OR b.pos = s.sys),
 f AS (SELECT conv_id, sum(chars) AS chars FROM (SELECT conv_id, chars FROM b UNION ALL SELECT conv_id, chars FROM r) GROUP BY conv_id)
 SELECT b.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
