@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.scratch import written
+from opinara.skew import heavy_keys, salted_join
 
 ONE_TASK = 200_000
 
@@ -22,7 +23,9 @@ def _jump(parents: DataFrame) -> DataFrame:
     """(node, comp) with each comp replaced by its own comp until nothing changes."""
     while True:
         up = parents.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
-        parents = written(parents.hint("merge").join(up, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"), F.col("higher").isNotNull().alias("moved")), "components")
+        # a third of all nodes may have one parent
+        both = salted_join(parents.select("node", "comp"), up, ["comp"], heavy_keys(parents, ["comp"]), "left")
+        parents = written(both.select("node", F.coalesce("higher", "comp").alias("comp"), F.col("higher").isNotNull().alias("moved")), "components")
         if not parents.filter("moved").head(1):
             return parents.select("node", "comp")
 
@@ -57,7 +60,7 @@ def contract(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         if comps is not None:
             for end in ("a", "b"):
                 to = comps.select(F.col("node").alias(end), F.col("comp").alias("to"))
-                links = links.hint("merge").join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+                links = salted_join(links, to, [end], heavy_keys(links, [end]), "left").withColumn(end, F.coalesce("to", end)).drop("to")
             links = written(links.filter("a != b").distinct(), "components-links")
         hooks = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
         hooks = written(hooks, "components-hooks")
@@ -70,6 +73,6 @@ def contract(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
             comps = fresh
         else:
             to = fresh.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-            old = comps.hint("merge").join(to, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+            old = salted_join(comps, to, ["comp"], heavy_keys(comps, ["comp"]), "left").select("node", F.coalesce("root", "comp").alias("comp"))
             new = fresh.join(comps.select("node").hint("merge"), "node", "left_anti")
             comps = written(old.unionByName(new), "components")

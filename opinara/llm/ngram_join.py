@@ -13,7 +13,9 @@ is the connected component of each document.
    *hubs* only (one entity of each shingle), which joins large groups of copies by a few pairs
    for each member.  The last round takes every pair of entities of different
    components that share a prefix shingle and pass the length, positional and suffix filters: after it
-   no link between different texts is missing, whatever the group sizes.
+   no link between different texts is missing, whatever the group sizes.  Entities of a crowded
+   shingle are first grouped by size and place; only groups that can link by the length and
+   positional filters are paired, in blocks of a bounded number of entities.
 5. Each pair is verified once, on the shared shingles of both.
 
 Very frequent shingles (at most ``HOT_GRAMS``, by count) are not listed by document anywhere;
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from opinara.llm.components import contract
 from opinara.llm.memory import release
 from opinara.llm.shingles import GRAM_BITS, mix, shingle_sets, signatures
-from opinara.scratch import written
+from opinara.scratch import tidy, written
+from opinara.skew import heavy_keys, salted_join
 
 #: Bound on the list of very frequent shingles that goes to every task (8 bytes each).
 HOT_GRAMS = 1 << 20
@@ -47,6 +50,8 @@ PER_PART = 1_000_000
 BATCH = 1_000_000
 #: Hubs that an entity is compared with in one of the later turns, and turns at most.
 HUBS, HUB_TURNS = 4, 4
+#: A shingle of more prefix entries than this is crowded; entities of a block of a crowded shingle.
+CROWDED, BLOCK = 1000, 1000
 #: 64-bit words of an entity's bitmap in the last round.
 BITMAP = 8
 #: Classes of document frequency in 16 bits: exact below RARE, above it by steps of a logarithm.
@@ -58,17 +63,17 @@ _MASK = np.uint64((1 << GRAM_BITS) - 1)
 def _sets_of(batches: Iterator[pa.RecordBatch], k: int):
     """Of each run of texts with some BATCH shingles: first row in the batch, ids, sizes, sets."""
     for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids = batch.column(0)
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         held, n, first = [], 0, 0
         for a, sizes, sets in shingle_sets(texts, k):
             held.append((sizes, sets))
             n += len(sets)
             if n >= BATCH:
-                yield ids[first : a + len(sizes)], np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+                yield ids.slice(first, a + len(sizes) - first), np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
                 held, n, first = [], 0, a + len(sizes)
         if held:
-            yield ids[first:], np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            yield ids.slice(first), np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
     release()
 
 
@@ -89,7 +94,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
         for ids, sizes, sets in _sets_of(batches, k):
             sigs = signatures(sizes, sets)
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), from_pandas=True), pa.array(sizes, pa.int64()), pa.array(sigs.view(np.int64)), none, none], ["doc_id", "n", "sig", "gram", "count"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs.view(np.int64)), none, none], ["doc_id", "n", "sig", "gram", "count"])
             grams = np.sort(_distinct(sizes, sets, sigs)[1])
             at = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
             count = np.diff(np.r_[at, len(grams)])
@@ -97,7 +102,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(grams[at][often].view(np.int64)), pa.array(count[often])], ["doc_id", "n", "sig", "gram", "count"])
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, gram long, count long"), "join-sets")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, gram long, count long"), "join-sets")
 
 
 def _pack(sigs: np.ndarray, counts: np.ndarray, *more: bytes) -> bytes:
@@ -238,10 +243,12 @@ def _similar(n1: int, k1: np.ndarray, n2: int, k2: np.ndarray) -> bool:
 
 
 def verify(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ca, cb: entities and their components), each once, with ``hit``: whether they link."""
+    """``pairs`` (a, b, ca, cb: entities and their components; written), each once, with ``hit``: whether they link."""
     left = entities.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("keys").alias("k1"))
     right = entities.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("keys").alias("k2"))
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("ca", "cb", "n1", "k1", "n2", "k2")
+    # a hub may stand in a third of all pairs
+    both = salted_join(pairs, left, ["a"], heavy_keys(pairs, ["a"]), by=F.xxhash64("b"))
+    both = salted_join(both, right, ["b"], heavy_keys(pairs, ["b"]), by=F.xxhash64("a")).select("ca", "cb", "n1", "k1", "n2", "k2")
 
     def run(batches):
         for x in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
@@ -261,13 +268,13 @@ def _may_link(n1, n2, p1, p2):
     return (100 * least >= 75 * most) & (p1 + need <= n1) & (p2 + need <= n2)
 
 
-def hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
+def hub_pairs(entries: DataFrame, turn: int, heavy: DataFrame) -> DataFrame:
     """Pairs (a, b) of an entity and a hub of another component: of the hubs of its prefix shingles
     the one that most of them have in common, in later turns HUBS.  First the least entity of a
     shingle is its hub, later one by a hash that differs by shingle and turn."""
     order = F.col("sig") if turn == 0 else F.xxhash64("sig", "gram", F.lit(turn))
     hub = entries.groupBy("gram").agg(F.min(F.struct(order.alias("at"), "comp", "sig", "n", "pos")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
-    near = entries.hint("merge").join(hub, "gram").filter(F.col("comp") != F.col("hub.comp")).filter(_may_link(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
+    near = salted_join(entries, hub, ["gram"], heavy, by=F.xxhash64("sig")).filter(F.col("comp") != F.col("hub.comp")).filter(_may_link(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
     counts = near.groupBy(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("ca"), F.min("hub.comp").alias("cb"))
     if turn == 0:
         return counts.groupBy("a").agg(F.max_by(F.struct("b", "ca", "cb"), F.struct("c", "b")).alias("x")).select("a", "x.*")
@@ -292,27 +299,72 @@ def bitmaps(entities: DataFrame) -> DataFrame:
     return entities.mapInArrow(run, schema)
 
 
-def all_pairs(entries: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every pair of entities of different components that share a prefix shingle and may link.
+def _crossed(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of rows of equal ``on`` that pass all filters.
 
     Suffix filter: a bit that one bitmap has and the other has not is a shingle that they do not
     share, so the bits that differ bound the overlap from above before a pair is made.
     """
-    mixed = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram")
-    kept = entries.hint("merge").join(mixed, "gram", "left_semi").hint("merge").join(bitmaps(entities), "sig")
-    kept = written(kept, "join-open")
-    own = [c for c in kept.columns if c != "gram"]
-    x = kept.select("gram", *[F.col(c).alias(f"{c}_1") for c in own])
-    y = kept.select("gram", *[F.col(c).alias(f"{c}_2") for c in own])
     differ = F.col("alone_1") + F.col("alone_2")
     for i in range(BITMAP):
         differ = differ + F.bit_count(F.col(f"b{i}_1").bitwiseXOR(F.col(f"b{i}_2")))
     n = F.col("n_1") + F.col("n_2")
-    near = x.hint("merge").join(y, "gram").filter(F.col("comp_1") < F.col("comp_2"))
+    near = x.hint("merge").join(y, on).filter(F.col("comp_1") != F.col("comp_2"))
     near = near.filter(_may_link(F.col("n_1"), F.col("n_2"), F.col("pos_1"), F.col("pos_2"))).filter(differ + 2 * F.ceil(3 * n / F.lit(7)) <= n)
-    return near.select(F.col("sig_1").alias("a"), F.col("sig_2").alias("b"), F.col("comp_1").alias("ca"), F.col("comp_2").alias("cb")).distinct()
+    first = F.col("comp_1") < F.col("comp_2")
+    return near.select(*[F.when(first, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(a) for c, a in (("sig", "a"), ("comp", "ca"))], *[F.when(first, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1")).alias(b) for c, b in (("sig", "b"), ("comp", "cb"))])
+
+
+def _sided(df: DataFrame, side: int, same: tuple[str, ...]) -> DataFrame:
+    return df.select(*same, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in same])
+
+
+def crowded_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of crowded shingles' entries.
+
+    With its first s shared-or-later places from a shingle on, a set of n links to sets of at most
+    m = floor(7 s / 3) - n shingles: a pair needs n2 <= m1 and n1 <= m2.  Groups are bands of n and m;
+    their number for one shingle is bounded, and pairs of groups that can link are cut into pairs of
+    blocks, each a task's work of at most about BLOCK entities a side.
+    """
+    m = F.floor(F.lit(7) * (F.col("n") - F.col("pos")) / F.lit(3)) - F.col("n")
+    band = F.when(F.col("n") <= 64, F.col("n")).otherwise(64 + F.floor(F.log2(F.col("n") / 64) * 32)).cast("int")
+    level = F.when(F.col("n") <= 64, F.col("m")).otherwise(F.floor(F.col("m") / F.col("n") * 24)).cast("int")
+    e = entries.withColumn("m", m).withColumn("band", band).withColumn("level", level)
+    key = ["gram", "band", "level"]
+    groups = e.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("m").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    groups = written(groups.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).drop("c"), "join-groups")
+    both = _sided(groups, 1, ("gram",)).hint("merge").join(_sided(groups, 2, ("gram",)), "gram")
+    order = F.struct("band_1", "level_1") <= F.struct("band_2", "level_2")
+    alike = (F.col("lo_1") == F.col("hi_1")) & (F.col("lo_2") == F.col("hi_2")) & (F.col("lo_1") == F.col("lo_2"))
+    both = both.filter(order & ~alike & (F.col("least_1") <= F.col("most_2")) & (F.col("least_2") <= F.col("most_1")))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    units = both.withColumn("block_1", numbers("blocks_1")).withColumn("block_2", numbers("blocks_2"))
+    same = (F.col("band_1") == F.col("band_2")) & (F.col("level_1") == F.col("level_2"))
+    units = units.filter(~same | (F.col("block_1") <= F.col("block_2"))).select("gram", "band_1", "level_1", "block_1", "band_2", "level_2", "block_2")
+    units = written(units.withColumn("unit", F.xxhash64(*units.columns)), "join-units")
+    placed = e.hint("merge").join(groups.select(*key, "blocks"), key).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).drop("blocks", "m")
+    sides = []
+    for side in (1, 2):
+        own = units.select("gram", *[F.col(f"{c}_{side}").alias(c) for c in ("band", "level", "block")], "unit")
+        sides.append(_sided(placed.hint("merge").join(own, [*key, "block"]).drop(*key, "block"), side, ("unit",)))
+    return _crossed(*sides, ["unit"])
+
+
+def all_pairs(entries: DataFrame, entities: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Every pair of entities of different components that share a prefix shingle and may link, each once."""
+    mixed = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi")
+    mixed = mixed.select("gram", (F.col("c") > CROWDED).alias("crowded"))
+    kept = salted_join(entries, mixed, ["gram"], heavy, by=F.xxhash64("sig")).hint("merge").join(bitmaps(entities), "sig")
+    kept = written(kept, "join-open")
+    few, many = kept.filter("NOT crowded").drop("crowded"), kept.filter("crowded").drop("crowded")
+    pairs = _crossed(_sided(few, 1, ("gram",)), _sided(few, 2, ("gram",)), ["gram"])
+    if many.head(1):
+        pairs = pairs.unionByName(crowded_pairs(many))
+    return pairs.distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...).
 
@@ -327,28 +379,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) ->
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     least = max(HOT_LEAST, totals // HOT_GRAMS)
     frequent = rows.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("c")).filter(F.col("c") >= least)
-    rows_hot = frequent.orderBy("gram").collect()  # HOT_GRAMS at most
-    known = np.array([r[0] for r in rows_hot], dtype=np.int64).view(np.uint64)
-    step = np.log2(np.array([r[1] for r in rows_hot], dtype=float)) * 256
+    rows_hot = frequent.orderBy("gram").toArrow()  # HOT_GRAMS at most
+    known = rows_hot.column("gram").to_numpy().view(np.uint64)
+    step = np.log2(rows_hot.column("c").to_numpy().astype(float)) * 256
     hot = known, np.minimum(RARE + step.astype(np.int64), TOP).astype(np.uint64)
     entities = shared_grams(docs, k, hot, totals)
-    entries = prefix_entries(entities)
+    entries = written(prefix_entries(entities), "join-entries")
+    heavy = heavy_keys(entries, ["gram"])
     comps, hubs, turn = None, True, 0
     while True:
         placed = entries.withColumn("comp", F.col("sig")) if comps is None else entries.hint("merge").join(comps, "sig")
-        pairs = hub_pairs(placed, turn) if hubs else all_pairs(placed, entities)
+        pairs = written(hub_pairs(placed, turn, heavy) if hubs else all_pairs(placed, entities, heavy), "join-pairs")
         checked = written(verify(pairs, entities), "join-checked")
         roots = contract(checked.filter("hit")).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         known = entities.select("sig", F.col("sig").alias("comp")) if comps is None else comps
-        comps = written(known.hint("merge").join(roots, "comp", "left").select("sig", F.coalesce("root", "comp").alias("comp")), "join-components")
+        moved = salted_join(known, roots, ["comp"], heavy_keys(known, ["comp"]), "left")
+        comps = written(moved.select("sig", F.coalesce("root", "comp").alias("comp")), "join-components")
         if not hubs:
             break
         turn += 1
         tried, linked = checked.agg(F.count(F.lit(1)), F.count_if("hit")).first()
         hubs = turn < hub_turns and linked * 20 > tried  # hubs still join groups; all other links come in the last round
-    found = rows.filter("gram IS NULL").select("doc_id", "n", "sig")
-    root = found.hint("merge").join(comps, "sig", "left")
-    root = root.withColumn("root", F.when(F.col("n") > 0, F.coalesce("comp", "sig")))
-    least_id = root.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
-    out = root.hint("merge").join(least_id, "root", "left")
+    # copies of one text, and large components, are dealt to many tasks
+    found = rows.filter("gram IS NULL").select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+    root = salted_join(found, comps, ["sig"], heavy_keys(found, ["sig"]), "left", by=F.xxhash64("doc_id", "n"))
+    root = written(root.select("doc_id", "n", F.coalesce("comp", "sig").alias("root")), "join-roots")
+    least_id = root.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"))
+    out = salted_join(root, least_id, ["root"], heavy_keys(root, ["root"]), "left", by=F.xxhash64("doc_id", "n"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
