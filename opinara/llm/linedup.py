@@ -10,8 +10,9 @@ edges of a passage may stand in chunks with others, so it removes less.
 
 Hashes only propose; the bytes of every proposed unit are compared before anything is removed.
 
-Counts per chunk are aggregated before they are shuffled, so a chunk that a third of all documents
-have is no hot key; texts are shuffled by document only.
+Counts per chunk are aggregated before they are shuffled, and where they meet the chunks again the
+heavy ones are salted, so a chunk that a third of all documents have is spread over tasks; texts are
+shuffled by document only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara.llm.memory import release
-from opinara.scratch import written
+from opinara.scratch import tidy, written
+from opinara.skew import heavy_keys, salted_join
 
 #: Lines that decide on a boundary; one in BOUNDARY lines ends a chunk; most lines of a chunk.
 WINDOW, BOUNDARY, MOST_LINES = 2, 2, 64
@@ -95,7 +97,8 @@ def proposed_chunks(docs: DataFrame, cut: Callable = chunk_lines) -> DataFrame:
 
     chunks = written(_keyed(docs).mapInArrow(run, "doc_id long, mark long, chunk int, key long"), "dedup-chunks")
     often = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).filter("n > 1").select("key", "first")
-    return written(chunks.hint("merge").join(often, "key").withColumn("keeper", _place() == F.col("first")).drop("first").distinct(), "dedup-proposed")
+    both = salted_join(chunks, often, ["key"], heavy_keys(chunks, ["key"]), by=F.xxhash64("mark", "chunk"))
+    return written(both.withColumn("keeper", _place() == F.col("first")).drop("first").distinct(), "dedup-proposed")
 
 
 def _texts_of(docs: DataFrame, proposed: DataFrame, cut: Callable) -> DataFrame:
@@ -127,10 +130,11 @@ def _verified(docs: DataFrame, proposed: DataFrame, cut: Callable) -> DataFrame:
     if not unequal.head(1):
         return proposed.select(*columns)
     # one hash for different texts: such chunks are kept or removed by their bytes alone
-    own = written(_texts_of(docs, proposed.hint("merge").join(unequal, "key", "left_semi"), cut), "dedup-texts")
+    heavy = heavy_keys(proposed, ["key"])
+    own = written(_texts_of(docs, salted_join(proposed, unequal, ["key"], heavy, "left_semi"), cut), "dedup-texts")
     first = own.groupBy("key", "bytes").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    more = own.hint("merge").join(first, ["key", "bytes"]).withColumn("keeper", _place() == F.col("first"))
-    return proposed.hint("merge").join(unequal, "key", "left_anti").select(*columns).unionByName(more.select(*columns))
+    more = salted_join(own, first, ["key", "bytes"], heavy_keys(own, ["key", "bytes"]), by=F.xxhash64("mark", "chunk")).withColumn("keeper", _place() == F.col("first"))
+    return salted_join(proposed, unequal, ["key"], heavy, "left_anti").select(*columns).unionByName(more.select(*columns))
 
 
 def compared(docs: DataFrame, proposed: DataFrame, cut: Callable = chunk_lines) -> DataFrame:
@@ -147,6 +151,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs, line_pairs)
 
 
+@tidy
 def dedup_lines(docs: DataFrame, cut: Callable = chunk_lines) -> DataFrame:
     """``docs`` with ``text`` rid of repeated chunks, and n_lines, removed_chunks, removed_lines.
 
