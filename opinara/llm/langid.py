@@ -12,9 +12,12 @@ operation over the texts that still have words; nothing is shuffled but n-gram c
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,17 +56,37 @@ SCRIPTS = (
     ("kana", ((0x3040, 0x30FF), (0x31F0, 0x31FF))),
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))),
 )
-_WORD = re.compile(r"[^\W\d_]+")
 
 
+def _ranges(wanted, last: int) -> str:
+    """The characters of some general categories up to ``last``, as ranges of a regular expression."""
+    codes = [c for c in range(last + 1) if wanted(unicodedata.category(chr(c)))]
+    cut = [i for i in range(len(codes)) if i == 0 or codes[i] != codes[i - 1] + 1]
+    return "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in zip(cut, [*cut[1:], len(codes)], strict=True))
+
+
+@lru_cache(maxsize=1)
+def _every_word() -> re.Pattern:
+    """A letter, and letters and combining marks after it: marks are parts of words in many scripts."""
+    letters, marks = (_ranges(lambda k, x=x: k[0] == x, sys.maxunicode) for x in "LM")
+    return re.compile(f"[{letters}][{letters}{marks}]*")
+
+
+#: Words of texts without the characters that Python's classes take for letters though they are none, and without marks.
+_PLAIN = re.compile(r"[^\W\d_]+")
+_ODD = re.compile(f"[{_ranges(lambda k: k[0] == 'M' or k in ('Nl', 'No'), 0xFFFF)}\U00010000-\U0010ffff]")
+
+
+@lru_cache(maxsize=4096)
 def script_of(ch: str) -> str:
     c = ord(ch)
     return next((name for name, ranges in SCRIPTS if any(a <= c <= b for a, b in ranges)), "other")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters and the marks among them, lower-cased."""
+    text = (text or "").lower()
+    return (_every_word() if _ODD.search(text) else _PLAIN).findall(text)
 
 
 def _grams(word: str) -> list[str]:
@@ -136,6 +159,9 @@ class _Scores:
 
     def __init__(self, model: Model):
         self.model, self.rows, self.table = model, {}, np.zeros((KEPT, len(model.langs)), np.float32)
+        # an n-gram as a number: its code points, 21 bits each; no n-gram is 0
+        known = sorted((sum(ord(c) << 21 * i for i, c in enumerate(reversed(g))), r) for g, r in model.grams.items()) or [(0, 0)]
+        self.keys, self.at = np.array([k for k, _ in known], np.uint64), np.array([r for _, r in known])
 
     def of(self, words: list[str]) -> np.ndarray:
         """Row of each word in ``table``; valid until the next call."""
@@ -158,14 +184,20 @@ class _Scores:
         return out
 
     def _score(self, words: list[str]) -> np.ndarray:
-        m, get = self.model, self.model.grams.get
-        idx, ends = [], []
-        for word in words:
-            w = f" {word} "
-            idx += [get(w[i : i + n], 0) for n in ORDERS for i in range(len(w) - n + 1)]
-            ends.append(len(idx))
-        ends = np.array(ends)
-        s = np.add.reduceat(m.table[idx], np.r_[0, ends[:-1]], axis=0) if len(idx) else np.zeros((len(words), len(m.langs)))
+        """Summed log-probabilities of the n-grams of `` word ``, all words at once, and the bounds."""
+        m = self.model
+        code = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+        s = np.zeros((len(words), len(m.langs)))
+        key = code
+        for n in ORDERS:
+            if n > 1:
+                key = (key[:-1] << np.uint64(21)) | code[n - 1 :]
+            own = of[: len(key)] == of[n - 1 :]
+            at = np.minimum(np.searchsorted(self.keys, key[own]), len(self.keys) - 1)
+            found = np.where(self.keys[at] == key[own], self.at[at], 0)
+            begin = np.flatnonzero(np.diff(of[: len(key)][own], prepend=-1))
+            s += np.add.reduceat(m.table[found], begin, axis=0)
         none = np.ones(len(m.langs), bool)
         may = np.array([m.scripts.get(script_of(w[0]), none) for w in words])
         s = np.where(may, s, -np.inf)
@@ -173,14 +205,15 @@ class _Scores:
 
 
 def _viterbi(table: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Label of each word of texts that stand one after another."""
+    """Label of each word of texts that stand one after another, in as many bytes as the languages need."""
     order = np.argsort(-lengths, kind="stable")
     size, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
     longest, n_lang = int(size[0]) if len(size) else 0, table.shape[1]
     active = np.searchsorted(-size, -np.arange(longest), "left")
     v = np.zeros((len(size), n_lang), np.float32)
-    back = np.zeros((len(rows), n_lang), np.uint8)
-    own = np.arange(n_lang, dtype=np.uint8)
+    kind = np.min_scalar_type(max(0, n_lang - 1))
+    back = np.zeros((len(rows), n_lang), kind)
+    own = np.arange(n_lang, dtype=kind)
     for t in range(longest):
         a = active[t]
         at = begin[:a] + t
@@ -189,12 +222,12 @@ def _viterbi(table: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.nda
             best = v[:a].argmax(1)
             jump = v[np.arange(a), best][:, None] - np.float32(SWITCH)
             stay = v[:a] >= jump
-            back[at] = np.where(stay, own, best[:, None].astype(np.uint8))
+            back[at] = np.where(stay, own, best[:, None].astype(kind))
             s = s + np.where(stay, v[:a], jump)
             if t % 256 == 0:
                 s -= s.max(1, keepdims=True)
         v[:a] = s
-    label = np.zeros(len(rows), np.uint8)
+    label = np.zeros(len(rows), kind)
     now = v.argmax(1)
     for t in range(longest - 1, -1, -1):
         at = begin[: active[t]] + t
