@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,28 +134,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, ghost, at, doc_id, text), dealt by bucket: ranges of descending doc_id, each followed by
+    """(bucket, ghost, at, mark, doc_id, text), dealt by bucket: ranges of descending doc_id, each followed by
     a copy of the row after it (ghost), which is the first row of all for the last range.
 
-    Null ids stand after all others; rows of equal id are ordered by text.
+    Null ids stand after all others; rows of equal id are ordered by a hash of the text and the text.
+    Only ids and hashes go through Python, to be looked up in the sorted split points.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.xxhash64(text).alias("mark"), text.alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # split points and one id for each range: bounded by their number
-    cuts = sorted(set(rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []), reverse=True)
-    bucket = F.lit(len(cuts)) - F.when(F.lit(not cuts), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts] or [F.lit(0).cast("long")]), lambda c: c <= F.col("at"))))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    heads = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("at")).collect())
-    after = {}
+    # split points and one row for each range: bounded by their number
+    cuts = np.array(sorted(set(rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or [])), np.int64)
+    shared = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def bucket_of(at: pd.Series) -> pd.Series:
+        # the largest ids come first
+        return pd.Series(len(shared.value) - np.searchsorted(shared.value, at.to_numpy(), "right")).astype("int32")
+
+    heads = sorted((r[0], r[1]) for r in rows.groupBy(bucket_of("at").alias("bucket")).agg(F.max("at")).collect())
+    after: dict[int, list[int]] = {}
     for (b, _), (_, head) in zip(heads, heads[1:] + heads[:1], strict=True):
         after.setdefault(head, []).append(b)
-    pairs = [F.struct(F.lit(h).alias("h"), F.lit(b).alias("b")) for h, bs in after.items() for b in bs]
-    ghosts = F.array(*pairs) if pairs else F.array().cast("array<struct<h:bigint,b:int>>")
-    to = F.transform(F.filter(ghosts, lambda g: g["h"] == F.col("at")), lambda g: F.struct(g["b"].cast("int").alias("bucket"), F.lit(1).alias("ghost")))
-    rows = rows.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("bucket"), F.lit(0).alias("ghost"))), to)))
-    rows = rows.select("to.bucket", "to.ghost", "at", "doc_id", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc("at"), "text")
+    ghosts = spark.sparkContext.broadcast(after)
+
+    @F.pandas_udf("array<int>")
+    def ghosts_of(at: pd.Series) -> pd.Series:
+        return pd.Series([ghosts.value.get(x, []) for x in at.tolist()], dtype=object)
+
+    own = F.array(F.struct(bucket_of("at").alias("bucket"), F.lit(0).alias("ghost")))
+    copies = F.transform(ghosts_of("at"), lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("ghost")))
+    rows = rows.withColumn("to", F.explode(F.concat(own, copies)))
+    rows = rows.select("to.bucket", "to.ghost", "at", "mark", "doc_id", "text")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc("at"), "mark", "text")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
