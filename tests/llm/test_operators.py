@@ -1,8 +1,10 @@
 """Each operator against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
 import collections
+import fractions
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -34,7 +36,7 @@ def brute_mix(rows):
     size = lambda t: len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w])
     by = collections.defaultdict(list)
     for i, t, s in rows:
-        h = int(hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()[:15], 16)
+        h = int(hashlib.md5(f"mix:{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
         by[s].append((h, size(t), i))
     order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
     w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -71,6 +73,21 @@ def test_mixing(spark):
     assert mixing.mix_report(docs(spark, [])).count() == 0
 
 
+def test_no_document_is_taken_more_often_than_allowed(spark):
+    rng = random.Random(17)
+    # the source that comes first weighs most and is far too small for its share: its target is its cap
+    rows = [(i, text(rng, 5), "a") for i in range(20)] + [(100 + i, "", "a") for i in range(200)] + [(1000 + i, text(rng, 50), "b") for i in range(60)]
+    rows += [(None, text(rng, 9), "c") for _ in range(300)] + [(7, text(rng, 9), "c") for _ in range(300)]
+    out = mixing.mix_report(docs(spark, rows)).collect()
+    assert max(r.copies for r in out) == mixing.MAX_REPEAT
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.target].append(r.taken)
+    assert all(abs(sum(t) - target) <= 50 for target, t in by.items())
+    again = mixing.mix_report(docs(spark, rows).repartition(3)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 # ---- chat
 
 
@@ -101,6 +118,22 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.chat_windows(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("system", [0, 20, 300, 500, 600])
+def test_windows_stay_within_their_budget(spark, system):
+    rng = random.Random(system)
+    rows = [(c, t, "system" if t == 0 and system else rng.choice(["user", "assistant"]), text(rng, system if t == 0 and system else rng.choice([1, 5, 40, 100, 130]))) for c in range(8) for t in range(rng.randrange(2, 60))]
+    size = {(c, t): len(x.split()) + chat.TURN_TOKENS for c, t, _, x in rows}
+    w = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for r in w:
+        alone = r.own_turns == 1 and r.tokens == size[r.conv_id, r.start] + (size[r.conv_id, 0] if system and r.start else 0)
+        assert r.tokens <= chat.BUDGET or alone, r
+        if system:
+            assert r.formatted.startswith("### system")
+    assert sum(r.own_turns for r in w) == len(rows)
+    if system <= 20:
+        assert sum(r.context_turns for r in w) > len(w) / 2
+
+
 # ---- n-gram join
 
 
@@ -149,6 +182,27 @@ def test_ngram_join(spark, monkeypatch, least):
     assert got == brute_components(rows)
 
 
+def test_crowded_shingles_and_large_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWDED", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rows = [*near_rows(random.Random(33)), (2**53 + 1, "a b c d e f g h i", None), (2**53 + 3, "a b c d e f g h i", None), (2**53 + 5, "x y", None), (None, "x y", None), (None, None, None)]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs(spark, rows)).collect()), key=key)
+    want = [(i, n, c) for i, n, c in brute_components([(i if i is not None else -1, t, s) for i, t, s in rows])]
+    want = [(None if i == -1 else i, n, c) for i, n, c in want]
+    want = [(i, n, (2**53 + 5 if n else None) if c == -1 else c) for i, n, c in want]
+    assert got == sorted(want, key=key)
+
+
+def test_scratch_tables_go(spark, monkeypatch, tmp_path):
+    from opinara import scratch
+
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: f"file://{tmp_path}")
+    out = ngram_join.near_duplicates(docs(spark, near_rows(random.Random(3))))
+    left = {p.name.split("-")[1] for p in tmp_path.iterdir()}
+    assert left <= {"roots", "keys"} and out.count() > 0
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.near_duplicates(docs(spark, [(1, None, None)])).collect()] == [(1, 0, 1)]
@@ -250,6 +304,21 @@ def test_top_k(spark):
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
 
 
+def test_top_k_of_wide_and_repeated_vectors(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    rows += [(1, [4e7, 1.0, 2.0]), (20, [1.0, 1.0, 0.0]), (40, [1e308, -1e308, 3.0]), (41, [-1e308, 5e-324, 1e300]), (42, [4e7, 1.0, 2.0]), (42, [4e7, 1.0, 2.0])]
+    rows += [(80, [3.3e7, -3.3e7, 1e6]), (81, [3.3e7, 3.3e7, 1e6]), (1040, [float("inf")] * 3), (1, None)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=7).collect()
+    good = [(i, [math.floor(fractions.Fraction(x) * 64) for x in v]) for i, v in rows if v is not None and all(math.isfinite(x) for x in v)]
+    want = []
+    for a, (q, x) in enumerate(good):
+        if q % 20 == 0:
+            best = sorted((-sum(u * w for u, w in zip(x, y, strict=True)), i) for b, (i, y) in enumerate(good) if b != a)[:7]
+            want += [(q, k + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 20 == 0).count() == 0
 
@@ -383,10 +452,12 @@ def test_toxicity_held_out(spark):
 
 def test_toxic_passage_in_a_long_text():
     rng = random.Random(16)
-    say = lambda n, bad: " ".join(rng.sample(w := text(rng, n).split() + [rng.choice(["vilejerk", "grossfool", "meanbrute"]) for _ in range(bad)], len(w)))
-    lengths = [rng.randrange(20, 1500) for _ in range(400)]
-    toxic, ordinary = [say(60, 8) for _ in range(200)], [say(n, i % 25 == 0) for i, n in enumerate(lengths)]
-    model = toxicity.train(toxic, ordinary, 0.1)
+    bad_words = ["vilejerk", "grossfool", "meanbrute", "dimwart", "sourhulk", "crasspig", "dullknave", "rudezero"]
+    say = lambda n, bad: " ".join(rng.sample(w := text(rng, n).split() + [rng.choice(bad_words) for _ in range(bad)], len(w)))
+    toxic, ordinary = [say(60, 8) for _ in range(200)], [say(rng.randrange(20, 1500), i % 50 == 0) for i in range(300)]
+    contents = toxicity.train_dictionaries(*[[w for i, t in enumerate(x) if i % 3 for w in sorted(set(t.split()))] for x in (toxic, ordinary)])
+    known = [(y, toxicity.windows(t, contents)) for y, x in ((1, toxic), (0, ordinary)) for t in x[0::3]]
+    model = toxicity.Model(contents, *toxicity.calibrate(known, 0.1))
     passage = say(60, 8)
     for n in (100, 1000, 8000, 20000):
         around = say(n, 0)
@@ -395,6 +466,36 @@ def test_toxic_passage_in_a_long_text():
         assert a >= 0.7 > b, n
 
 
+def test_compression_distances_and_windows():
+    words = [f"{a}{b}{c}" for a in ("bra", "cle", "dru") for b in ("ta", "so", "mi") for c in ("n", "rt", "sh")]
+    contents = toxicity.train_dictionaries(["zzyvaxo"] * 40 + words * 3, words * 40)
+    assert toxicity.distance("zzyvaxo", contents) > 8 and max(toxicity.distance(w, contents) for w in words) <= 0
+    t = " ".join(words * 20 + ["zzyvaxo", "zzyvaxo"])
+    step = sum(toxicity.distance("zzyvaxo", contents) >= x for x in toxicity.STEPS)
+    rows = toxicity.windows(t, contents)
+    own = t.split()
+    want = []
+    for at in range(0, len(own) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE):
+        seen = set(own[at : at + toxicity.WINDOW])
+        want.append(([0] * (step - 1) + [int("zzyvaxo" in seen)] + [0] * (len(toxicity.STEPS) - step), len(seen) / 100))
+    assert [(r[: len(toxicity.STEPS)].tolist(), r[-2]) for r in rows] == want
+    assert toxicity.windows(None, contents).tolist() == toxicity.windows("", contents).tolist() == [[0.0] * (len(toxicity.STEPS) + 1) + [1.0]]
+
+
+@pytest.mark.parametrize("table", ["sf0.01"])
+def test_held_out_quality_on_the_drivers_tables(spark, table):
+    from opinara.llm import queries
+
+    sf = f"/root/testdata/{table}"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries.op9_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = queries.op8_language_id(spark, sf).filter("held_out").join(docs_, "doc_id").filter("lang IS NOT NULL").select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows) > 100
+
+
 # ---- pseudonyms
 
 
