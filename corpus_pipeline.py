@@ -28,10 +28,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group stays."""
-    groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group stays: that of the smallest doc_id (null last), of equal ids that of the
+    least text hash, then any one.  Documents without words are in no group and stay."""
+    numbered = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-numbered")
+    groups = ngram_join.near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row")
+    both = numbered.select("row", "doc_id", F.xxhash64("text").alias("mark")).hint("merge").join(groups, "row")
+    stay = both.groupBy("group").agg(F.min_by("row", place).alias("row")).select("row")
+    return numbered.hint("merge").join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
