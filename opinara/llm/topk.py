@@ -140,8 +140,9 @@ def _best(own: int, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: in
     return ids[order], scores[order]
 
 
-def _search(query, bounds, bucket, k, scale):
-    """(row, id, ids, scores) of each query: its best of the bucket among scores of at least its bound."""
+def _search(query, bounds, limits, bucket, k, scale):
+    """(row, id, ids, scores) of each query: its best of the bucket among scores above its bound, or at it with an
+    id up to its limit: the bound's k-th row stands before all others, so copies of one vector are few."""
     qrows, qids, qnorms, q = query
     rows, ids, norms, p = bucket
     if q.dtype == np.float64 or p.dtype == np.float64:
@@ -158,7 +159,7 @@ def _search(query, bounds, bucket, k, scale):
         upto = int(np.searchsorted(-norms, -least.min(), "right"))
         scores = _products(q[some], p[:upto], scale)
         for i, s in zip(some, scores, strict=True):
-            good = (s >= bounds[i]).astype(bool)
+            good = ((s > bounds[i]) | ((s == bounds[i]) & (ids[:upto] <= limits[i]))).astype(bool)
             yield qrows[i], qids[i], *_best(qrows[i], rows[:upto][good], ids[:upto][good], s[good], k)
     for i in np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9)):
         if unit is None:
@@ -171,7 +172,7 @@ def _search(query, bounds, bucket, k, scale):
             good &= (unit[:, f] >= qu[f] * t - spread) if qu[f] > 0 else (unit[:, f] <= qu[f] * t + spread)
         some = np.flatnonzero(good)
         s = _products(q[i : i + 1], p[some], scale)[0]
-        enough = (s >= bounds[i]).astype(bool)
+        enough = ((s > bounds[i]) | ((s == bounds[i]) & (ids[some] <= limits[i]))).astype(bool)
         yield qrows[i], qids[i], *_best(qrows[i], rows[some][enough], ids[some][enough], s[enough], k)
 
 
@@ -218,17 +219,17 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", column: str
         for b in batches:
             for r in b.to_pylist():
                 qrows, qids, qnorms, q = _arrays(r, "q_")
-                others, _, _, p = _arrays(r, "")
-                bounds = np.full(len(qids), _LEAST, np.int64)
+                others, ids, _, p = _arrays(r, "")
+                bounds, limits = np.full(len(qids), _LEAST, np.int64), np.full(len(qids), _MOST, np.int64)
                 if not (r["wide"] or r["q_wide"]):
                     for i, s in enumerate(_products(q, p, scale)):
-                        s = np.sort(s[others != qrows[i]])
-                        if len(s) >= k:
-                            bounds[i] = max(_LEAST, min(_MOST, int(s[len(s) - k])))
+                        v, best = _best(qrows[i], others, ids, s, k)
+                        if len(v) == k and _LEAST < best[-1] < _MOST:
+                            bounds[i], limits[i] = best[-1], v[-1]
                 need = float(np.where(bounds > 0, bounds / np.maximum(qnorms, 1e-300), -1.0).min())
-                yield pa.RecordBatch.from_arrays([pa.array([r["q"]]), pa.array([need]), pa.array([bounds.tobytes()], pa.binary())], ["q", "need", "bounds"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["q"]]), pa.array([need]), pa.array([bounds.tobytes()], pa.binary()), pa.array([limits.tobytes()], pa.binary())], ["q", "need", "bounds", "limits"])
 
-    bounds = written(longest.mapInArrow(seed, "q long, need double, bounds binary"), "topk-bounds")
+    bounds = written(longest.mapInArrow(seed, "q long, need double, bounds binary, limits binary"), "topk-bounds")
     ready = bounds.hint("merge").join(asked, "q")
     # ids of blocks alone are paired, a few bytes for each BUCKET * QUERY_BLOCK products
     ids = salted(bounds.select("q", "need").hint("merge").join(asked.select("q", "dim"), "q"), "q")
@@ -240,9 +241,9 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", column: str
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                bounds = np.frombuffer(r["bounds"], np.int64)
+                bounds, limits = (np.frombuffer(r[c], np.int64) for c in ("bounds", "limits"))
                 qrows, qids, ids, scores = [], [], [], []
-                for row, qid, v, s in _search(_arrays(r, "q_"), bounds, _arrays(r, ""), k, scale):
+                for row, qid, v, s in _search(_arrays(r, "q_"), bounds, limits, _arrays(r, ""), k, scale):
                     qrows += [row] * len(v)
                     qids += [qid] * len(v)
                     ids += v.tolist()
