@@ -19,27 +19,32 @@ EMOJI = (
 )
 
 # Internet slang and its plain form, in this order.
-SLANG = """
-yyds 永远的神|YYDS 永远的神|绝绝子 太绝了|无语子 无语|笑死 很好笑|笑死了 很好笑|笑哭 很好笑|裂开 崩溃|破防 情绪崩溃|破大防 情绪崩溃
-爆哭 大哭|暴风哭泣 大哭|DNA动了 被触动|上头 沉迷|下头 失望|栓Q 谢谢|蚌埠住了 绷不住了|泰裤辣 太酷了|特种兵式 高效快速
-牛 厉害|牛逼 厉害|nb 厉害|NB 厉害|牛批 厉害|6 厉害|66 厉害|666 厉害|6666 厉害|tql 太强了|TQL 太强了|太强了 很强|绝了 太好了|芜湖 好棒
-awsl 可爱死了|AWSL 可爱死了|太可了 太可爱了|真香 真好|神仙 很好|神 很好|顶 支持|顶顶 支持|火钳刘明 火前留名|蹲 等待
-吐了 讨厌|yue了 想吐|无语 无话可说|离谱 不可思议|离大谱 非常离谱|服了 无奈|醉了 无语|佛了 无语|怎么说呢 不好评价|就这 很差|就这？ 很差|就这? 很差
-辣眼睛 很难看|辣鸡 垃圾|渣渣 垃圾|拉胯 很差|拉跨 很差|摆烂 放弃|摆了 放弃|老六 阴险的人|挂 作弊|脱粉 不再喜欢|避雷 不推荐
-hhhh 哈哈哈哈|hhh 哈哈哈|hh 哈哈|233 哈哈哈|2333 哈哈哈|23333 哈哈哈|xswl 笑死我了|XSWL 笑死我了|emmm 嗯|emm 嗯|em 嗯|额 嗯|昂 嗯
-咋 怎么|咋了 怎么了|咋整 怎么办|咋滴 怎么|啥 什么|啥玩意 什么东西|搞毛 干什么|咋肥四 怎么回事
-xdm 兄弟们|XDM 兄弟们|jms 姐妹们|JMS 姐妹们|gg 哥哥|GG 哥哥|jj 姐姐|JJ 姐姐|mm 妹妹|MM 妹妹|dd 弟弟|DD 弟弟|gf 女朋友|GF 女朋友|bf 男朋友|BF 男朋友
-py 朋友|PY 朋友|zqsg 真情实感|ZQSG 真情实感|dbq 对不起|DBQ 对不起|nsdd 你说得对|NSDD 你说得对|xjj 小姐姐|XJJ 小姐姐|xgg 小哥哥|XGG 小哥哥
-bdjw 不懂就问|BDJW 不懂就问|yygq 阴阳怪气|YYGQ 阴阳怪气|ssfd 瑟瑟发抖|SSFD 瑟瑟发抖|cpdd 处对象|CPDD 处对象
-安利 推荐|种草 推荐|拔草 买了|入坑 开始喜欢|脱坑 不再喜欢|pick 选择支持|打call 支持|应援 支持|爬墙 转移喜好|糊了 不火了|糊 不火|出圈 变得流行
-塌房 偶像出问题|锤 揭露黑料|洗白 辩解|控评 控制评论
-"""
+SLANG = {
+    "yyds": "永远的神", "YYDS": "永远的神", "绝绝子": "太绝了", "无语子": "无语", "笑死": "很好笑", "笑死了": "很好笑", "笑哭": "很好笑",
+    "裂开": "崩溃", "破防": "情绪崩溃", "破大防": "情绪崩溃", "爆哭": "大哭", "暴风哭泣": "大哭", "DNA动了": "被触动", "上头": "沉迷", "下头": "失望",
+    "栓Q": "谢谢", "蚌埠住了": "绷不住了", "泰裤辣": "太酷了", "特种兵式": "高效快速", "牛": "厉害", "牛逼": "厉害", "nb": "厉害", "NB": "厉害",
+    "牛批": "厉害", "6": "厉害", "66": "厉害", "666": "厉害", "6666": "厉害", "tql": "太强了", "TQL": "太强了", "太强了": "很强",
+    "绝了": "太好了", "芜湖": "好棒", "awsl": "可爱死了", "AWSL": "可爱死了", "太可了": "太可爱了", "真香": "真好", "神仙": "很好", "神": "很好",
+    "顶": "支持", "顶顶": "支持", "火钳刘明": "火前留名", "蹲": "等待", "吐了": "讨厌", "yue了": "想吐", "无语": "无话可说", "离谱": "不可思议",
+    "离大谱": "非常离谱", "服了": "无奈", "醉了": "无语", "佛了": "无语", "怎么说呢": "不好评价", "就这": "很差", "就这？": "很差", "就这?": "很差",
+    "辣眼睛": "很难看", "辣鸡": "垃圾", "渣渣": "垃圾", "拉胯": "很差", "拉跨": "很差", "摆烂": "放弃", "摆了": "放弃", "老六": "阴险的人",
+    "挂": "作弊", "脱粉": "不再喜欢", "避雷": "不推荐", "hhhh": "哈哈哈哈", "hhh": "哈哈哈", "hh": "哈哈", "233": "哈哈哈",
+    "2333": "哈哈哈", "23333": "哈哈哈", "xswl": "笑死我了", "XSWL": "笑死我了", "emmm": "嗯", "emm": "嗯", "em": "嗯",
+    "额": "嗯", "昂": "嗯", "咋": "怎么", "咋了": "怎么了", "咋整": "怎么办", "咋滴": "怎么", "啥": "什么", "啥玩意": "什么东西",
+    "搞毛": "干什么", "咋肥四": "怎么回事", "xdm": "兄弟们", "XDM": "兄弟们", "jms": "姐妹们", "JMS": "姐妹们", "gg": "哥哥",
+    "GG": "哥哥", "jj": "姐姐", "JJ": "姐姐", "mm": "妹妹", "MM": "妹妹", "dd": "弟弟", "DD": "弟弟", "gf": "女朋友",
+    "GF": "女朋友", "bf": "男朋友", "BF": "男朋友", "py": "朋友", "PY": "朋友", "zqsg": "真情实感", "ZQSG": "真情实感",
+    "dbq": "对不起", "DBQ": "对不起", "nsdd": "你说得对", "NSDD": "你说得对", "xjj": "小姐姐", "XJJ": "小姐姐", "xgg": "小哥哥",
+    "XGG": "小哥哥", "bdjw": "不懂就问", "BDJW": "不懂就问", "yygq": "阴阳怪气", "YYGQ": "阴阳怪气", "ssfd": "瑟瑟发抖",
+    "SSFD": "瑟瑟发抖", "cpdd": "处对象", "CPDD": "处对象", "安利": "推荐", "种草": "推荐", "拔草": "买了", "入坑": "开始喜欢",
+    "脱坑": "不再喜欢", "pick": "选择支持", "打call": "支持", "应援": "支持", "爬墙": "转移喜好", "糊了": "不火了", "糊": "不火",
+    "出圈": "变得流行", "塌房": "偶像出问题", "锤": "揭露黑料", "洗白": "辩解", "控评": "控制评论",
+}
 
 
 def slang_pairs(extra: dict[str, str] | None = None) -> list[tuple[str, str]]:
     """(slang, plain), longest slang first; equal lengths keep their order of definition."""
-    pairs = dict(x.split(" ") for line in SLANG.strip().split("\n") for x in line.split("|")) | (extra or {})
-    return sorted(pairs.items(), key=lambda p: -len(p[0]))
+    return sorted((SLANG | (extra or {})).items(), key=lambda p: -len(p[0]))
 
 
 def strip_html(c: Column) -> Column:
@@ -75,9 +80,13 @@ def to_simplified(c: Column, table: dict[str, str]) -> Column:
 
 
 def normalize_slang(c: Column, extra: dict[str, str] | None = None) -> Column:
-    """Slang replaced longest first, each replacement seen by the later ones."""
+    """Slang replaced longest first, each replacement seen by the later ones.
+
+    A chain of replacements begins with a key of the text itself, so a text without any key is
+    left alone after one look."""
+    some = F.greatest(*[F.contains(c, F.lit(k)) for k, _ in slang_pairs(extra) if not any(o in k for o, _ in slang_pairs(extra) if o != k)], F.lit(False))
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in slang_pairs(extra)])
-    return F.aggregate(pairs, c, lambda text, p: F.replace(text, p["k"], p["v"]))
+    return F.when(some, F.aggregate(pairs, c, lambda text, p: F.replace(text, p["k"], p["v"]))).otherwise(c)
 
 
 def squeeze_repeats(c: Column, n: int = 3) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_NORM = 1e-12
+#: Items of one part that meets a block of centroids, about.
+ITEMS = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,7 +23,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(LEAST_NORM)))
+    """``a`` over its norm, which is worked out once."""
+    once = F.array(F.greatest(norm(a), F.lit(LEAST_NORM)))
+    return F.transform(once, lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str, weight: Column | None = None) -> DataFrame:
@@ -57,6 +61,8 @@ def nearest(items: DataFrame, centroids: DataFrame, k: int = 1, item: str = "id"
 
         out = items.select(item, vector).mapInPandas(run, schema)
     else:
+        # parts of the items in proportion to their number, so that a part is a bounded block
+        salts = max(1, -(-items.count() // ITEMS))
         blocks = found.withColumn("block", F.pmod(F.xxhash64("topic_id"), F.lit(-(-size[0] * size[1] // limit))))
         wide = items.select(item, vector).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-size[0] * size[1] // limit) - 1).cast("long"))))
 
@@ -68,8 +74,8 @@ def nearest(items: DataFrame, centroids: DataFrame, k: int = 1, item: str = "id"
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             return pd.DataFrame({item: np.repeat(left[item].to_numpy(), best.shape[1]), "topic_id": right["topic_id"].to_numpy()[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
 
-        salt = F.pmod(F.xxhash64(item), F.lit(64))
-        blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+        salt = F.pmod(F.xxhash64(item), F.lit(salts))
+        blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         out = wide.withColumn("salt", salt).groupBy("block", "salt").cogroup(blocks.groupBy("block", "salt")).applyInPandas(pair, schema)
     from pyspark.sql import Window as W
 

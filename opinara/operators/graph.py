@@ -62,7 +62,7 @@ def merge_entities(extractions: DataFrame) -> DataFrame:
     p = e.filter(F.size("e.properties") > 0).select("topic_id", "key", "type", "ord", F.explode("e.properties").alias("k", "v"))
     p = p.groupBy("topic_id", "key", "type", "k").agg(F.max_by("v", "ord").alias("v"))
     p = p.groupBy("topic_id", "key", "type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
-    out = base.join(p, ["topic_id", "key", "type"], "left")
+    out = base.join(p.hint("merge"), ["topic_id", "key", "type"], "left")
     return out.select("topic_id", "name", "type", "mentions", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))
 
 
@@ -85,21 +85,21 @@ def graph_tables(entities: DataFrame, relations: DataFrame) -> dict[str, DataFra
     nodes = entities.groupBy("name", "type").agg(F.sum("mentions").alias("mentions"))
     belongs = entities.select("name", "type", "topic_id").distinct()
     names = belongs.select("topic_id", "name").distinct()
-    edges = relations.join(names.withColumnRenamed("name", "head"), ["topic_id", "head"], "left_semi").join(names.withColumnRenamed("name", "tail"), ["topic_id", "tail"], "left_semi")
+    edges = relations.join(names.withColumnRenamed("name", "head").hint("merge"), ["topic_id", "head"], "left_semi").join(names.withColumnRenamed("name", "tail").hint("merge"), ["topic_id", "tail"], "left_semi")
     return {"nodes": nodes, "belongs": belongs, "edges": edges.dropDuplicates(["topic_id", "head", "relation", "tail"])}
 
 
 def drop_topic_graph(graph: dict[str, DataFrame], topic: int) -> dict[str, DataFrame]:
     """The graph without a topic's links; nodes that no topic is left for go."""
     belongs = graph["belongs"].filter(F.col("topic_id") != topic)
-    nodes = graph["nodes"].join(belongs.select("name", "type"), ["name", "type"], "left_semi")
+    nodes = graph["nodes"].join(belongs.select("name", "type").hint("merge"), ["name", "type"], "left_semi")
     return {"nodes": nodes, "belongs": belongs, "edges": graph["edges"].filter(F.col("topic_id") != topic)}
 
 
 def topic_graph_report(graph: dict[str, DataFrame], topic: int, n: int = 10) -> dict[str, DataFrame]:
     """Entity types with five examples, relation types, top entities and top relations of a topic."""
     own = graph["belongs"].filter(F.col("topic_id") == topic)
-    e = graph["nodes"].join(own.select("name", "type"), ["name", "type"], "left_semi")
+    e = graph["nodes"].join(own.select("name", "type").hint("merge"), ["name", "type"], "left_semi")
     r = graph["edges"].filter(F.col("topic_id") == topic)
     ranked = e.withColumn("r", F.row_number().over(W.partitionBy("type").orderBy(F.desc("mentions"), "name")))
     types = ranked.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "name")))), lambda x: x["name"]), ",").alias("examples"))

@@ -38,7 +38,7 @@ def unanalyzed_hot(news: DataFrame, analysis: DataFrame, domain: int | None = No
 
 
 def news_domain_pairs(news: DataFrame, domains: DataFrame) -> DataFrame:
-    """Every item with every enabled domain: the domains are a small, counted dimension."""
+    """Every item with every enabled domain: the domains are a small, counted dimension (10,000 at most)."""
     d = written(domains.select("domain_id", "domain_name", "domain_keywords"), "domains")
     return news.withColumn("_k", F.lit(0)).join(small_side(d.withColumn("_k", F.lit(0)), 10_000), "_k").drop("_k")
 

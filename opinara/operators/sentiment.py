@@ -23,21 +23,21 @@ EMOTIONS = {
 }
 # Words that tell an emotion, in the order in which tags are given.
 LEXICON = {
-    "喜悦": "开心 高兴 快乐 太好了 哈哈 嘻嘻 棒 好 赞",
-    "兴奋": "激动 兴奋 太棒了 太厉害 牛 nb awesome",
-    "满足": "满足 满意 舒服 享受 幸福",
-    "感激": "感谢 谢谢 多亏 感恩 感激",
-    "爱": "爱 喜欢 爱你 心 ❤ 💕 😍",
-    "愤怒": "气死 生气 愤怒 怒 火大 可恶 操 艹",
-    "厌恶": "恶心 讨厌 烦 垃圾 恶 呸",
-    "悲伤": "难过 伤心 哭 悲 痛 😢 😭",
-    "恐惧": "害怕 恐惧 吓 怕 担心",
-    "失望": "失望 遗憾 可惜 唉 差 烂",
-    "惊讶": "惊 震惊 没想到 居然 竟然 wow",
-    "困惑": "困惑 迷惑 不懂 什么意思 为什么",
-    "好奇": "好奇 想知道 是什么 怎么",
-    "期待": "期待 希望 盼 等",
-    "焦虑": "焦虑 着急 急 慌",
+    "喜悦": ("开心", "高兴", "快乐", "太好了", "哈哈", "嘻嘻", "棒", "好", "赞"),
+    "兴奋": ("激动", "兴奋", "太棒了", "太厉害", "牛", "nb", "awesome"),
+    "满足": ("满足", "满意", "舒服", "享受", "幸福"),
+    "感激": ("感谢", "谢谢", "多亏", "感恩", "感激"),
+    "爱": ("爱", "喜欢", "爱你", "心", "❤", "💕", "😍"),
+    "愤怒": ("气死", "生气", "愤怒", "怒", "火大", "可恶", "操", "艹"),
+    "厌恶": ("恶心", "讨厌", "烦", "垃圾", "恶", "呸"),
+    "悲伤": ("难过", "伤心", "哭", "悲", "痛", "😢", "😭"),
+    "恐惧": ("害怕", "恐惧", "吓", "怕", "担心"),
+    "失望": ("失望", "遗憾", "可惜", "唉", "差", "烂"),
+    "惊讶": ("惊", "震惊", "没想到", "居然", "竟然", "wow"),
+    "困惑": ("困惑", "迷惑", "不懂", "什么意思", "为什么"),
+    "好奇": ("好奇", "想知道", "是什么", "怎么"),
+    "期待": ("期待", "希望", "盼", "等"),
+    "焦虑": ("焦虑", "着急", "急", "慌"),
 }
 DEFAULT_TAG = {"positive": "喜悦", "negative": "失望"}
 CALM = "平静"
@@ -69,9 +69,13 @@ def scoring_text(body: Column, title: Column, chars: int = 500) -> Column:
 
 def emotion_tags(c: Column, sentiment: Column, most: int = 3) -> Column:
     """Emotions whose words the text has, in the lexicon's order, at most three; else one by sentiment."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    hits = [F.when(F.greatest(*[F.contains(text, F.lit(w)) for w in words.split(" ")]), tag) for tag, words in LEXICON.items()]
-    tags = F.slice(F.array_compact(F.array(*hits)), 1, most)
+
+    def found(text: Column) -> Column:
+        hits = [F.when(F.greatest(*[F.contains(text, F.lit(w)) for w in words]), tag) for tag, words in LEXICON.items()]
+        return F.slice(F.array_compact(F.array(*hits)), 1, most)
+
+    # the text is lower-cased once
+    tags = F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), found)[0]
     default = F.coalesce(F.try_element_at(_map(DEFAULT_TAG), F.coalesce(sentiment, F.lit(""))), F.lit(CALM))
     return F.when(F.size(tags) == 0, F.array(default)).otherwise(tags)
 

@@ -10,13 +10,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.functions.text import SPACE, clean, clean_for_segmentation
+from opinara.scratch import tidy, written
+from opinara.skew import heavy_keys, salted_join
 
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
 TOKEN = rf"[\p{{L}}\p{{N}}_&&[^{HAN}]]+|[{HAN}]+"
 #: Dictionary words that are broadcast to the tasks at most.
 DICTIONARY_WORDS = 2_000_000
 # The stop words that every list starts with; longer lists come as a table or a file.
-STOPWORDS = "的 了 是 在 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 他 她 它 们 这个 那个 什么 怎么 为什么 哪 哪里 谁 多少 几 吗 呢 吧 啊 呀 哦 嗯 哈 而 但 但是 可是 因为 所以 如果 并且 而且 或者 还是 就是 这样 那样 更 最 太 非常 还 又 再 已经 从 向 对 给 把 被 让 为 可以 能 能够 应该 可能 只 才 便 之 以 及 并 且 与 同 哈哈 哈哈哈 呵呵 嘿嘿 嘻嘻 233 666 啦 咯 嘛 么".split()
+STOPWORDS = (
+    "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要",
+    "去", "你", "会", "着", "没有", "看", "好", "自己", "这", "那", "他", "她", "它", "们", "这个", "那个", "什么", "怎么",
+    "为什么", "哪", "哪里", "哪个", "谁", "多少", "几", "怎样", "如何", "吗", "呢", "吧", "啊", "呀", "哦", "嗯", "噢", "哈",
+    "呵", "嘿", "哎", "唉", "哇", "咦", "喂", "嗨", "哼", "嘻", "呃", "而", "但", "但是", "然而", "可是", "虽然", "虽",
+    "因为", "所以", "因此", "于是", "如果", "假如", "要是", "只要", "除非", "不管", "无论", "既然", "即使", "尽管", "并且", "而且",
+    "或者", "还是", "不但", "不仅", "只是", "就是", "这样", "那样", "这么", "那么", "怎么样", "如此", "比较", "更", "最", "太",
+    "非常", "特别", "十分", "相当", "极", "挺", "蛮", "颇", "稍", "略", "还", "又", "再", "已经", "曾经", "正在", "将要",
+    "刚刚", "刚", "马上", "立刻", "从", "向", "往", "朝", "对", "给", "把", "被", "让", "叫", "使", "令", "为", "为了",
+    "关于", "对于", "至于", "按照", "根据", "通过", "经过", "随着", "由于", "除了", "除", "可以", "能", "能够", "应该", "必须",
+    "需要", "可能", "或许", "大概", "也许", "一定", "肯定", "当然", "确实", "其实", "实际上", "事实上", "本来", "原来", "反正", "只",
+    "仅", "仅仅", "光", "单", "才", "便", "竟", "竟然", "居然", "果然", "终于", "总算", "到底", "究竟", "几乎", "差不多", "大约",
+    "左右", "上下", "前后", "之", "之前", "之后", "之间", "之中", "以", "以前", "以后", "以来", "以内", "以外", "以上", "以下",
+    "及", "及其", "以及", "并", "且", "与", "同", "哈哈", "哈哈哈", "呵呵", "嘿嘿", "嘻嘻", "233", "666", "啦", "咯", "喽",
+    "嘛", "么", "哒", "呐", "捏", "撒",
+)
 
 
 def latin_tokens(c: Column) -> Column:
@@ -67,9 +84,10 @@ def drop_stopwords(c: Column, words: list[str] | None = None) -> Column:
 
 def drop_stopword_rows(tokens: DataFrame, words: DataFrame, col: str = "word") -> DataFrame:
     """One token a row: those in a table of stop words of any size go."""
-    return tokens.join(words.select(F.col("word").alias(col)).distinct(), col, "left_anti")
+    return tokens.join(words.select(F.col("word").alias(col)).distinct().hint("merge"), col, "left_anti")
 
 
+@tidy
 def keywords_tfidf(df: DataFrame, k: int, idf: DataFrame | None = None, id_col: str = "id", tokens: str = "tokens") -> DataFrame:
     """(id, word, weight, rank): the k words of highest tf * idf of each row.
 
@@ -77,12 +95,14 @@ def keywords_tfidf(df: DataFrame, k: int, idf: DataFrame | None = None, id_col:
     go to the lesser word.
     """
     words = df.select(id_col, F.explode(tokens).alias("word"))
-    tf = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    tf = written(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")), "tfidf-counts")
     sizes = df.select(id_col, F.size(tokens).alias("size"))
     if idf is None:
         total = df.agg(F.count(F.lit(1)).alias("total"))
         idf = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("word", F.log(F.col("total") / F.col("df")).alias("idf"))  # one row
-    scored = tf.join(idf, "word").join(sizes, id_col).select(id_col, "word", F.round(F.col("n") / F.col("size") * F.col("idf"), 6).alias("weight"))
+    # the commonest words stand in nearly every row
+    both = salted_join(tf, idf, ["word"], heavy_keys(tf, ["word"]), by=F.xxhash64(id_col))
+    scored = both.hint("merge").join(sizes, id_col).select(id_col, "word", F.round(F.col("n") / F.col("size") * F.col("idf"), 6).alias("weight"))
     best = W.partitionBy(id_col).orderBy(F.desc("weight"), "word")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -129,7 +149,7 @@ def _processed(df: DataFrame, body: str, k: int, title: str | None, dictionary:
     every = F.concat(F.col("title_tokens"), F.col("content_tokens")) if title else F.col("content_tokens")
     words = keywords_tfidf(out.select("id", every.alias("tokens")), k)
     lists = words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
-    out = out.join(lists, "id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    out = out.join(lists.hint("merge"), "id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     return out.withColumns({"char_count": F.length("clean_content"), "word_count": F.size("content_tokens"), "status": F.when(F.col(body).isNull(), "error").otherwise("completed")})
 
 

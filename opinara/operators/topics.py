@@ -43,7 +43,7 @@ def update_centroids(topics: DataFrame, assigned: DataFrame) -> DataFrame:
     every = both.unionByName(more)
     # each vector counts once, whatever its number of components
     counts = every.groupBy("topic_id").agg(F.sum("m").alias("n"))
-    return counts.join(mean_vectors(every, "topic_id", "v", F.col("w")).drop("n"), "topic_id")
+    return counts.hint("merge").join(mean_vectors(every, "topic_id", "v", F.col("w")).drop("n"), "topic_id")
 
 
 def _leaders(rows: DataFrame, threshold: float) -> DataFrame:
@@ -271,7 +271,7 @@ def hot_score(df: DataFrame, new: str = "new_count", interaction: str = "interac
 def update_topic_stats(topics: DataFrame, content: DataFrame) -> DataFrame:
     """Topics with all statistics renewed; a missing mean score is 0."""
     s = heat_level(dominant_sentiment(topic_content_stats(content))).withColumn("mean_score", F.coalesce("mean_score", F.lit(0.0)))
-    s = s.join(platform_distribution(content), "topic_id", "left").join(dominant_emotions(content), "topic_id", "left")
+    s = s.join(platform_distribution(content).hint("merge"), "topic_id", "left").join(dominant_emotions(content).hint("merge"), "topic_id", "left")
     return topics.select(*[c for c in topics.columns if c == "topic_id" or c not in s.columns]).join(s, "topic_id", "left")
 
 

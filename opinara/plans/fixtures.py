@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from opinara.operators.adapters import PLATFORMS
 
 NOW = datetime(2024, 1, 31)
+#: Tables with texts, whose rows are dear to work on.
+TEXTS = ("documents", "pages", "conversations")
 _P = ", ".join(f"'{p}'" for p in PLATFORMS)
 
 #: Every product table as one statement that both engines run; {div} is whole division.
@@ -68,7 +70,10 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # a table of one row group is one scan task: only then its rows are dealt to all cores
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:

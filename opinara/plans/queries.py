@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions import text as T
 from opinara.functions import vectors as V
 from opinara.operators import adapters, graph, hot, sentiment, tokens, topics, upsert
+from opinara.plans import more_queries, payload_queries
 from opinara.plans.fixtures import NOW, Tables, rounded, with_sql
 from opinara.sources import flatten, pages
 from opinara.streaming import streams
@@ -282,7 +283,7 @@ def process_contents(t: Tables) -> DataFrame:
 
 
 def _tags_sql() -> str:
-    hits = ", ".join(f"CASE WHEN {' OR '.join(f'contains(x, {_lit(w)})' for w in words.split(' '))} THEN '{tag}' END" for tag, words in sentiment.LEXICON.items())
+    hits = ", ".join(f"CASE WHEN {' OR '.join(f'contains(x, {_lit(w)})' for w in words)} THEN '{tag}' END" for tag, words in sentiment.LEXICON.items())
     return f"""{with_sql("content")}, l AS (SELECT id, sentiment, lower(content) AS x FROM content), h AS (SELECT id, sentiment, list_filter([{hits}], lambda v: v IS NOT NULL)[1:3] AS tags FROM l)
 SELECT id, CASE WHEN len(tags) > 0 THEN array_to_string(tags, ',') WHEN sentiment = 'positive' THEN '喜悦' WHEN sentiment = 'negative' THEN '失望' ELSE '平静' END AS tags FROM h"""
 
@@ -579,3 +580,8 @@ def daily_window(t: Tables) -> DataFrame:
 def two_hour_window(t: Tables) -> DataFrame:
     e = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.stream_hot_counts(e, "2 hours", "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+for registered in (payload_queries.QUERIES, more_queries.QUERIES):
+    QUERIES |= {name: (lambda f: lambda spark, sf_dir: f(Tables(spark, sf_dir)))(f) for name, (f, _) in registered.items()}
+    SQL |= {name: sql for name, (_, sql) in registered.items()}

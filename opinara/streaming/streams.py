@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from opinara.functions.text import clean
 from opinara.operators.adapters import adapt_content
 from opinara.operators.tokens import drop_stopwords, latin_tokens
-from opinara.operators.upsert import upsert
+from opinara.operators.upsert import latest, upsert
 
 KEYS = ["platform", "content_id"]
 #: Columns that a repeated delivery does not renew.
@@ -30,7 +30,7 @@ def stream_unify(spark: SparkSession, source: DataFrame, platform: str, root: st
     """Raw rows of a platform, upserted into unified content batch by batch."""
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = adapt_content(batch, platform).dropDuplicates(KEYS)
+        rows = latest(adapt_content(batch, platform), KEYS, [F.col("last_modify_ts"), F.col("add_ts"), F.col("content")])
         versioned_upsert(batch.sparkSession, root, rows, number, KEYS, [c for c in rows.columns if c not in KEYS + KEPT])
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
