@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from opinara.functions.vectors import l2_normalize, mean_vectors, nearest, pairs_above
 from opinara.operators.upsert import upsert
-from opinara.scratch import written
+from opinara.scratch import scratch_root, written
 
 MATCH, MERGE = 0.75, 0.90
+#: Rows that are settled as leaders in one task.
+LEADERS = 2000
 GROW, IDLE_DAYS, END_DAYS = 10, 7, 30
 STATUSES = ("emerging", "active", "declining", "ended", "merged")
 
@@ -46,21 +49,48 @@ def update_centroids(topics: DataFrame, assigned: DataFrame) -> DataFrame:
     return counts.hint("merge").join(mean_vectors(every, "topic_id", "v", F.col("w")).drop("n"), "topic_id")
 
 
-def _leaders(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, vector) of rows that are within ``threshold`` of no leader before them in their partition."""
+def _first_leaders(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Rows of a block in id order that are within ``threshold`` of no leader before them in it."""
+    found, n = np.zeros((0, 0)), 0
+    for b in batches:
+        keep = []
+        for i, v in enumerate(b["vector"]):
+            if n and float(np.max(found[:n] @ v)) >= threshold:
+                continue
+            if n == len(found):  # the matrix doubles, so a row is copied a bounded number of times
+                found = np.concatenate([found.reshape(n, len(v)), np.zeros((max(64, n), len(v)))])
+            found[n], n = v, n + 1
+            keep.append(i)
+        yield b.iloc[keep]
 
-    def run(batches: Iterator[pd.DataFrame]):
-        found: list[np.ndarray] = []
-        for b in batches:
-            keep = []
-            for i, v in enumerate(b["vector"]):
-                v = np.asarray(v, dtype=float)
-                if not found or float(np.max(np.stack(found) @ v)) < threshold:
-                    found.append(v)
-                    keep.append(i)
-            yield b.iloc[keep]
 
-    return rows.select("id", "vector").mapInPandas(run, rows.select("id", "vector").schema)
+def leaders(rows: DataFrame, threshold: float, block: int = LEADERS) -> DataFrame:
+    """(id, vector) of the rows that are within ``threshold`` of no leader before them in id order.
+
+    In turns the first ``block`` open rows are settled in one task, and all tasks strike the open
+    rows that are within the threshold of these leaders, so no task or driver sees more than a block.
+    Ids are unique.
+    """
+    spark, turns, open_ = rows.sparkSession, [], rows.select("id", "vector")
+    while True:
+        head = written(open_.orderBy("id").limit(block), "cluster-head")
+        n, last = head.agg(F.count(F.lit(1)), F.max("id")).first()
+        fresh = written(head.coalesce(1).sortWithinPartitions("id").mapInPandas(lambda batches: _first_leaders(batches, threshold), open_.schema), "cluster-leaders")
+        turns += fresh.inputFiles()
+        if n < block:
+            return spark.read.schema(open_.schema).parquet(*turns)
+        after = open_.filter(F.col("id") > last)
+        struck = nearest(after, fresh.select(F.col("id").alias("topic_id"), F.col("vector").alias("centroid")), 1).filter(F.col("similarity") >= threshold)
+        open_ = written(after.hint("merge").join(struck.select("id"), "id", "left_anti"), "cluster-open")
+
+
+def _batched(items: DataFrame, batch: int) -> DataFrame:
+    """``items`` with ``batch``: their place in id order over ``batch``, counted by partitions."""
+    items = written(items.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()), "cluster-items")
+    before = items.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
+    place = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1 + F.col("before")
+    return written(items.join(F.broadcast(before), "part").withColumn("batch", F.floor(place / batch)).drop("part"), "cluster-batches")
 
 
 def cluster_incremental(items: DataFrame, topics: DataFrame, threshold: float = MATCH, batch: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -68,42 +98,37 @@ def cluster_incremental(items: DataFrame, topics: DataFrame, threshold: float =
     ``threshold`` on, or start topics of their own.
 
     A batch is synchronous: rows are compared with the topics as they stood at its begin; those left
-    are reduced to leaders in their partitions, leaders again in id order, and rows join the nearest
-    leader.  Centroids move at a batch's end.  With batches of one row this is the sequential rule.
-    ``assigned`` has id, topic_id and the similarity before the update, 1.0 for a topic's first row.
+    whose vectors are within the threshold of no leader before them in id order are leaders, and the
+    others join the nearest leader.  Centroids move at a batch's end.  With batches of one row this
+    is the sequential rule.  ``assigned`` has id, topic_id and the similarity before the update, 1.0
+    for a topic's first row.  Ids are unique; rows without an id or a vector take no part.
     """
-    items = written(items.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).repartitionByRange("id"), "cluster-items")
-    n, low, high = items.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+    spark = items.sparkSession
+    items = items.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).dropna()
+    items = _batched(items, batch)
     topics = written(topics.select("topic_id", F.col("n").cast("long").alias("n"), "centroid"), "cluster-topics")
-    done = None
-    cuts = [low - 1, high] if n else []
-    if n > batch:
-        parts = -(-n // batch)
-        cuts = [low - 1, *items.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100_000)).first()[0], high]
-    if n and batch == 1:
-        cuts = [low - 1, *sorted(r.id for r in items.select("id").collect())]  # tests only: one row a batch
+    turns = items.agg(F.max("batch")).first()[0]
     next_id = (topics.agg(F.max("topic_id")).first()[0] or 0) + 1
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        rows = items.filter((F.col("id") > a) & (F.col("id") <= b))
+    assigned = f"{scratch_root(spark)}/cluster-assigned-{uuid.uuid4().hex}"
+    schema = f"id {dict(items.dtypes)['id']}, topic_id long, similarity double"
+    if turns is None:
+        return spark.createDataFrame([], schema), topics
+    for turn in range(turns + 1):
+        rows = items.filter(F.col("batch") == turn).select("id", "vector")
         near = written(nearest(rows, topics, 1).filter(F.col("similarity") >= threshold).select("id", "topic_id", "similarity"), "cluster-near")
-        left = written(rows.join(near.select("id").hint("merge"), "id", "left_anti"), "cluster-left")
-        seeds = _leaders(left.sortWithinPartitions("id"), threshold)
-        seeds = written(_leaders(seeds.repartition(1).sortWithinPartitions("id"), threshold), "cluster-seeds")  # one row a new topic
-        rank = F.row_number().over(W.orderBy("id"))
-        fresh = written(seeds.select("id", F.col("vector").alias("centroid"), (rank + next_id - 1).cast("long").alias("topic_id")), "cluster-fresh")
-        made = fresh.count()
+        left = written(rows.hint("merge").join(near.select("id"), "id", "left_anti"), "cluster-left")
+        # one row a new topic; numbered by place in id order
+        seeds = _batched(leaders(left, threshold), 1) if left.head(1) else left.withColumn("batch", F.lit(0).cast("long"))
+        fresh = written(seeds.select("id", F.col("vector").alias("centroid"), (F.col("batch") + next_id).cast("long").alias("topic_id")), "cluster-fresh")
         first = fresh.select("id", "topic_id", F.lit(1.0).alias("similarity"))
-        rest = nearest(left.join(fresh.select("id").hint("merge"), "id", "left_anti"), fresh.select("topic_id", "centroid"), 1)
-        rest = rest.select("id", "topic_id", "similarity")
-        now = written(near.unionByName(first).unionByName(rest), "cluster-assigned")
-        done = now if done is None else done.unionByName(now)
-        moved = rows.join(now.select("id", "topic_id").hint("merge"), "id").join(fresh.select("id").hint("merge"), "id", "left_anti")
+        rest = nearest(left.hint("merge").join(fresh.select("id"), "id", "left_anti"), fresh.select("topic_id", "centroid"), 1)
+        near.unionByName(first).unionByName(rest.select("id", "topic_id", "similarity")).write.parquet(f"{assigned}/{turn}")
+        now = spark.read.schema(schema).parquet(f"{assigned}/{turn}")
+        moved = rows.hint("merge").join(now.select("id", "topic_id"), "id").hint("merge").join(fresh.select("id"), "id", "left_anti")
         every = topics.unionByName(fresh.select("topic_id", F.lit(1).cast("long").alias("n"), "centroid"))
         topics = written(update_centroids(every, moved.select("topic_id", "vector")), "cluster-topics")
-        next_id += made
-    if done is None:
-        done = items.select("id", F.lit(0).cast("long").alias("topic_id"), F.lit(0.0).alias("similarity"))
-    return done, topics
+        next_id += fresh.count()
+    return spark.read.schema(schema).parquet(f"{assigned}/*"), topics
 
 
 def new_topics(seeds: DataFrame) -> DataFrame:

@@ -135,8 +135,7 @@ def normalize_slang(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.md5(T.normalize_slang(F.col("text"))).alias("slang"))
 
 
-def _clean_sql() -> str:
-    c = "text"
+def _clean_sql(c: str = "text", to: str = "md5({}) AS cleaned") -> str:
     for n in ("html", "urls", "emails", "mentions", "hashtags", "emojis"):
         c = _re(c, n)
     # repeats: runs by position over the characters, as the engine has no back-references
@@ -145,7 +144,7 @@ u AS (SELECT doc_id, unnest(string_split(s, '')) AS ch, generate_subscripts(stri
 g AS (SELECT doc_id, ch, i, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM u),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ch, run ORDER BY i) AS n FROM g),
 j AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS s FROM k WHERE n <= 3 OR ch = chr(10) GROUP BY doc_id)
-SELECT a.doc_id, md5(regexp_replace({_re("coalesce(j.s, '')", "space")}, {_lit(rf"^[{T.SPACE}]+|[{T.SPACE}]+$")}, '', 'g')) AS cleaned FROM a LEFT JOIN j USING (doc_id)"""
+SELECT a.doc_id, {to.format(f"""regexp_replace({_re("coalesce(j.s, '')", "space")}, {_lit(rf"^[{T.SPACE}]+|[{T.SPACE}]+$")}, '', 'g')""")} FROM a LEFT JOIN j USING (doc_id)"""
 
 
 @query(_clean_sql())
@@ -256,10 +255,22 @@ def keywords_tfidf(t: Tables) -> DataFrame:
     return tokens.keywords(d, "tfidf", 10, id_col="doc_id").select("doc_id", "word", "weight", "rank")
 
 
-@query()
+def _textrank_sql(iters: int) -> str:
+    turns = "".join(
+        f"""r{i + 1} AS MATERIALIZED (SELECT e.id, e.word, 0.15::DOUBLE + 0.85::DOUBLE * sum(share * weight) AS weight FROM e JOIN r{i} r ON r.id = e.id AND r.word = e.other GROUP BY e.id, e.word),
+""" for i in range(iters))
+    return f"""WITH l AS (SELECT conv_id * 1000 + turn AS id, {_TOK} AS words FROM conversations), t AS MATERIALIZED (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM l),
+p AS (SELECT a.id, a.word, b.word AS other FROM t a JOIN t b ON a.id = b.id AND a.i - b.i BETWEEN 1 AND 4 WHERE a.word <> b.word), b AS (SELECT * FROM p UNION ALL SELECT id, other, word FROM p),
+g AS (SELECT id, word, other, count(*) AS w FROM b GROUP BY ALL), e AS MATERIALIZED (SELECT id, word, other, w / sum(w) OVER (PARTITION BY id, other)::DOUBLE AS share FROM g),
+r0 AS (SELECT DISTINCT id, word, 1.0::DOUBLE AS weight FROM e),
+{turns}k AS (SELECT id, word, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY id ORDER BY round(weight, 6) DESC, word) AS INTEGER) AS rank FROM r{iters})
+SELECT * FROM k WHERE rank <= 5"""
+
+
+@query(_textrank_sql(5))
 def keywords_textrank(t: Tables) -> DataFrame:
     d = tokens.tokenize(t.raw("conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "text").select("id", "tokens")
-    return tokens.keywords(d, "textrank", 5, iters=5)
+    return rounded(tokens.keywords(d, "textrank", 5, iters=5), "weight")
 
 
 @query(f"WITH w AS (SELECT unnest({_TOK}) AS word FROM conversations) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 20")
@@ -277,7 +288,20 @@ def process_stats(t: Tables) -> DataFrame:
     return tokens.process_stats(t.content, t.processed)
 
 
-@query()
+def _process_sql() -> str:
+    stop = "[" + ", ".join(_lit(w) for w in tokens.STOPWORDS) + "]"
+
+    def words(c: str) -> str:
+        for n in ("html", "urls", "space"):
+            c = _re(c, n)
+        return rf"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({stop}, x))"
+
+    body, title = "coalesce(text, '')", "split_part(coalesce(text, ''), chr(10), 1)"
+    return f"""WITH cleaned AS ({_clean_sql(body, "CAST(length({}) AS INTEGER) AS char_count")}), w AS (SELECT doc_id, text IS NULL AS none, {words(body)} AS words, {words(title)} AS titles FROM documents)
+SELECT doc_id AS id, CASE WHEN none THEN 'error' ELSE 'completed' END AS status, char_count, CAST(len(words) AS INTEGER) AS word_count, CAST(least(10, len(list_distinct(list_concat(words, titles)))) AS INTEGER) AS n_keywords FROM w JOIN cleaned USING (doc_id)"""
+
+
+@query(_process_sql())
 def process_contents(t: Tables) -> DataFrame:
     return tokens.process_contents(t.content.select("id", "title", "content")).select("id", "status", "char_count", "word_count", F.size("keywords").alias("n_keywords"))
 
@@ -373,9 +397,15 @@ def topic_pairs(t: Tables) -> DataFrame:
     return rounded(topics.topic_pairs(centroids(t), -2.0), "similarity")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CENTROIDS}, n AS (SELECT CAST(label AS BIGINT) AS topic_id, count(*) AS n FROM embeddings GROUP BY label),
+s AS (SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, sum(a.x * b.x) AS similarity FROM cen a JOIN cen b ON a.i = b.i AND a.topic_id < b.topic_id GROUP BY ALL HAVING sum(a.x * b.x) >= 0.05),
+p AS (SELECT row_number() OVER (ORDER BY similarity DESC, topic_a, topic_b) AS r, similarity, CASE WHEN x.n >= y.n THEN topic_b ELSE topic_a END AS source, CASE WHEN x.n >= y.n THEN topic_a ELSE topic_b END AS target
+  FROM s JOIN n x ON x.topic_id = topic_a JOIN n y ON y.topic_id = topic_b),
+g AS (SELECT 0::BIGINT AS r, CAST([] AS BIGINT[]) AS gone, NULL::BIGINT AS source, NULL::BIGINT AS target, NULL::DOUBLE AS similarity, false AS taken
+  UNION ALL SELECT p.r, CASE WHEN list_contains(gone, p.source) OR list_contains(gone, p.target) THEN gone ELSE list_append(gone, p.source) END, p.source, p.target, p.similarity, NOT list_contains(gone, p.source) AND NOT list_contains(gone, p.target) FROM g JOIN p ON p.r = g.r + 1)
+SELECT source, target, round(similarity, 6) AS similarity FROM g WHERE taken""")
 def merge_topics(t: Tables) -> DataFrame:
-    return topics.merge_topics(t.topics, topics.topic_pairs(centroids(t), 0.0), 0.05)
+    return rounded(topics.merge_topics(t.topics, topics.topic_pairs(centroids(t), 0.0), 0.05), "similarity")
 
 
 @query(f"""{with_sql("content")} SELECT id, CASE topic_id WHEN 9 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 2 ELSE topic_id END AS topic_id FROM content""")

@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
 from opinara.functions import text as T
 from opinara.functions import times
@@ -133,3 +134,42 @@ def test_sql(spark, sf, name):
     cols = [c[0] for c in found.description]
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, df.select(*cols).collect())) == sorted(map(key, found.fetchall()))
+
+
+def _near(seed: int, n: int, dim: int = 6) -> list[tuple[int, list[float]]]:
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim)) + 2 * np.eye(dim)[rng.integers(0, dim, n)]
+    return [(3 * i + 1, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)]
+
+
+def test_leaders_equal_the_sequential_rule(spark):
+    rows, want = _near(5, 60), []
+    for i, v in rows:
+        if all(np.dot(v, w) < 0.6 for _, w in want):
+            want.append((i, v))
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    for block in (7, 2000):
+        assert sorted(r.id for r in topics.leaders(df, 0.6, block).collect()) == [i for i, _ in want]
+    assert topics.leaders(df.limit(0), 0.6).count() == 0
+
+
+def test_batches_of_one_row_are_the_sequential_loop(spark):
+    rows, topic, want = _near(14, 6, 3), {}, {}
+    for i, v in rows:
+        v = np.array(v)
+        best = max(topic, key=lambda t: (float(topic[t][1] @ v), -t), default=None)
+        if best is not None and float(topic[best][1] @ v) >= 0.6:
+            n, c = topic[best]
+            c = c * n + v
+            topic[best] = n + 1, c / np.linalg.norm(c)
+            want[i] = best
+        else:
+            best = want[i] = len(topic) + 1
+            topic[best] = 1, v
+    assert 1 < len(topic) < len(rows)
+    df = spark.createDataFrame([*rows, (999, None)], "id long, vector array<double>")
+    empty = spark.createDataFrame([], "topic_id long, n long, centroid array<double>")
+    done, found = topics.cluster_incremental(df, empty, 0.6, batch=1)
+    assert {r.id: r.topic_id for r in done.collect()} == want
+    assert {r.topic_id: r.n for r in found.collect()} == {t: n for t, (n, _) in topic.items()}
+    assert topics.cluster_incremental(df.limit(0), empty)[0].count() == 0
