@@ -407,3 +407,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, hub_turns: int = HUB_TURNS) ->
     least_id = root.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"))
     out = salted_join(root, least_id, ["root"], heavy_keys(root, ["root"]), "left", by=F.xxhash64("doc_id", "n"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+#: The same by an inverted index over all shingles, for tables of some thousand documents.
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS grams FROM w),
+d AS MATERIALIZED (SELECT doc_id, len(grams) AS n, md5(array_to_string(grams, chr(10))) AS sig, grams FROM l),
+e AS MATERIALIZED (SELECT sig, any_value(n) AS n, any_value(grams) AS grams, min(doc_id) AS first FROM d WHERE n > 0 GROUP BY sig),
+s AS MATERIALIZED (SELECT first, n, unnest(grams) AS gram FROM e),
+p AS (SELECT a.first AS a, b.first AS b FROM s a JOIN s b ON a.gram = b.gram AND a.first < b.first AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.first, b.first, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+k AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT first AS a, first AS b FROM e UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b),
+c AS (SELECT a AS first, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN e ON e.sig = d.sig AND d.n > 0 LEFT JOIN c ON c.first = e.first"""

@@ -89,4 +89,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_chat_format": chat.ORACLE, "op6_top_k": topk.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_chat_format": chat.ORACLE, "op4_ngram_join": ngram_join.ORACLE, "op6_top_k": topk.ORACLE}
