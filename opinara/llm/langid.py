@@ -125,7 +125,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                         c[g] += n
                     c[f"{_MARK}{script_of(w[0])}"] += n
         for lang, c in total.items():
-            yield pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())})
+            if c:  # texts of a language without any letter count nothing
+                yield pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())})
 
     sums = drawn.select("text", "lang").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(W.partitionBy("lang").orderBy(F.col("gram").startswith(_MARK).desc(), F.desc("n"), "gram"))

@@ -1,11 +1,11 @@
-"""The thin queries of the ten operators, and their SQL where SQL can express them."""
+"""The thin queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, fingerprint, langid, linedup, mixing, ngram_join, pieces, pii, topk, toxicity
+from opinara.llm import centroids, chat, fingerprint, langid, linedup, mixing, negatives, ngram_join, packing, pieces, pii, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -85,8 +99,11 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_fingerprints": op10_fingerprints,
+        "op11_centroids": op11_centroids,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_chat_format": chat.ORACLE, "op4_ngram_join": ngram_join.ORACLE, "op6_top_k": topk.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_chat_format": chat.ORACLE, "op4_ngram_join": ngram_join.ORACLE, "op6_top_k": topk.ORACLE, "op11_centroids": centroids.ORACLE, "op12_hard_negatives": negatives.ORACLE}

@@ -572,3 +572,14 @@ def _names(t):
     start = np.zeros(len(names), bool)
     start[0] = True
     return names, start
+
+
+def test_languages_whose_texts_have_no_letter_in_a_partition(spark):
+    rows = [(i, f"le texte numero {i} est en francais", "fr") for i in range(20)] + [(20, "123 456", "fr"), (21, "", "xx"), (22, None, "fr"), (23, "texte", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for spread in (table.repartitionByRange(24, "doc_id"), spark.createDataFrame(spark.sparkContext.parallelize(rows, 24), table.schema), table.coalesce(1)):
+        out = {r.doc_id: r.lang_pred for r in langid.identify(spread.select("doc_id", "text"), langid.fit(spread)).collect()}
+        assert {out[i] for i in range(20)} == {"fr"} and out[20] == out[21] == out[22] == "und"
+    letterless = table.filter("doc_id = 21")
+    assert [r.lang_pred for r in langid.identify(table.filter("doc_id = 0").select("doc_id", "text"), langid.fit(letterless)).collect()] == ["xx"]
+    assert langid.identify(letterless.select("doc_id", "text"), langid.fit(table.limit(0))).first().lang_pred == "und"
