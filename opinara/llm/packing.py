@@ -19,6 +19,7 @@ binary search.  No piece leaves Spark, and no length is gathered in one task.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -42,7 +43,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: search for fewer sequences, not what is packed.
 NODES, FILLINGS, STEPS = 60, 8, 4000
 #: Words of which a worker keeps the ids, and bytes of text that it tokenizes at a time.
-KEPT, CHUNK = 400_000, 8_000_000
+KEPT, CHUNK = 300_000, 8_000_000
+#: Letters below this code point, marks that may follow them, and how many.
+PLAIN, MARKS, MOST_MARKS = 0x250, ".,!?;:", 3
 #: Pieces of one length are numbered in this many bits.
 _RANK_BITS = 48
 
@@ -65,13 +68,22 @@ class WordCoder:
     """Ids of texts, as the tokenizer gives them, by way of their distinct words.
 
     The tokenizer drops white space and its pieces never span it, so a text's ids are those of its
-    words in a row; ids of words are kept from batch to batch.
+    words in a row.  It also splits plain letters from a mark after them, so such a word's ids are those of
+    its letters and of its marks.  Letters, normalised one by one by the tokenizer's own normaliser, go straight
+    to its merges; all other words go through it whole.  Ids of words are kept from batch to batch.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        spelled, normal = ByteLevel(add_prefix_space=False, use_regex=False), self.tokenizer.normalizer.normalize_str
+        alone = [c for c in map(chr, range(PLAIN)) if c.isalpha() and normal(c).isalpha()]
+        #: What a letter becomes before the merges.
+        self.table = {ord(c): "".join(x for x, _ in spelled.pre_tokenize_str(normal(c))) for c in alone}
+        self.plain = f"^[{''.join(alone)}]+$"
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
@@ -80,29 +92,47 @@ class WordCoder:
             _coders[path] = cls(path)
         return _coders[path]
 
-    def _learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 20_000):
-            some = words[a : a + 20_000]
+    def _ids(self, words: pa.Array, plain: np.ndarray) -> pa.Array:
+        """Ids of distinct words, as bytes."""
+        known, model, table, others = self.known, self.tokenizer.model, self.table, []
+        if len(known) > KEPT:
+            known.clear()
+            known[""] = b""
+        every = words.to_pylist()
+        for w, p in zip(every, plain.tolist(), strict=True):
+            if w not in known:
+                if p:
+                    pieces = model.tokenize(w.translate(table))
+                    known[w] = struct.pack(f"<{len(pieces)}I", *[x.id for x in pieces])
+                else:
+                    others.append(w)
+        for a in range(0, len(others), 20_000):
+            some = others[a : a + 20_000]
             coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded, strict=True))
+            known.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(some, coded, strict=True))
+        return pa.array([known[w] for w in every], pa.large_binary())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): all ids in a row, and where each text's end; a null text has none."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = pc.dictionary_encode(split.flatten())
-        words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        self._learn([w for w in words if w not in known])
-        parts = [known[w] for w in words]
-        flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        n = sizes[at] if len(at) else np.zeros(0, np.int64)
-        to = np.cumsum(n)
-        ids = flat[np.repeat(begins[at] - (to - n), n) + np.arange(to[-1])] if len(to) and to[-1] else np.zeros(0, "<u4")
-        before = np.r_[0, to]
-        return ids, before[np.cumsum(np.asarray(pc.list_value_length(split)))]
+        words = coded.dictionary
+        heads = pc.utf8_rtrim(words, characters=MARKS)
+        marks = pc.subtract(pc.utf8_length(words), pc.utf8_length(heads))
+        plain = pc.and_(pc.match_substring_regex(heads, self.plain), pc.less_equal(marks, MOST_MARKS))
+        heads = pc.if_else(plain, heads, words)
+        tails = pa.nulls(len(words), pa.string()).fill_null("")
+        for n in range(1, MOST_MARKS + 1):
+            tails = pc.if_else(pc.and_(plain, pc.equal(marks, n)), pc.utf8_slice_codeunits(words, start=-n, stop=None), tails)
+        parts = []
+        for some in (heads, tails):
+            d = pc.dictionary_encode(some)
+            alone = np.asarray(pc.match_substring_regex(d.dictionary, self.plain))
+            parts.append(self._ids(d.dictionary, alone).take(d.indices))
+        taken = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+        before = np.r_[0, np.cumsum(np.asarray(pc.binary_length(taken), np.int64)) // 4]
+        return ids[: before[-1]], before[np.cumsum(np.asarray(pc.list_value_length(split)))]
 
 
 def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -190,7 +190,7 @@ def test_millions_of_pieces_are_few_fillings():
     assert sum(t for t, _ in plan) <= 1.01 * packing.least_sequences(counts, 4096)
 
 
-TEXTS = [None, "", "  \n\t", "one", "don't  STOP now", "<|endoftext|> ǘ ́x Σ İ 123", "\U0001f600 é▁", "word " * 5000, "x" * 30_000, "one", "one"]
+TEXTS = [None, "", "  \n\t", "one", "don't  STOP now", "<|endoftext|> ǘ ́x Σ İ 123", "\U0001f600 é▁", "word " * 5000, "Été, ÉTÉ. été! naïve; ŁÓDŹ: Straße. it's 'tis ﬁn ǅ ªº µm x., ,x.",  "x" * 30_000, "one", "one"]
 
 
 @pytest.mark.parametrize("capacity", [4096, 7])
@@ -216,7 +216,8 @@ def test_packing(spark, monkeypatch, capacity):
     for placed in sequences.values():
         placed.sort()
         assert [o for o, _ in placed] == [0, *itertools.accumulate(n for _, n in placed)][:-1] and sum(placed[-1]) <= capacity
-    assert len(sequences) == packing.least_sequences(collections.Counter(r.length for r in got), capacity)
+    counts = collections.Counter(r.length for r in got)
+    assert len(sequences) == sum(t for t, _ in packing.complete(counts, capacity)) <= packing.least_sequences(counts, capacity) + 1
 
 
 def test_packing_of_nothing(spark):
