@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.functions.vectors import l2_normalize, mean_vectors, nearest, pairs_above
+from opinara.operators.leaders import leaders, numbered
 from opinara.operators.upsert import upsert
-from opinara.scratch import scratch_root, written
+from opinara.scratch import new_table, tidy, written
 
 MATCH, MERGE = 0.75, 0.90
-#: Rows that are settled as leaders in one task.
-LEADERS = 2000
 GROW, IDLE_DAYS, END_DAYS = 10, 7, 30
 STATUSES = ("emerging", "active", "declining", "ended", "merged")
 
@@ -29,14 +29,26 @@ def unclustered(content: DataFrame, processed: DataFrame) -> DataFrame:
     return content.filter("topic_id IS NULL").join(p, "id").orderBy("id")
 
 
-def embed(df: DataFrame, tokens: str = "tokens", dim: int = 64, to: str = "vector") -> DataFrame:
-    """A built-in embedding: signed hashed term counts, normalised.  A user's model plugs in through
-    ``pyspark.ml.functions.predict_batch_udf`` in its place."""
-    slot = F.transform(F.col(tokens), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    sign = F.transform(F.col(tokens), lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    pairs = F.arrays_zip(slot.alias("s"), sign.alias("g"))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.aggregate(F.filter(pairs, lambda p: p["s"] == i), F.lit(0.0), lambda a, p: a + p["g"]))
-    return df.withColumn(to, l2_normalize(parts))
+def embed(df: DataFrame, tokens: str = "tokens", dim: int = 64, to: str = "vector", model: Callable | None = None, text: str = "text", batch_size: int = 64) -> DataFrame:
+    """``df`` with a normalised vector.
+
+    ``model`` is a function that loads the user's model, once in each worker, and returns a function from an
+    array of ``batch_size`` texts to a matrix; null texts count as empty.  Without it the vector is made
+    of ``dim`` signed hashed counts of the tokens; rows without tokens get zeros.
+    """
+    if model is not None:
+        run = predict_batch_udf(model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+        return df.withColumn(to, run(F.coalesce(text, F.lit("")))).withColumn(to, l2_normalize(F.col(to)))
+    # 32 bits of a hash choose the slot, the next the sign
+    slot = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim
+    codes = F.transform(F.transform(tokens, lambda w: F.md5(w)), lambda h: (slot(h) * 2 + (F.substring(h, 9, 1) >= "8").cast("long")).cast("int"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def counted(codes: pd.Series) -> pd.Series:
+        sums = (np.bincount(c, minlength=2 * dim) if c is not None and len(c) else np.zeros(2 * dim) for c in codes)
+        return pd.Series([(n[::2] - n[1::2]).astype(float) for n in sums])
+
+    return df.withColumn(to, counted(codes)).withColumn(to, l2_normalize(F.col(to)))
 
 
 def update_centroids(topics: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -49,86 +61,61 @@ def update_centroids(topics: DataFrame, assigned: DataFrame) -> DataFrame:
     return counts.hint("merge").join(mean_vectors(every, "topic_id", "v", F.col("w")).drop("n"), "topic_id")
 
 
-def _first_leaders(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Rows of a block in id order that are within ``threshold`` of no leader before them in it."""
-    found, n = np.zeros((0, 0)), 0
-    for b in batches:
-        keep = []
-        for i, v in enumerate(b["vector"]):
-            if n and float(np.max(found[:n] @ v)) >= threshold:
-                continue
-            if n == len(found):  # the matrix doubles, so a row is copied a bounded number of times
-                found = np.concatenate([found.reshape(n, len(v)), np.zeros((max(64, n), len(v)))])
-            found[n], n = v, n + 1
-            keep.append(i)
-        yield b.iloc[keep]
+def _batches(items: DataFrame, batch: int) -> tuple[str, int]:
+    """``items`` written by batch, their place in id order over ``batch``: the folder, and the number of batches."""
+    rows = numbered(items, ["id"], "place").withColumn("batch", F.floor(F.col("place") / batch).cast("long")).drop("place")
+    root = new_table(items.sparkSession, "cluster-batches")
+    rows.write.partitionBy("batch").parquet(root)
+    last = rows.agg(F.max("batch")).first()[0]
+    return root, 0 if last is None else last + 1
 
 
-def leaders(rows: DataFrame, threshold: float, block: int = LEADERS) -> DataFrame:
-    """(id, vector) of the rows that are within ``threshold`` of no leader before them in id order.
+@tidy
+def cluster_batch(rows: DataFrame, topics: DataFrame, threshold: float = MATCH) -> tuple[DataFrame, DataFrame]:
+    """(assigned, topics) of one batch of rows (id, vector) against topics (topic_id, n, centroid), written.
 
-    In turns the first ``block`` open rows are settled in one task, and all tasks strike the open
-    rows that are within the threshold of these leaders, so no task or driver sees more than a block.
-    Ids are unique.
+    Rows are compared with the topics as they are; those left whose vectors are within the threshold of no
+    leader before them in id order are leaders and start topics, and the others join the nearest
+    leader.  Centroids move at the end.
     """
-    spark, turns, open_ = rows.sparkSession, [], rows.select("id", "vector")
-    while True:
-        head = written(open_.orderBy("id").limit(block), "cluster-head")
-        n, last = head.agg(F.count(F.lit(1)), F.max("id")).first()
-        fresh = written(head.coalesce(1).sortWithinPartitions("id").mapInPandas(lambda batches: _first_leaders(batches, threshold), open_.schema), "cluster-leaders")
-        turns += fresh.inputFiles()
-        if n < block:
-            return spark.read.schema(open_.schema).parquet(*turns)
-        after = open_.filter(F.col("id") > last)
-        struck = nearest(after, fresh.select(F.col("id").alias("topic_id"), F.col("vector").alias("centroid")), 1).filter(F.col("similarity") >= threshold)
-        open_ = written(after.hint("merge").join(struck.select("id"), "id", "left_anti"), "cluster-open")
-
-
-def _batched(items: DataFrame, batch: int) -> DataFrame:
-    """``items`` with ``batch``: their place in id order over ``batch``, counted by partitions."""
-    items = written(items.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()), "cluster-items")
-    before = items.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
-    place = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1 + F.col("before")
-    return written(items.join(F.broadcast(before), "part").withColumn("batch", F.floor(place / batch)).drop("part"), "cluster-batches")
-
-
+    topics = topics.select("topic_id", F.col("n").cast("long").alias("n"), "centroid")
+    next_id = (topics.agg(F.max("topic_id")).first()[0] or 0) + 1
+    near = written(nearest(rows, topics, 1).filter(F.col("similarity") >= threshold).select("id", "topic_id", "similarity"), "cluster-near")
+    left = written(rows.hint("merge").join(near.select("id"), "id", "left_anti"), "cluster-left")
+    # numbered by place in id order
+    fresh = numbered(leaders(left, threshold), ["id"], "place").select("id", F.col("vector").alias("centroid"), (F.col("place") + next_id).alias("topic_id"))
+    fresh = written(fresh, "cluster-fresh")
+    first = fresh.select("id", "topic_id", F.lit(1.0).alias("similarity"))
+    rest = nearest(left.hint("merge").join(fresh.select("id"), "id", "left_anti"), fresh.select("topic_id", "centroid"), 1)
+    assigned = written(near.unionByName(first).unionByName(rest.select("id", "topic_id", "similarity")), "cluster-assigned")
+    moved = rows.hint("merge").join(assigned.select("id", "topic_id"), "id").hint("merge").join(fresh.select("id"), "id", "left_anti")
+    every = topics.unionByName(fresh.select("topic_id", F.lit(1).cast("long").alias("n"), "centroid"))
+    return assigned, written(update_centroids(every, moved.select("topic_id", "vector")), "cluster-topics")
+
+
+@tidy
 def cluster_incremental(items: DataFrame, topics: DataFrame, threshold: float = MATCH, batch: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(assigned, topics): items (id, vector) in batches by id join the nearest topic from
     ``threshold`` on, or start topics of their own.
 
-    A batch is synchronous: rows are compared with the topics as they stood at its begin; those left
-    whose vectors are within the threshold of no leader before them in id order are leaders, and the
-    others join the nearest leader.  Centroids move at a batch's end.  With batches of one row this
-    is the sequential rule.  ``assigned`` has id, topic_id and the similarity before the update, 1.0
-    for a topic's first row.  Ids are unique; rows without an id or a vector take no part.
+    A batch is synchronous, see ``cluster_batch``; with batches of one row this is the sequential rule.
+    A batch of any size takes a few jobs, so large ones are cheap; only the rows of a batch are read for it.
+    ``assigned`` has id, topic_id and the similarity before the update, 1.0 for a topic's first row.
+    Ids are unique; rows without an id or a vector take no part.
     """
     spark = items.sparkSession
     items = items.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).dropna()
-    items = _batched(items, batch)
-    topics = written(topics.select("topic_id", F.col("n").cast("long").alias("n"), "centroid"), "cluster-topics")
-    turns = items.agg(F.max("batch")).first()[0]
-    next_id = (topics.agg(F.max("topic_id")).first()[0] or 0) + 1
-    assigned = f"{scratch_root(spark)}/cluster-assigned-{uuid.uuid4().hex}"
+    root, batches = _batches(items, batch)
     schema = f"id {dict(items.dtypes)['id']}, topic_id long, similarity double"
-    if turns is None:
+    topics = written(topics.select("topic_id", F.col("n").cast("long").alias("n"), "centroid"), "cluster-topics")
+    if not batches:
         return spark.createDataFrame([], schema), topics
-    for turn in range(turns + 1):
-        rows = items.filter(F.col("batch") == turn).select("id", "vector")
-        near = written(nearest(rows, topics, 1).filter(F.col("similarity") >= threshold).select("id", "topic_id", "similarity"), "cluster-near")
-        left = written(rows.hint("merge").join(near.select("id"), "id", "left_anti"), "cluster-left")
-        # one row a new topic; numbered by place in id order
-        seeds = _batched(leaders(left, threshold), 1) if left.head(1) else left.withColumn("batch", F.lit(0).cast("long"))
-        fresh = written(seeds.select("id", F.col("vector").alias("centroid"), (F.col("batch") + next_id).cast("long").alias("topic_id")), "cluster-fresh")
-        first = fresh.select("id", "topic_id", F.lit(1.0).alias("similarity"))
-        rest = nearest(left.hint("merge").join(fresh.select("id"), "id", "left_anti"), fresh.select("topic_id", "centroid"), 1)
-        near.unionByName(first).unionByName(rest.select("id", "topic_id", "similarity")).write.parquet(f"{assigned}/{turn}")
-        now = spark.read.schema(schema).parquet(f"{assigned}/{turn}")
-        moved = rows.hint("merge").join(now.select("id", "topic_id"), "id").hint("merge").join(fresh.select("id"), "id", "left_anti")
-        every = topics.unionByName(fresh.select("topic_id", F.lit(1).cast("long").alias("n"), "centroid"))
-        topics = written(update_centroids(every, moved.select("topic_id", "vector")), "cluster-topics")
-        next_id += fresh.count()
-    return spark.read.schema(schema).parquet(f"{assigned}/*"), topics
+    assigned = new_table(spark, "cluster-assigned")
+    for turn in range(batches):
+        rows = spark.read.schema(items.schema).parquet(f"{root}/batch={turn}")
+        found, topics = cluster_batch(rows, topics, threshold)
+        found.write.parquet(f"{assigned}/turn={turn}")
+    return spark.read.schema(schema).parquet(assigned).select("id", "topic_id", "similarity"), topics
 
 
 def new_topics(seeds: DataFrame) -> DataFrame:

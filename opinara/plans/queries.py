@@ -415,11 +415,31 @@ def reassign_merged(t: Tables) -> DataFrame:
     return topics.reassign_merged(t.content.select("id", "topic_id"), m)
 
 
-@query()
+LEADERS_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS c FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS MATERIALIZED (SELECT a.i, b.i AS j, list_dot_product(a.c, b.c) AS sim FROM v a JOIN v b ON a.i <> b.i),
+b AS MATERIALIZED (SELECT v.i, coalesce(list(j) FILTER (j < v.i AND sim >= 0.3), []) AS before FROM v LEFT JOIN s ON s.i = v.i GROUP BY 1),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS found UNION ALL SELECT b.i, CASE WHEN list_has_any(found, before) THEN found ELSE list_append(found, b.i) END FROM w JOIN b ON b.i = w.i + 1),
+l AS MATERIALIZED (SELECT unnest(found) AS j, generate_subscripts(found, 1) AS topic_id FROM w WHERE i = (SELECT max(i) FROM v)),
+n AS (SELECT s.i, arg_min(topic_id, (-sim, topic_id)) AS topic_id, max(sim) AS similarity FROM s JOIN l USING (j) WHERE s.i NOT IN (SELECT j FROM l) GROUP BY 1)
+SELECT id, topic_id, round(similarity, 6) AS similarity FROM v JOIN (SELECT * FROM n UNION ALL SELECT j, topic_id, 1.0 FROM l) x USING (i)"""
+
+
+@query(LEADERS_SQL)
 def cluster_incremental(t: Tables) -> DataFrame:
     items = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     empty = t.spark.createDataFrame([], "topic_id long, n long, centroid array<double>")
-    return topics.cluster_incremental(items, empty, 0.30)[0]
+    return rounded(topics.cluster_incremental(items, empty, 0.30)[0], "similarity")
+
+
+EMBED_SQL = """WITH w AS (SELECT doc_id, md5(unnest(string_split(text, ' '))) AS h FROM documents), c AS (SELECT doc_id, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % 64 AS slot, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN -1 ELSE 1 END) AS n FROM w GROUP BY 1, 2),
+z AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(s.slot AS INTEGER) AS slot, round(coalesce(n, 0) / greatest(coalesce(size, 0), 1e-12), 6) AS value FROM documents d CROSS JOIN range(64) s(slot) LEFT JOIN c ON c.doc_id = d.doc_id AND c.slot = s.slot LEFT JOIN z ON z.doc_id = d.doc_id"""
+
+
+@query(EMBED_SQL)
+def embed(t: Tables) -> DataFrame:
+    words = t.raw("documents").select("doc_id", F.split("text", " ").alias("tokens"))
+    return topics.embed(words).select("doc_id", F.posexplode("vector").alias("slot", "value")).withColumn("value", F.round("value", 6))
 
 
 @query()

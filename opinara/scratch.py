@@ -39,6 +39,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """The place of a new table under the shared folder; it counts as the operator's."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and return a DataFrame that reads it.
 
@@ -46,9 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     came before, and its files give the planner true sizes.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if (tables := _tables.get()) is not None:
-        tables.append(path)
+    path = new_table(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,18 +64,33 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Delete the operator's tables that its result does not read, also where it fails."""
+def _roots(df: DataFrame) -> list[str]:
+    """The folders that ``df`` reads, from its plan; no file is listed."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        if leaves.apply(i).nodeName().startswith("LogicalRelation"):
+            relation = leaves.apply(i).relation()
+            if hasattr(relation, "location"):
+                out += relation.location().rootPaths().mkString("\n").split("\n")
+    return out
+
+
+def tidy(operator: Callable) -> Callable:
+    """Delete the operator's tables that its result does not read, also where it fails.
+
+    A result is a DataFrame, a tuple in which some are, or something else that reads no table.
+    """
 
     @wraps(operator)
-    def run(*args, **kwargs) -> DataFrame:
+    def run(*args, **kwargs):
         own: list[str] = []
         token = _tables.set(own)
         spark, needed = SparkSession.active(), []
         try:
             out = operator(*args, **kwargs)
-            read = out.inputFiles() if own else []
-            needed = [p for p in own if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in read)]
+            frames = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+            read = {f"{r.rstrip('/')}/" for df in frames for r in _roots(df)} if own else set()
+            needed = [p for p in own if any(f"/{p.rsplit('/', 1)[-1]}/" in r for r in read)]
             return out
         finally:
             _tables.reset(token)
