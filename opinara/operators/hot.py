@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.text import or_else
 from opinara.operators.upsert import upsert
-from opinara.scratch import small_side, written
+from opinara.skew import every_pair
 
 
 def _listed(df: DataFrame, order: list, n: int | None) -> DataFrame:
@@ -38,9 +38,8 @@ def unanalyzed_hot(news: DataFrame, analysis: DataFrame, domain: int | None = No
 
 
 def news_domain_pairs(news: DataFrame, domains: DataFrame) -> DataFrame:
-    """Every item with every enabled domain: the domains are a small, counted dimension (10,000 at most)."""
-    d = written(domains.select("domain_id", "domain_name", "domain_keywords"), "domains")
-    return news.withColumn("_k", F.lit(0)).join(small_side(d.withColumn("_k", F.lit(0)), 10_000), "_k").drop("_k")
+    """Every item with every enabled domain."""
+    return every_pair(news, domains.select("domain_id", "domain_name", "domain_keywords"))
 
 
 def domain_match(pairs: DataFrame, text: str = "title") -> DataFrame:
@@ -149,8 +148,7 @@ def count_by(df: DataFrame, domain: int | None = None) -> DataFrame:
 def crawl_plan(keywords: DataFrame, platforms: DataFrame, ids: DataFrame | None = None, domain: int | None = None, n: int | None = None) -> DataFrame:
     """(keyword_id, keyword, platform, status): chosen keywords on every enabled platform."""
     k = keywords.join(ids, "keyword_id", "left_semi") if ids is not None else list_keywords(keywords, domain, n=n) if domain is not None else never_crawled(keywords, n=n)
-    p = written(enabled(platforms).select("platform"), "platforms").withColumn("_k", F.lit(0))
-    return k.select("keyword_id", "keyword").withColumn("_k", F.lit(0)).join(small_side(p, 1000), "_k").drop("_k").withColumn("status", F.lit("pending"))
+    return every_pair(k.select("keyword_id", "keyword"), enabled(platforms).select("platform")).withColumn("status", F.lit("pending"))
 
 
 def log_start(rows: DataFrame, at) -> DataFrame:

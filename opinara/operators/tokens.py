@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -107,21 +108,44 @@ def keywords_tfidf(df: DataFrame, k: int, idf: DataFrame | None = None, id_col:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def keywords_textrank(df: DataFrame, k: int, window: int = 5, iters: int = 10, damping: float = 0.85, id_col: str = "id", tokens: str = "tokens") -> DataFrame:
-    """(id, word, weight, rank) by rank over the graph of words that stand within ``window``."""
-    t = df.select(id_col, F.posexplode(tokens).alias("i", "word"))
-    near = t.select(id_col, F.col("word").alias("other"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + window - 1)).alias("i"))
-    pairs = t.hint("merge").join(near, [id_col, "i"]).filter("word != other")
-    both = pairs.select(id_col, "word", "other").unionAll(pairs.select(id_col, F.col("other").alias("word"), F.col("word").alias("other")))
-    edges = both.groupBy(id_col, "word", "other").agg(F.count(F.lit(1)).alias("w"))
-    edges = edges.withColumn("out", F.sum("w").over(W.partitionBy(id_col, "other")))
-    edges = edges.withColumn("share", F.col("w") / F.col("out")).select(id_col, "word", "other", "share")
-    rank = edges.select(id_col, "word").distinct().withColumn("weight", F.lit(1.0))
+def text_ranks(words: list[str], window: int, iters: int, damping: float) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words with a neighbour, their ranks) over the graph of words that stand within ``window``."""
+    names, at = np.unique(np.array(words, dtype=object).astype(str), return_inverse=True)
+    n = len(names)
+    pairs = [(at[:-d], at[d:]) for d in range(1, min(window, len(at)))]
+    a, b = (np.concatenate(x) if pairs else np.zeros(0, int) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    a, b = a[a != b], b[a != b]
+    # each edge once, with the number of its places, and both ways
+    edge, weight = np.unique(np.concatenate([a * n + b, b * n + a]), return_counts=True)
+    to, of = np.divmod(edge, max(n, 1))
+    share = weight / np.bincount(of, weight, minlength=n)[of]
+    rank = np.ones(n)
     for _ in range(iters):
-        given = edges.hint("merge").join(rank.withColumnRenamed("word", "other"), [id_col, "other"])
-        rank = given.groupBy(id_col, "word").agg((F.lit(1 - damping) + damping * F.sum(F.col("share") * F.col("weight"))).alias("weight"))
-    best = W.partitionBy(id_col).orderBy(F.desc(F.round("weight", 6)), "word")
-    return rank.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        rank = 1 - damping + damping * np.bincount(to, share * rank[of], minlength=n)
+    linked = np.unique(to)
+    return names[linked], rank[linked]
+
+
+def keywords_textrank(df: DataFrame, k: int, window: int = 5, iters: int = 10, damping: float = 0.85, id_col: str = "id", tokens: str = "tokens") -> DataFrame:
+    """(id, word, weight, rank): the ``k`` best words by rank over the graph of words that stand within ``window``.
+
+    A row is a document; its graph is iterated where the row lies, so nothing is shuffled.  Equal weights (to six
+    places) go by word.  A null or empty array, and words without another beside them, give nothing.
+    """
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, word string, weight double, rank int"
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for b in batches:
+            out: list[tuple] = []
+            for key, words in zip(b[id_col], b[tokens], strict=True):
+                if words is None or len(words) < 2:
+                    continue
+                names, weights = text_ranks([w for w in words if w is not None], window, iters, damping)
+                best = sorted(zip((-np.round(weights, 6)).tolist(), names.tolist(), weights.tolist(), strict=True))[:k]
+                out += [(key, w, x, i) for i, (_, w, x) in enumerate(best, 1)]
+            yield pd.DataFrame(out, columns=[id_col, "word", "weight", "rank"])
+
+    return df.select(id_col, tokens).mapInPandas(run, schema)
 
 
 def keywords(df: DataFrame, method: str, k: int, **more) -> DataFrame:

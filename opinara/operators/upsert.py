@@ -64,6 +64,19 @@ def full_resync(target: DataFrame, adapted: DataFrame, platforms: list[str]) ->
     return target.filter(~F.col("platform").isin(platforms)).unionByName(adapted.filter(F.col("platform").isin(platforms)))
 
 
+def resync_table(adapted: DataFrame, platforms: list[str], path: str) -> None:
+    """The same on a table partitioned by platform under ``path``: only the named platforms' partitions are
+    replaced, those without new rows become empty, all other files stay as they are.  ``adapted`` does not
+    read the table.  A repeated call gives the same table."""
+    spark = adapted.sparkSession
+    rows = adapted.filter(F.col("platform").isin(platforms))
+    fresh = {r[0] for r in rows.select("platform").distinct().collect()}  # at most the named ones
+    rows.repartition(len(fresh) or 1, "platform", F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("platform").parquet(path)
+    for p in set(platforms) - fresh:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/platform={p}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_older_than(df: DataFrame, ts: str, days: int, now: datetime) -> DataFrame:
     """Rows whose time is not more than ``days`` before ``now``; rows without a time go."""
     return df.filter(F.col(ts) >= F.lit(now) - F.make_dt_interval(F.lit(days)))

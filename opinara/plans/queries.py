@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions import text as T
 from opinara.functions import vectors as V
 from opinara.operators import adapters, graph, hot, sentiment, tokens, topics, upsert
-from opinara.plans import more_queries, payload_queries
+from opinara.plans import more_queries, payload_queries, product_queries
 from opinara.plans.fixtures import NOW, Tables, rounded, with_sql
 from opinara.sources import flatten, pages
 from opinara.streaming import streams
@@ -431,6 +431,13 @@ def cluster_incremental(t: Tables) -> DataFrame:
     return rounded(topics.cluster_incremental(items, empty, 0.30)[0], "similarity")
 
 
+@query(f"SELECT doc_id AS id, topic_id FROM documents LEFT JOIN ({LEADERS_SQL}) c ON c.id = doc_id")
+def recluster(t: Tables) -> DataFrame:
+    content = t.content.select("id", F.lit(7).cast("long").alias("topic_id"), "topic_similarity", "topic_assigned_at")
+    items = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return topics.recluster(content, items, 0.30)[0].select("id", "topic_id")
+
+
 EMBED_SQL = """WITH w AS (SELECT doc_id, md5(unnest(string_split(text, ' '))) AS h FROM documents), c AS (SELECT doc_id, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % 64 AS slot, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN -1 ELSE 1 END) AS n FROM w GROUP BY 1, 2),
 z AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY 1)
 SELECT d.doc_id, CAST(s.slot AS INTEGER) AS slot, round(coalesce(n, 0) / greatest(coalesce(size, 0), 1e-12), 6) AS value FROM documents d CROSS JOIN range(64) s(slot) LEFT JOIN c ON c.doc_id = d.doc_id AND c.slot = s.slot LEFT JOIN z ON z.doc_id = d.doc_id"""
@@ -635,6 +642,6 @@ def two_hour_window(t: Tables) -> DataFrame:
     return streams.stream_hot_counts(e, "2 hours", "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-for registered in (payload_queries.QUERIES, more_queries.QUERIES):
+for registered in (payload_queries.QUERIES, more_queries.QUERIES, product_queries.QUERIES):
     QUERIES |= {name: (lambda f: lambda spark, sf_dir: f(Tables(spark, sf_dir)))(f) for name, (f, _) in registered.items()}
     SQL |= {name: sql for name, (_, sql) in registered.items()}

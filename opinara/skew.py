@@ -1,4 +1,4 @@
-"""Joins on keys of which one may have a third of all rows."""
+"""Joins on keys of which one may have a third of all rows, and on no key at all."""
 
 from __future__ import annotations
 
@@ -47,3 +47,25 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataF
         b = b.join(known, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_heavy"), every).otherwise(F.array(F.lit(0))))).drop("_heavy")
     a = a.withColumn("_salt", F.when(spread, F.col("_own")).otherwise(F.lit(0))).drop("_heavy", "_own")
     return a.hint("merge").join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Rows of a dimension that are broadcast, and rows of its blocks beyond that.
+DIMENSION, BLOCK = 10_000, 1000
+
+
+def every_pair(rows: DataFrame, dimension: DataFrame, limit: int = DIMENSION, block: int = BLOCK) -> DataFrame:
+    """Every row with every row of ``dimension``, for operators whose result these pairs are.
+
+    A dimension of at most ``limit`` rows is broadcast.  A larger one is cut into blocks of about ``block`` rows that
+    meet the rows in SALTS parts, so no task holds more than a part of the rows against a block.  The
+    columns have different names.
+    """
+    d = written(dimension, "dimension")
+    n = d.count()
+    if n <= limit:
+        return rows.crossJoin(F.broadcast(d))  # counted
+    blocks = -(-n // block)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).withColumn("_block", numbers(blocks))
+    right = d.withColumn("_block", F.pmod(F.xxhash64(*d.columns), F.lit(blocks)).cast("int")).withColumn("_salt", numbers(SALTS))
+    return left.hint("merge").join(right, ["_block", "_salt"]).drop("_block", "_salt")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +37,27 @@ def read_labeled_csv(spark: SparkSession, path: str, text_col: str = "text") ->
 LAYOUT = ["platform", "crawl_type", "item_type", "dt"]
 
 
-def write_items_csv(df: DataFrame, root: str) -> None:
-    df.write.partitionBy(*[c for c in LAYOUT if c in df.columns]).option("header", True).mode("append").csv(root)
+def _append(df: DataFrame, root: str, fmt: str, delivery: str | None) -> None:
+    layout = [c for c in LAYOUT if c in df.columns]
+    if delivery is None:
+        df.write.partitionBy(*layout).options(header=True, escape='"').mode("append").format(fmt).save(root)
+    else:
+        # a delivery has partitions of its own, which a retry replaces
+        rows = df.withColumn("delivery", F.lit(delivery))
+        rows.write.partitionBy(*layout, "delivery").options(header=True, escape='"', partitionOverwriteMode="dynamic").mode("overwrite").format(fmt).save(root)
+
+
+def write_items_csv(df: DataFrame, root: str, delivery: str | None = None) -> None:
+    """Append rows as CSV with a header, one folder for each platform, crawl type, item type and day.
 
+    With a name for the ``delivery`` a retry gives the same files' rows and not a second copy.
+    """
+    _append(df, root, "csv", delivery)
 
-def write_items_json(df: DataFrame, root: str) -> None:
-    df.write.partitionBy(*[c for c in LAYOUT if c in df.columns]).mode("append").json(root)
+
+def write_items_json(df: DataFrame, root: str, delivery: str | None = None) -> None:
+    """As ``write_items_csv``, as lines of JSON."""
+    _append(df, root, "json", delivery)
 
 
 def export_sets(sets: dict[str, DataFrame], root: str) -> list[str]:
@@ -51,14 +69,42 @@ def export_sets(sets: dict[str, DataFrame], root: str) -> list[str]:
             continue
         nested = (T.ArrayType, T.MapType, T.StructType)
         cols = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name).cast("string").alias(f.name) for f in df.schema.fields]
-        df.select(*[F.coalesce(c, F.lit("")).alias(f.name) for c, f in zip(cols, df.schema.fields, strict=True)]).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{root}/{name}")
+        df.select(*[F.coalesce(c, F.lit("")).alias(f.name) for c, f in zip(cols, df.schema.fields, strict=True)]).write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(f"{root}/{name}")
         done.append(name)
     return done
 
 
-def source_file_stats(spark: SparkSession, root: str, platforms: list[str]) -> DataFrame:
-    """(platform, type, files, bytes) of the files under ``root``; the platform is the first that the path names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+READERS = {"json": "json", "csv": "csv", "parquet": "parquet", "jsonl": "json"}
+
+
+def source_files(spark: SparkSession, root: str, platforms: list[str]) -> DataFrame:
+    """(path, bytes, platform, type) of the files under ``root``; the platform is the first that the path names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
     found = F.coalesce(*[F.when(F.contains(F.lower("path"), F.lit(p)), p) for p in platforms], F.lit("unknown"))
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return files.groupBy(found.alias("platform"), kind.alias("type")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return files.select("path", "bytes", found.alias("platform"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("type"))
+
+
+def file_records(spark: SparkSession, root: str) -> DataFrame:
+    """(path, records) of the files under ``root`` that hold records, each format in one scan: rows of Parquet,
+    lines of JSON, lines of CSV but for the header's."""
+    out = []
+    for suffix, fmt in READERS.items():
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").option("header", True)
+        try:
+            rows = reader.format(fmt).load(root) if fmt == "parquet" else reader.schema("_line string").format(fmt).load(root)
+        except AnalysisException as e:  # no file of this kind
+            if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+                raise
+            continue
+        out.append(rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("records")))
+    none = spark.createDataFrame([], "path string, records long")
+    return reduce(DataFrame.unionByName, out, none)
+
+
+def source_file_stats(spark: SparkSession, root: str, platforms: list[str]) -> DataFrame:
+    """(platform, type, files, bytes, records) of the files under ``root``; records of other types are null."""
+    same = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    files = source_files(spark, root, platforms).withColumn("path", same("path"))
+    both = files.hint("merge").join(file_records(spark, root).withColumn("path", same("path")), "path", "left")
+    records = F.when(F.col("type").isin(list(READERS)), F.coalesce("records", F.lit(0)))
+    return both.groupBy("platform", "type").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum(records).alias("records"))
