@@ -43,7 +43,7 @@ def test_appends_survive_a_retry(spark, tmp_path, fmt):
     assert len(got) == 10 and {(i, p) for i, _, p in got} == {(i, "xhs" if i % 2 else "wb") for i in range(10)}
     write(rows, f"{tmp_path}/plain")
     write(rows, f"{tmp_path}/plain")
-    assert spark.read.option("header", True).format(fmt).option("multiLine", fmt == "csv").load(f"{tmp_path}/plain").count() == 20
+    assert reader.format(fmt).load(f"{tmp_path}/plain").count() == 20
 
 
 def test_readers(spark, tmp_path):
