@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from opinara.llm import chat, components, fingerprint, langid, linedup, mixing, ngram_join, pieces, pii, shingles, topk, toxicity
 from pyspark.sql import functions as F
 
@@ -232,32 +233,63 @@ def test_shingle_sets_do_not_depend_on_chunks(monkeypatch):
 # ---- line dedup
 
 
+def brute_dedup(rows):
+    """Every pair of neighbouring lines that occurs before goes; lines of a first, repeated pair stay."""
+    mark = lambda t: xxhash.xxh64_intdigest((t or "").encode(), seed=42)
+    mark = {t: m - (1 << 64) if (m := mark(t)) >= 1 << 63 else m for _, t, _ in rows}
+    every = sorted({(i is None, i or 0, mark[t], t or "") for i, t, _ in rows})
+    first, often = {}, set()
+    for none, i, m, t in every:
+        lines = t.split("\n")
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if first.setdefault(pair, (none, i, m, k)) != (none, i, m, k):
+                often.add(pair)
+    out = {}
+    for none, i, m, t in every:
+        lines, gone, stay = t.split("\n"), set(), set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if pair in often:
+                (stay if first[pair] == (none, i, m, k) else gone).update((k, k + 1))
+        gone -= stay
+        out[None if none else i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+    return out
+
+
 def test_line_dedup(spark):
+    """Copied passages at all offsets, overlapping passages, few different lines, clashing columns, repeated rows."""
     rng = random.Random(6)
-    passage = [text(rng, 6) for _ in range(12)]
+    some = [[text(rng, 6) for _ in range(n)] for n in (2, 3, 5, 8, 13, 40)]
+    few = [f"line {i}" for i in range(6)]
     rows = []
-    for i in range(60):
-        own = [text(rng, 5) for _ in range(rng.randrange(1, 10))]
-        at = rng.randrange(len(own) + 1)
-        rows.append((i, "\n".join(own[:at] + passage * (i % 3 == 0) + own[at:]), None))
-    rows += [*ODD, (60, rows[0][1], None)]
-    got = collections.defaultdict(set)
-    for r in linedup.dedup_lines(docs(spark, rows)).collect():
-        got[r.doc_id, r.n_lines, r.removed_lines].add(r.text)
-    seen = set()
-    for i, t in dict.fromkeys((i, t) for i, t, _ in sorted(rows, key=lambda r: r[0])):
-        lines, out, gone = (t or "").encode().split(b"\n"), [], 0
-        for a, b in linedup.chunk_lines(lines):
-            c = b"\n".join(lines[a:b])
-            if b - a > 1 and c in seen:
-                gone += b - a
-                continue
-            seen.add(c)
-            out += lines[a:b]
-        want = None if t is None else b"\n".join(out).decode()
-        assert want in got[i, 0 if t is None else len(lines), gone], i
-    assert sum(r.removed_lines for r in linedup.dedup_lines(docs(spark, rows)).collect()) >= 12 * 12
-    assert linedup.dedup_lines(docs(spark, [])).count() == 0
+    for i in range(150):
+        own = [text(rng, 5) for _ in range(rng.randrange(0, 10))]
+        for _ in range(rng.randrange(3)):
+            p, at = rng.choice(some), rng.randrange(len(own) + 1)
+            a = rng.randrange(len(p))
+            own[at:at] = p if rng.random() < 0.5 else p[a : a + rng.randrange(1, 9)]
+        rows.append((i, "\n".join(own), None))
+    rows += [(200 + i, "\n".join(rng.choice(few) for _ in range(rng.randrange(1, 30))), None) for i in range(40)]
+    rows += [*ODD, (60, rows[0][1], None), (7, rows[7][1], None), (7, rows[9][1], None), (None, rows[3][1], None), (300, "same\n" * 500, None), (301, ("x" * 300 + "\n") * 300 + rows[5][1], None)]
+    table = docs(spark, rows).withColumns({c: F.lit(9) for c in ("_drop", "_stay", "mark", "row", "lists", "unit", "key", "keeper", "removed_lines", "_id")})
+    out = linedup.dedup_passages(table)
+    assert set(out.columns) == set(table.columns) | set(linedup.ADDED)
+    want = brute_dedup(rows)
+    got = sorted(repr((r.doc_id, r.text, r.removed_lines)) for r in out.collect())
+    assert got == sorted(repr((i, None if t is None else want[i, t or ""][0], want[i, t or ""][1])) for i, t, _ in rows)
+    assert linedup.dedup_passages(docs(spark, [])).count() == 0
+
+
+def test_copies_go_by_chunks():
+    """Boundaries follow content alone, and most lines of a longer passage lie in whole chunks of it."""
+    rng = random.Random(9)
+    p = [text(rng, 6).encode() for _ in range(200)]
+    cuts = []
+    for before in range(8):
+        lines = [text(rng, 4).encode() for _ in range(before)]
+        ends = linedup.boundaries([*lines, *p])
+        assert ends[0] == 0 and ends[-1] == before + len(p)
+        cuts.append({e - before for e in ends if e - before >= linedup.WINDOW})
+    assert all(c == cuts[0] for c in cuts) and 20 < len(cuts[0]) < 90
 
 
 def test_planted_passages_go_whole(spark):
@@ -279,11 +311,15 @@ def test_planted_passages_go_whole(spark):
 
 
 def test_line_dedup_with_one_hash_for_different_texts(spark, monkeypatch):
+    """Units of one hash are told apart by their bytes.  Hashes are replaced by a column, as workers import the module."""
     rows = [(1, "a\nb", None), (2, "c\nd", None), (3, "a\nb", None)]
-    base = linedup.proposed_chunks(docs(spark, rows).withColumn("text", F.lit("same\nlines")))
-    fake = base.select("doc_id", F.xxhash64(F.when(F.col("doc_id") == 2, "c\nd").otherwise("a\nb")).alias("mark"), "chunk", "key", "keeper")
-    gone = linedup.compared(docs(spark, rows), fake).collect()
-    assert [r.doc_id for r in gone] == [3]
+    real = linedup.units
+    monkeypatch.setattr(linedup, "units", lambda d: real(d).withColumn("key", F.lit(5).cast("long")))
+    got = {r.doc_id: r.text for r in linedup.dedup_passages(docs(spark, rows)).collect()}
+    assert got == {1: "a\nb", 2: "c\nd", 3: ""}
+    long = [(i, "\n".join(x), None) for i, x in enumerate([list("abcdefgh"), list("xcdefgy"), list("zzabq"), list("abcdefgh")])]
+    want = brute_dedup(long)
+    assert {r.doc_id: r.text for r in linedup.dedup_passages(docs(spark, long)).collect()} == {i: want[i, t][0] for i, t, _ in long}
 
 
 # ---- top-k
