@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm.mixing import word_count
 from opinara.scratch import tidy, written
+from opinara.skew import heavy_keys, salted_join
 
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS, TURN_TOKENS = 512, 2, 128, 4
 END = "</turn>"
@@ -105,7 +106,10 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
 
     first = t.filter(F.col("role") == "system").groupBy(F.col("conv_id").alias("s")).agg(F.min("pos").alias("sys"))
     system = first.hint("merge").join(t, F.col("conv_id").eqNullSafe(F.col("s")) & (F.col("pos") == F.col("sys"))).select("conv_id", "pos", "pre", "role", "text", "tokens")
-    system = w.hint("merge").join(system, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") < F.col("start")))
+    # all windows of a conversation meet its one system turn: windows of a long one are dealt to parts
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    w = w.withColumn("key", named("c"))
+    system = salted_join(w, system.withColumn("key", named("conv_id")), ["key"], heavy_keys(w, ["key"]), by=F.xxhash64("start")).filter("pos < start")
     system = system.filter(~(near & (F.col("pos") >= F.col("start") - history_turns))).select("conv_id", "start", "pos", "role", "text", "tokens", F.lit(0).alias("own"))
 
     head = F.concat(F.lit("### "), escape(F.col("role"), True), F.lit(": "))

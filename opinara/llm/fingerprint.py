@@ -12,6 +12,7 @@ Jaccard share of common hashes among the smallest of both.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,39 +135,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, ghost, at, mark, doc_id, text), dealt by bucket: ranges of descending doc_id, each followed by
-    a copy of the row after it (ghost), which is the first row of all for the last range.
+    """(bucket, ghost, at, mark, doc_id, text), dealt by bucket: ranges of descending doc_id and, within an id that
+    has many rows, of a hash of the text; each is followed by a copy of the row after it (ghost), which is
+    the first row of all for the last range.
 
-    Null ids stand after all others; rows of equal id are ordered by a hash of the text and the text.
-    Only ids and hashes go through Python, to be looked up in the sorted split points.
+    Null ids stand after all others; rows of equal id are ordered by the hash and the text.  Only ids and
+    hashes go through Python, to be looked up in the sorted split points.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.xxhash64(text).alias("mark"), text.alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # split points and one row for each range: bounded by their number
-    cuts = np.array(sorted(set(rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or [])), np.int64)
-    shared = spark.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("int")
-    def bucket_of(at: pd.Series) -> pd.Series:
+    shares, accuracy = [i / parts for i in range(1, parts)], 10 * parts
+    found = rows.agg(F.percentile_approx("at", shares, accuracy)).first()[0] or []
+    cuts = np.array(sorted(set(found)), np.int64)
+    # an id at several split points has rows for several ranges, cut by the hash
+    crowded = [x for x, n in Counter(found).items() if n > 1]
+    split: dict[int, np.ndarray] = {}
+    if crowded:
+        split = {r[0]: np.array(sorted(set(r[1])), np.int64) for r in rows.filter(F.col("at").isin(crowded)).groupBy("at").agg(F.percentile_approx("mark", shares, accuracy)).collect()}
+    shared = spark.sparkContext.broadcast((cuts, split))
+
+    @F.pandas_udf("long")
+    def bucket_of(at: pd.Series, mark: pd.Series) -> pd.Series:
         # the largest ids come first
-        return pd.Series(len(shared.value) - np.searchsorted(shared.value, at.to_numpy(), "right")).astype("int32")
-
-    heads = sorted((r[0], r[1]) for r in rows.groupBy(bucket_of("at").alias("bucket")).agg(F.max("at")).collect())
-    after: dict[int, list[int]] = {}
-    for (b, _), (_, head) in zip(heads, heads[1:] + heads[:1], strict=True):
-        after.setdefault(head, []).append(b)
+        cuts, split = shared.value
+        bucket = (len(cuts) - np.searchsorted(cuts, at.to_numpy(), "right")) * (parts + 1)
+        for x, own in split.items():
+            here = at.to_numpy() == x
+            bucket[here] += np.searchsorted(own, mark.to_numpy()[here], "right")
+        return pd.Series(bucket)
+
+    # of an id that is split, its rows alone are in the bucket's later parts; the first part may begin with larger ids
+    head = F.max_by(F.struct("at", "mark"), F.struct("at", (-1 - F.col("mark")).alias("m")))
+    heads = sorted((r[0], (r[1].at, r[1].mark)) for r in rows.groupBy(bucket_of("at", "mark").alias("bucket")).agg(head).collect())
+    after: dict[tuple[int, int], list[int]] = {}
+    for (b, _), (_, first) in zip(heads, heads[1:] + heads[:1], strict=True):
+        after.setdefault(first, []).append(b)
     ghosts = spark.sparkContext.broadcast(after)
 
-    @F.pandas_udf("array<int>")
-    def ghosts_of(at: pd.Series) -> pd.Series:
-        return pd.Series([ghosts.value.get(x, []) for x in at.tolist()], dtype=object)
+    @F.pandas_udf("array<long>")
+    def ghosts_of(at: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series([ghosts.value.get(x, []) for x in zip(at.tolist(), mark.tolist(), strict=True)], dtype=object)
 
-    own = F.array(F.struct(bucket_of("at").alias("bucket"), F.lit(0).alias("ghost")))
-    copies = F.transform(ghosts_of("at"), lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("ghost")))
-    rows = rows.withColumn("to", F.explode(F.concat(own, copies)))
-    rows = rows.select("to.bucket", "to.ghost", "at", "mark", "doc_id", "text")
+    own = rows.select(bucket_of("at", "mark").alias("bucket"), F.lit(0).alias("ghost"), *rows.columns)
+    # one copy for each range, however many rows are equal to it
+    copies = rows.select(F.explode(ghosts_of("at", "mark")).alias("bucket"), "at", "mark", "doc_id", "text")
+    copies = copies.groupBy("bucket").agg(F.first("at").alias("at"), F.first("mark").alias("mark"), F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rows = own.unionByName(copies.withColumn("ghost", F.lit(1)))
     return rows.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc("at"), "mark", "text")
 
 
@@ -196,18 +213,15 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held, size, done = [], 0, None
+        held, size = [], 0
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 for bucket, ghost, doc_id, text in zip(*(c.to_pylist() for c in b.slice(start, 256).columns), strict=True):
-                    if bucket == done:
-                        continue  # further copies of the row after this range
                     held.append((bucket, ghost, text, doc_id))
                     size += len(text)
                     if ghost or size >= CHUNK:
                         yield emit(held)
                         held = [] if ghost else held[-1:]
                         size = sum(len(h[2]) for h in held)
-                        done = bucket if ghost else None
 
     return with_next(docs).select("bucket", "ghost", "doc_id", "text").mapInArrow(run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara.llm.memory import release
-from opinara.scratch import written
+from opinara.scratch import tidy, written
 
 #: Labelled texts of each class that the model is fitted on at most, and distinct words of one text in the dictionaries.
 PER_CLASS, PER_TEXT = 3000, 500
@@ -220,6 +220,7 @@ def calibrate(known: list[tuple[int, np.ndarray]], share: float) -> tuple[tuple[
     return tuple(map(float, beta)), (float(slope), float(offset)) if slope > 0 else (0.0, -3.0)
 
 
+@tidy
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` texts of each class, of rows that are not held out, by hash of the id:
     two of three texts make the dictionaries, the others calibrate, weighed to the true share of toxic rows.

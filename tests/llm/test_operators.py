@@ -595,6 +595,44 @@ def test_fingerprint_pairs(spark):
     assert fingerprint.fingerprint_pairs(docs(spark, [(1, "abcabc", None)])).first().near_next == 1.0
 
 
+def test_rows_of_one_id_are_spread(spark):
+    """Rows without an id are cut by their text's hash; each row has its next one; equal rows count each."""
+    rng = random.Random(12)
+    rows = [(None, text(rng, 4), None) for _ in range(900)] + [(i, text(rng, 5), None) for i in range(600)] + [(700, "same text", None)] * 300
+    table = docs(spark, rows).withColumns({c: F.lit(1) for c in ("bucket", "ghost", "at", "mark", "fingerprint")}).repartition(6)
+    placed = fingerprint.with_next(table)
+    own = placed.filter("ghost = 0 AND doc_id IS NULL").groupBy("bucket").count().collect()
+    assert len(own) >= 5 and max(r[1] for r in own) < 400
+    copies = placed.filter("ghost = 1").groupBy("bucket").count().collect()
+    assert all(r[1] == 1 for r in copies) and placed.filter("ghost = 0").count() == len(rows)
+    mark = {t: m - (1 << 64) if (m := xxhash.xxh64_intdigest(t.encode(), seed=42)) >= 1 << 63 else m for _, t, _ in rows}
+    order = sorted(((i is None, -(i or 0), mark[t], t) for i, t, _ in rows))
+    want = collections.Counter()
+    for k, (none, i, _, t) in enumerate(order):
+        e = t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][3][: len(t) // 3]
+        want[None if none else -i, hashlib.sha256(e.encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in fingerprint.fingerprint_pairs(table).collect()) == want
+
+
+def test_windows_of_one_conversation_are_spread(spark, monkeypatch):
+    """All windows of the longest conversation repeat its system turn; they are joined to it in parts."""
+    from opinara import skew
+
+    seen = []
+    real = skew.heavy_keys
+    monkeypatch.setattr(chat, "heavy_keys", lambda df, keys: seen.append(real(df, keys, least=20, parts=10)) or seen[-1])
+    rng = random.Random(13)
+    rows = [(None if c == 0 else c, k, "system" if k == 0 else ("user", "assistant")[k % 2], text(rng, 30)) for c, n in ((0, 600), (1, 4), (2, 9)) for k in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
+    out = chat.chat_windows(turns, budget=200)
+    assert seen[0] is not None and seen[0].count() == 1
+    head = {c: next(t for i, k, _, t in rows if i == c and k == 0) for c in (None, 1, 2)}
+    got = out.collect()
+    assert len(got) > 50 and all(f"### system: {head[r.conv_id]} " in r.formatted or f"system: {head[r.conv_id]}" in r.formatted for r in got)
+    back = {r.conv_id: r.n_turns for r in chat.read_back(out).collect()}
+    assert back == {None: 600, 1: 4, 2: 9}
+
+
 def test_equal_substrings_share_phrases():
     rng = random.Random(12)
     common = text(rng, 400)
