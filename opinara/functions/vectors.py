@@ -83,20 +83,6 @@ def nearest(items: DataFrame, centroids: DataFrame, k: int = 1, item: str = "id"
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def pairs_above(topics: DataFrame, least: float, vector: str = "centroid") -> DataFrame:
-    """(topic_a, topic_b, similarity) of topic pairs a < b from ``least`` on, best first.
-
-    Topics are centroids: a table of a bounded number of rows.  They are paired in salted blocks.
-    """
-    n = 16
-    t = topics.select("topic_id", F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("topic_id"), F.lit(n)))
-    own = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    a = t.select(F.col("topic_id").alias("topic_a"), F.col("v").alias("va"), F.col("block").alias("x")).withColumn("y", F.explode(own))
-    b = t.select(F.col("topic_id").alias("topic_b"), F.col("v").alias("vb"), F.col("block").alias("y")).withColumn("x", F.explode(own))
-    out = a.hint("shuffle_hash").join(b, ["x", "y"]).filter("topic_a < topic_b").select("topic_a", "topic_b", dot(F.col("va"), F.col("vb")).alias("similarity"))
-    return out.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "topic_a", "topic_b")
-
-
 def running_mean(old: Column, n: Column, total: Column, m: Column) -> Column:
     """Normalised mean of ``n`` vectors with mean ``old`` and ``m`` with sum ``total``."""
     return l2_normalize(F.zip_with(old, total, lambda x, y: (x.cast("double") * n + y) / (n + m)))

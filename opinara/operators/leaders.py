@@ -60,19 +60,19 @@ def sequential(vectors: np.ndarray, threshold: float, struck: np.ndarray, waits:
     return state
 
 
-def _block(number: int, places: np.ndarray, vectors: np.ndarray, fresh: np.ndarray) -> dict:
+def as_block(number: int, places: np.ndarray, vectors: np.ndarray, fresh: np.ndarray) -> dict:
     centre = vectors.mean(0)
     radius = float(np.sqrt(((vectors - centre) ** 2).sum(1).max()))
     norm = float(np.sqrt((vectors**2).sum(1).max()))
     return {"block": number, "places": places.tobytes(), "vectors": vectors.tobytes(), "fresh": fresh.tobytes(), "open": bool((~fresh).any()), "centre": centre.tolist(), "radius": radius, "norm": norm}
 
 
-def _arrays(r: dict, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def arrays(r: dict, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     places, fresh = np.frombuffer(r[f"{side}places"], np.int64), np.frombuffer(r[f"{side}fresh"], bool)
     return places, np.frombuffer(r[f"{side}vectors"]).reshape(len(places), -1), fresh
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     """Blocks of ``rows`` (place, vector) by cell, written."""
     # PIVOTS rows
     pivots = np.array([r.vector for r in rows.select("vector").orderBy(F.xxhash64("place")).limit(PIVOTS).collect()])
@@ -90,12 +90,12 @@ def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
 
     def pack(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("place")
-        return pd.DataFrame([_block(key[0], b["place"].to_numpy(), np.stack(b["vector"].to_numpy()), np.zeros(len(b), bool))])
+        return pd.DataFrame([as_block(key[0], b["place"].to_numpy(), np.stack(b["vector"].to_numpy()), np.zeros(len(b), bool))])
 
     return written(dealt.groupBy("block").applyInPandas(pack, _BLOCKS), "leader-blocks")
 
 
-def _near_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+def near_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of blocks that may hold a pair within the threshold, of which one is open, written."""
     shape = [F.col(c) for c in ("block", "centre", "radius", "norm", "open")]
     a = blocks.select(F.struct(*shape).alias("x"), F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -115,7 +115,7 @@ def _round(blocks: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                a, b = _arrays(r, "a_"), _arrays(r, "b_")
+                a, b = arrays(r, "a_"), arrays(r, "b_")
                 similar = a[1] @ b[1].T >= threshold
                 out = []
                 for number, hit, (places, _, fresh), (others, _, led) in ((r["a"], similar, a, b), (r["b"], similar.T, b, a)):
@@ -125,7 +125,7 @@ def _round(blocks: DataFrame, threshold: float) -> DataFrame:
 
     columns = ("places", "vectors", "fresh")
     side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-    work = _near_pairs(blocks, threshold).hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    work = near_pairs(blocks, threshold).hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
     told = work.mapInArrow(marks, "block long, struck binary, waits binary")
     # a mark is a bit a row, and a block has one for each block near it
     told = told.groupBy("block").agg(F.collect_list("struck").alias("struck"), F.collect_list("waits").alias("waits"))
@@ -134,7 +134,7 @@ def _round(blocks: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                places, vectors, fresh = _arrays(r)
+                places, vectors, fresh = arrays(r)
                 union = lambda masks: np.bitwise_or.reduce([np.unpackbits(np.frombuffer(m, np.uint8), count=len(places)) for m in masks], axis=0).astype(bool) if masks else np.zeros(len(places), bool)  # noqa: B023, E731
                 struck, waits = union(r["struck"]), union(r["waits"])
                 # leaders of the round before have struck their own block then
@@ -142,7 +142,7 @@ def _round(blocks: DataFrame, threshold: float) -> DataFrame:
                 state = sequential(vectors[left], threshold, np.zeros(len(left), bool), waits[left])
                 kept, led = left[state != 2], (state == 1)[state != 2]
                 if len(kept):
-                    yield pa.RecordBatch.from_pylist([_block(r["block"], places[kept], vectors[kept], led)], schema=schema)
+                    yield pa.RecordBatch.from_pylist([as_block(r["block"], places[kept], vectors[kept], led)], schema=schema)
 
     schema = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in columns], ("open", pa.bool_()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("norm", pa.float64())])
     ready = blocks.select("block", *columns).hint("merge").join(told, "block", "left")
@@ -173,7 +173,7 @@ def _settled(rows: DataFrame, n: int, threshold: float, block: int) -> DataFrame
                 yield b[sequential(np.stack(b["vector"].to_numpy()), threshold, none, none) == 1]
 
         return written(rows.coalesce(1).sortWithinPartitions("place").mapInPandas(run, rows.schema), "leaders")
-    blocks, found = _in_blocks(rows, block), None
+    blocks, found = in_blocks(rows, block), None
     while blocks.filter("open").head(1):
         blocks = _round(blocks, threshold)
         found = _fresh(blocks) if found is None else found.unionAll(_fresh(blocks))

@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.functions.vectors import l2_normalize, mean_vectors, nearest, pairs_above
+from opinara.functions.vectors import l2_normalize, mean_vectors, nearest
 from opinara.operators.leaders import leaders, numbered
+from opinara.operators.similar import similar_pairs
 from opinara.operators.upsert import upsert
 from opinara.scratch import new_table, tidy, written
 
@@ -141,9 +142,10 @@ def recluster(content: DataFrame, vectors: DataFrame, threshold: float = MATCH,
 
 
 def topic_pairs(topics: DataFrame, min_sim: float) -> DataFrame:
-    return pairs_above(topics, min_sim)
+    return similar_pairs(topics, min_sim)
 
 
+@tidy
 def merge_topics(topics: DataFrame, pairs: DataFrame, threshold: float = MERGE) -> DataFrame:
     """(source, target, similarity): greedy merging of pairs from ``threshold`` on, best first, the
     smaller topic into the larger (equal: into the lesser id); a merged topic is in no later pair.
@@ -154,7 +156,7 @@ def merge_topics(topics: DataFrame, pairs: DataFrame, threshold: float = MERGE)
     """
     n = topics.select("topic_id", F.coalesce("content_count", F.lit(0)).alias("c"))
     p = pairs.filter(F.col("similarity") >= threshold)
-    p = p.join(n.select(F.col("topic_id").alias("topic_a"), F.col("c").alias("ca")), "topic_a").join(n.select(F.col("topic_id").alias("topic_b"), F.col("c").alias("cb")), "topic_b")
+    p = p.hint("merge").join(n.select(F.col("topic_id").alias("topic_a"), F.col("c").alias("ca")), "topic_a").hint("merge").join(n.select(F.col("topic_id").alias("topic_b"), F.col("c").alias("cb")), "topic_b")
     into_a = F.col("ca") >= F.col("cb")
     p = p.select(
         F.when(into_a, F.col("topic_b")).otherwise(F.col("topic_a")).alias("source"),
@@ -176,6 +178,7 @@ def merge_topics(topics: DataFrame, pairs: DataFrame, threshold: float = MERGE)
     return (done if done is not None else open_).select("source", "target", "similarity")
 
 
+@tidy
 def resolve_merges(merges: DataFrame) -> DataFrame:
     """(source, target) with chains followed to their end, by pointer jumping."""
     m = written(merges.select("source", "target"), "merge-chain")

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 from opinara import scratch
-from opinara.operators import leaders, topics
+from opinara.operators import leaders, similar, topics
 from pyspark.sql import functions as F
 
 
@@ -72,11 +72,30 @@ def test_jobs_do_not_follow_the_number_of_topics(spark):
 def test_far_blocks_are_not_multiplied(spark):
     v = clustered(7, 400, 16, 20, 0.02)
     rows = leaders.numbered(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>"), ["id"], "place")
-    blocks = leaders._in_blocks(rows, 20)
-    pairs = leaders._near_pairs(blocks, 0.9).count()
+    blocks = leaders.in_blocks(rows, 20)
+    pairs = leaders.near_pairs(blocks, 0.9).count()
     assert pairs < 0.5 * blocks.count() * (blocks.count() - 1) / 2
 
 
+def test_similar_pairs(spark):
+    """The pairs of a full product, at a high and a low threshold; far blocks are left out at the high one."""
+    v = clustered(8, 300, 16, 15, 0.03)
+    ids = np.random.default_rng(3).permutation(1000)[:300]
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)] + [(2000, None)], "topic_id long, centroid array<double>").repartition(3)
+    s = v @ v.T
+    for least in (0.9, 0.2):
+        got = [(r.topic_a, r.topic_b, round(r.similarity, 9)) for r in similar.similar_pairs(df, least, block=8).collect()]
+        want = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))): s[i, j] for i in range(300) for j in range(i) if s[i, j] >= least}
+        assert len(got) == len(want) and all(abs(want[a, b] - x) < 1e-8 for a, b, x in got)
+        assert [x for *_, x in got] == sorted((x for *_, x in got), reverse=True)
+    rows = leaders.numbered(df.dropna().withColumnRenamed("centroid", "vector"), ["topic_id"], "place")
+    blocks = leaders.in_blocks(rows, 8)
+    size = {r.block: r.n for r in blocks.selectExpr("block", "length(places) div 8 AS n").collect()}
+    products = sum(size[r.a] * size[r.b] for r in leaders.near_pairs(blocks, 0.9).collect()) + sum(n * n for n in size.values()) / 2
+    assert products < 0.2 * 300 * 300 / 2
+    assert similar.similar_pairs(df.limit(0), 0.5).count() == 0
+
+
 def test_scratch_of_clustering_goes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "scratch_root", lambda spark: f"file://{tmp_path}")
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(CASES["clusters"][0][:60])], "id long, vector array<double>")
