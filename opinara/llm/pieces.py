@@ -30,7 +30,7 @@ from opinara.llm.shingles import mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK, ALPHA, SEED = 50.0, 1.0, 7
 #: Characters that a worker segments at a time; units above LONG characters go one by one.
-CHUNK, LONG = 500_000, 200
+CHUNK, LONG = 250_000, 200
 #: Forward sums beyond this, or below one over it, are rescaled.
 FAR = 1e100
 _SPACE, _ODD = 0x2581, 0x10FFFF + 1
@@ -363,7 +363,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, alpha: float = ALPHA, seed:
                 flat = np.concatenate([np.zeros(0, np.int32), *[i for i in ids if i is not None]])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat), mask=pa.array([i is None for i in ids]))
                 yield pa.RecordBatch.from_arrays([*x.columns, lists], [*x.schema.names, to])
-        release()
+            release()
 
     return kept.mapInArrow(run, schema)
 
