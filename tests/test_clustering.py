@@ -62,11 +62,13 @@ def jobs(spark, group, f):
 
 
 def test_jobs_do_not_follow_the_number_of_topics(spark):
-    n = 320
+    """Twice the topics take as many jobs; one block after the other would take twice as many turns."""
     df = lambda v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(3)
-    few, many = df(clustered(5, n, 8, 12, 0.05)), df(np.eye(n))
-    count = [jobs(spark, name, lambda t=t: leaders.leaders(t, 0.75, 20).count()) for name, t in (("few", few), ("many", many))]
-    assert count[1] <= count[0] + 25  # one block after the other would take 16 turns of six jobs or more
+    count, found = [], []
+    for n in (160, 320):
+        table = df(np.eye(n))
+        count.append(jobs(spark, f"topics-{n}", lambda t=table: found.append(leaders.leaders(t, 0.75, 20).count())))
+    assert found == [160, 320] and abs(count[1] - count[0]) <= 8
 
 
 def test_far_blocks_are_not_multiplied(spark):
