@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.functions.text import SPACE, clean, clean_for_segmentation
-from opinara.scratch import tidy, written
+from opinara.operators.segment import WordTrie, cut_lists, with_column
+from opinara.scratch import BROADCAST_ROWS, tidy, written
 from opinara.skew import heavy_keys, salted_join
 
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
@@ -47,34 +49,24 @@ def tokenize(df: DataFrame, col: str, dictionary: DataFrame | None = None, mode:
 
     Without a dictionary (word) all is native.  With one, Han runs are cut by the longest match in
     it, single characters where nothing matches; ``mode="search"`` adds the shorter dictionary words
-    inside longer ones.
+    inside longer ones.  The dictionary goes to the tasks once, as a trie; one of more than
+    ``DICTIONARY_WORDS`` words is an error.
     """
     out = df.withColumn(to, latin_tokens(F.col(col)))
     if dictionary is None:
         return out
-    rows = dictionary.select("word").filter("length(word) > 1").distinct().limit(DICTIONARY_WORDS + 1).collect()
-    if len(rows) > DICTIONARY_WORDS:
+    # a null word is none; the bound is checked before anything is kept
+    words = dictionary.select("word").filter("length(word) > 1").distinct().limit(DICTIONARY_WORDS + 1).toArrow().column(0).to_pylist()
+    if len(words) > DICTIONARY_WORDS:
         raise ValueError("the dictionary is too large to send to every task")
-    words = frozenset(r.word for r in rows)
-    shared = df.sparkSession.sparkContext.broadcast((words, max(map(len, words), default=1)))
-    schema = out.schema
-
-    def cut(run: str) -> Iterator[str]:
-        known, longest = shared.value
-        i = 0
-        while i < len(run):
-            n = next((n for n in range(min(longest, len(run) - i), 1, -1) if run[i : i + n] in known), 1)
-            if mode == "search":
-                yield from (run[j : j + m] for m in range(2, n) for j in range(i, i + n - m + 1) if run[j : j + m] in known)
-            yield run[i : i + n]
-            i += n
+    shared = df.sparkSession.sparkContext.broadcast(WordTrie.of(words))
 
-    def run(batches: Iterator[pd.DataFrame]):
+    def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            b[to] = [[x for t in tokens for x in (cut(t) if t and "㐀" <= t[0] <= "鿿" else (t,))] for tokens in b[to]]
-            yield b
+            lists = b.column(b.schema.get_field_index(to)).to_pylist()
+            yield with_column(b, to, list(cut_lists(shared.value, lists, lambda t: "㐀" <= t[:1] <= "鿿", mode == "search")))
 
-    return out.mapInPandas(run, schema)
+    return out.mapInArrow(run, out.schema)
 
 
 def drop_stopwords(c: Column, words: list[str] | None = None) -> Column:
@@ -88,24 +80,50 @@ def drop_stopword_rows(tokens: DataFrame, words: DataFrame, col: str = "word") -
     return tokens.join(words.select(F.col("word").alias(col)).distinct().hint("merge"), col, "left_anti")
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it inside lambdas."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def word_counts(c: Column) -> Column:
+    """Array of (word, n): the distinct words of an array with their number, by word; nulls are no words."""
+
+    def of(words: Column, first: Column) -> Column:
+        # run j begins at place first[j] of the sorted words; the last entry is the place behind them
+        return F.transform(F.slice(first, 1, F.size(first) - 1), lambda i, j: F.struct(F.element_at(words, i).alias("word"), (F.element_at(first, j + 2) - i).alias("n")))
+
+    def places(words: Column) -> Column:
+        n = F.size(words)
+        return F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i == 1) | (i > n) | (F.try_element_at(words, i) != F.try_element_at(words, i - 1)))
+
+    # place 1 of no words is the place behind them, so an empty array has no run
+    return _once(F.sort_array(F.array_compact(c)), lambda words: _once(places(words), lambda first: of(words, first)))
+
+
 @tidy
 def keywords_tfidf(df: DataFrame, k: int, idf: DataFrame | None = None, id_col: str = "id", tokens: str = "tokens") -> DataFrame:
     """(id, word, weight, rank): the k words of highest tf * idf of each row.
 
     idf is log(rows / rows with the word), from this table or from a supplied one (word, idf).  Ties
-    go to the lesser word.
+    go to the lesser word.  A row is a document; a null id, and a null or empty array, give nothing.
+
+    Words are counted inside their row, so only distinct words leave it; of these, k a row are shuffled
+    where the idf of all words is small enough to be broadcast.
     """
-    words = df.select(id_col, F.explode(tokens).alias("word"))
-    tf = written(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")), "tfidf-counts")
-    sizes = df.select(id_col, F.size(tokens).alias("size"))
+    rows = df.filter(F.col(id_col).isNotNull()).select(id_col, F.monotonically_increasing_id().alias("_row"), F.size(tokens).alias("_size"), F.col(tokens).alias("_tokens"))
+    tf = written(rows.select(id_col, "_row", "_size", F.inline(word_counts(F.col("_tokens")))), "tfidf-counts")
     if idf is None:
-        total = df.agg(F.count(F.lit(1)).alias("total"))
-        idf = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("word", F.log(F.col("total") / F.col("df")).alias("idf"))  # one row
-    # the commonest words stand in nearly every row
-    both = salted_join(tf, idf, ["word"], heavy_keys(tf, ["word"]), by=F.xxhash64(id_col))
-    scored = both.hint("merge").join(sizes, id_col).select(id_col, "word", F.round(F.col("n") / F.col("size") * F.col("idf"), 6).alias("weight"))
-    best = W.partitionBy(id_col).orderBy(F.desc("weight"), "word")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        total = df.count()
+        idf = tf.groupBy("word").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
+    idf = written(idf.select("word", "idf"), "tfidf-idf")
+    if idf.count() <= BROADCAST_ROWS:
+        both = tf.join(F.broadcast(idf), "word")  # counted
+    else:
+        # the commonest words stand in nearly every row
+        both = salted_join(tf, idf, ["word"], heavy_keys(tf, ["word"]), by=F.col("_row"))
+    scored = both.select(id_col, "_row", "word", F.round(F.col("n") / F.col("_size") * F.col("idf"), 6).alias("weight"))
+    best = W.partitionBy("_row").orderBy(F.desc("weight"), "word")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("_row")
 
 
 def text_ranks(words: list[str], window: int, iters: int, damping: float) -> tuple[np.ndarray, np.ndarray]:

@@ -245,6 +245,34 @@ def token_table(t: Tables) -> DataFrame:
     return tokens.tokenize(t.raw("documents"), "text").select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("words"))
 
 
+_AZ = "abcdefghijklmnopqrstuvwxyz"
+#: A Han character for each letter: texts of the driver's tables as runs without spaces.
+_HAN = "".join(chr(0x4E00 + i) for i in range(len(_AZ)))
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS x FROM documents),
+d AS MATERIALIZED (SELECT translate(x, '{_AZ}', '{_HAN}') AS word FROM w WHERE length(x) > 1 GROUP BY x ORDER BY count(*) DESC, x LIMIT 100000), s AS (SELECT DISTINCT length(word) AS m FROM d),
+r AS MATERIALIZED (SELECT conv_id, turn, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '', 'g'), '{_AZ}', '{_HAN}') AS run FROM conversations),
+p AS MATERIALIZED (SELECT conv_id, turn, run, unnest(range(1, length(run) + 1)) AS i FROM r),
+h AS MATERIALIZED (SELECT conv_id, turn, i, m, word FROM p JOIN s ON i + m <= length(run) + 1 JOIN d ON word = substr(run, i, m)),
+b AS MATERIALIZED (SELECT conv_id, turn, i, coalesce(max(m), 1) AS n, coalesce(arg_max(word, m), any_value(substr(run, i, 1))) AS word FROM p LEFT JOIN h USING (conv_id, turn, i) GROUP BY conv_id, turn, i),
+k AS (SELECT * FROM b WHERE i = 1 UNION ALL SELECT b.* FROM k JOIN b ON b.conv_id = k.conv_id AND b.turn = k.turn AND b.i = k.i + k.n),
+e AS MATERIALIZED (SELECT * FROM k), g AS (SELECT conv_id, turn, i, n AS m, i AS j, word FROM e UNION ALL SELECT conv_id, turn, e.i, h.m, h.i, h.word FROM e JOIN h USING (conv_id, turn) WHERE h.m < e.n AND h.i >= e.i AND h.i + h.m <= e.i + e.n),
+x AS (SELECT conv_id, turn, count(*) AS n, md5(string_agg(word, ' ' ORDER BY i)) AS words FROM e GROUP BY ALL), y AS (SELECT conv_id, turn, count(*) AS n_search, md5(string_agg(word, ' ' ORDER BY i, m, j)) AS search_words FROM g GROUP BY ALL)
+SELECT conv_id, turn, coalesce(n, 0) AS n, coalesce(words, md5('')) AS words, coalesce(n_search, 0) AS n_search, coalesce(search_words, md5('')) AS search_words FROM r LEFT JOIN x USING (conv_id, turn) LEFT JOIN y USING (conv_id, turn)""")
+def dictionary_tokens(t: Tables) -> DataFrame:
+    """Turns without spaces, cut by the 100,000 commonest words of all documents, by longest match and in search mode."""
+    han = lambda c: F.translate(c, _AZ, _HAN)
+    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1))).alias("x")
+    counts = t.raw("documents").select(word).filter("length(x) > 1").groupBy("x").count()
+    words = counts.orderBy(F.desc("count"), "x").limit(100_000).select(han(F.col("x")).alias("word"))
+    runs = t.raw("conversations").select("conv_id", "turn", han(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", "")).alias("run"))
+    d = tokens.tokenize(tokens.tokenize(runs, "run", words), "run", words, "search", "found")
+    each = lambda c: (F.size(c).cast("long"), F.md5(F.array_join(c, " ")))
+    (n, a), (m, b) = each("tokens"), each("found")
+    return d.select("conv_id", "turn", n.alias("n"), a.alias("words"), m.alias("n_search"), b.alias("search_words"))
+
+
 @query(f"""WITH w AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents), s AS (SELECT doc_id, count(*) AS size FROM w GROUP BY doc_id),
 f AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL), d AS (SELECT word, ln((SELECT count(*) FROM documents) / count(*)::DOUBLE) AS idf FROM f GROUP BY word),
 x AS (SELECT f.doc_id, f.word, round(n / size::DOUBLE * idf, 6) AS weight FROM f JOIN d USING (word) JOIN s ON s.doc_id = f.doc_id),

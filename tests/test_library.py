@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from opinara.functions import text as T
 from opinara.functions import times
-from opinara.operators import adapters, graph, hot, sentiment, tokens, topics, upsert
+from opinara.operators import adapters, graph, hot, segment, sentiment, tokens, topics, upsert
 from opinara.plans.queries import QUERIES, SQL
 from opinara.sources import flatten, io, pages
 from pyspark.sql import functions as F
@@ -51,6 +51,66 @@ def test_tokens(spark):
     assert one(spark, None, lambda c: tokens.drop_stopwords(F.array(F.lit("我"), F.lit("喜欢"), F.lit("的"), F.lit("手机"), F.lit("　")))) == ["喜欢", "手机"]
 
 
+def _plain_cut(run: str, words: set[str], inner: bool) -> list[str]:
+    out, i = [], 0
+    while i < len(run):
+        n = max([m for m in range(2, len(run) - i + 1) if run[i : i + m] in words], default=1)
+        if inner:
+            out += [run[j : j + m] for m in range(2, n) for j in range(i, i + n - m + 1) if run[j : j + m] in words]
+        out.append(run[i : i + n])
+        i += n
+    return out
+
+
+@pytest.mark.parametrize("inner", [False, True])
+def test_dictionary_cuts_are_the_longest_matches(inner, monkeypatch):
+    rng = random.Random(11)
+    draw = lambda n: "".join(rng.choices("一丁七\U00020000", k=n))
+    words = [draw(rng.randint(2, 7)) for _ in range(150)]
+    runs = ["", "一", draw(3000), *[draw(rng.randint(0, 40)) for _ in range(200)]]
+    trie = segment.WordTrie.of(list(set(words)))
+    assert segment.cut_runs(trie, runs, inner) == [_plain_cut(r, set(words), inner) for r in runs]
+    # no word runs over the end of a run, and slices change nothing
+    lists = [None, [], ["ab", *runs[2:6]], *[[r] for r in runs]]
+    want = [x if x is None else [y for r in x for y in (_plain_cut(r, set(words), inner) if r != "ab" else ["ab"])] for x in lists]
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(segment, "SLICE", size)
+        assert list(segment.cut_lists(trie, lists, lambda t: t != "ab", inner)) == want
+    assert segment.cut_runs(segment.WordTrie.of([]), ["一丁", ""], inner) == [["一", "丁"], []]
+
+
+def test_two_million_words_fit_in_a_small_trie():
+    at = np.arange(2_000_000)
+    words = ["".join(map(chr, w)) for w in (0x4E00 + np.stack([at // 1600, at // 40 % 40, at % 40], 1)).tolist()]
+    trie = segment.WordTrie.of(words)
+    assert trie.edges.nbytes + trie.ends.nbytes < 20_000_000
+    assert segment.cut_runs(trie, [words[7] + "丁" + words[-1] + words[-1][:2]], False) == [[words[7], *_plain_cut("丁" + words[-1] + words[-1][:2], set(words), False)]]
+
+
+def test_dictionary_keeps_columns_and_its_bound(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "手机壳", None, [1.5]), (None, None, 7, None), (3, "", 8, [])], "id long, text string, n long, v array<double>")
+    words = spark.createDataFrame([("手机",), ("手机壳",), ("机壳",), (None,), ("手机",)], "word string")
+    got = [tuple(r) for r in tokens.tokenize(d, "text", words, "search").collect()]
+    assert got == [(1, "手机壳", None, [1.5], ["手机", "机壳", "手机壳"]), (None, None, 7, None, []), (3, "", 8, [], [])]
+    assert tokens.tokenize(d.limit(0), "text", words).collect() == []
+    assert tokens.tokenize(d, "text", words.limit(0)).first().tokens == ["手", "机", "壳"]
+    monkeypatch.setattr(tokens, "DICTIONARY_WORDS", 2)
+    with pytest.raises(ValueError):
+        tokens.tokenize(d, "text", words)
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_tfidf_by_row(spark, monkeypatch, limit):
+    """Equal ids are documents of their own, nulls and empty arrays give nothing, both joins agree."""
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", limit)
+    d = spark.createDataFrame([(1, ["b", "a", "b", None]), (1, ["a", "c"]), (2, []), (3, None), (None, ["z"])], "id long, tokens array<string>")
+    got = sorted((r.id, r["rank"], r.word, r.weight) for r in tokens.keywords_tfidf(d, 2).collect())
+    a, b = np.log(5 / 2), np.log(5)
+    assert got == [(1, 1, "b", round(2 / 4 * b, 6)), (1, 1, "c", round(b / 2, 6)), (1, 2, "a", round(a / 4, 6)), (1, 2, "a", round(a / 2, 6))]
+    idf = spark.createDataFrame([("a", 9.0), ("x", 1.0)], "word string, idf double")
+    assert sorted((r.id, r.word, r.weight) for r in tokens.keywords_tfidf(d, 2, idf).collect()) == [(1, "a", 2.25), (1, "a", 4.5)]
+
+
 def test_sentiment_rules(spark):
     tags = lambda t, s: spark.range(1).select(sentiment.emotion_tags(F.lit(t), F.lit(s)).alias("x")).first().x
     assert tags("谢谢, 太好了", None) == ["喜悦", "感激"] and tags("abc", "negative") == ["失望"]
@@ -124,7 +184,7 @@ def test_pages_and_exports(spark, tmp_path):
     assert io.export_sets(sets, str(tmp_path / "out")) == ["contents"]
 
 
-@pytest.mark.parametrize("name", ["topic_platform_report", "unify_content", "keywords_tfidf", "class_metrics", "nearest_topics", "wordcloud", "two_hour_window", "cluster_incremental", "embed"])
+@pytest.mark.parametrize("name", ["topic_platform_report", "unify_content", "keywords_tfidf", "process_contents", "dictionary_tokens", "class_metrics", "nearest_topics", "wordcloud", "two_hour_window", "cluster_incremental", "embed"])
 def test_sql(spark, sf, name):
     df = QUERIES[name](spark, sf)
     con = duckdb.connect()
