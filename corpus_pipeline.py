@@ -47,10 +47,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, with the proof that they decode to its text."""
-    vocabulary = pieces.Vocabulary()
-    coded = pieces.encode(docs.select("doc_id", "source", "text"), vocabulary)
-    back = pieces.decode(coded, vocabulary)
-    return back.select("doc_id", "source", "ids", F.size("ids").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = pieces.encode_and_verify(docs.select("doc_id", "source", "text"), pieces.Vocabulary())
+    return coded.select("doc_id", "source", "ids", F.size("ids").alias("n_pieces"), "lossless")
 
 
 STAGES = [

@@ -342,6 +342,30 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int] | None) -> str | None:
     return None if ids is None else decode_all(vocabulary, np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, at: int, by: int, alpha: float, seed: int, to: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, 256):
+            x = b.slice(start, 256)
+            ids = segment_texts(vocabulary, x.column(at).to_pylist(), x.column(by).to_pylist(), alpha, seed)
+            ends = np.cumsum([0 if i is None else len(i) for i in ids])
+            flat = np.concatenate([np.zeros(0, np.int32), *[i for i in ids if i is not None]])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat), mask=pa.array([i is None for i in ids]))
+            yield pa.RecordBatch.from_arrays([*x.columns, lists], [*x.schema.names, to])
+        release()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, at: int, to: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, 256):
+            x = b.slice(start, 256)
+            lists = x.column(at)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
+            texts = [y if ok else None for y, ok in zip(decode_all(vocabulary, flat, ends), lists.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(texts, pa.string())], [*x.schema.names, to])
+    release()
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", column: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with an array of sampled piece ids for each whole text.
 
@@ -353,19 +377,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, alpha: float = ALPHA, seed:
     schema = T.StructType([*kept.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     at, by = own.index(column), own.index(key)
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                x = b.slice(start, 256)
-                ids = segment_texts(shared.value, x.column(at).to_pylist(), x.column(by).to_pylist(), alpha, seed)
-                ends = np.cumsum([0 if i is None else len(i) for i in ids])
-                flat = np.concatenate([np.zeros(0, np.int32), *[i for i in ids if i is not None]])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat), mask=pa.array([i is None for i in ids]))
-                yield pa.RecordBatch.from_arrays([*x.columns, lists], [*x.schema.names, to])
-            release()
-
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lambda batches: _encoded(batches, shared.value, at, by, alpha, seed, to), schema)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str = "decoded") -> DataFrame:
@@ -375,16 +387,24 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str
     schema = T.StructType([*kept.schema.fields, T.StructField(to, T.StringType())])
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     at = own.index(column)
+    return kept.mapInArrow(lambda batches: _decoded(batches, shared.value, at, to), schema)
+
+
+def encode_and_verify(docs: DataFrame, vocabulary: Vocabulary, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", column: str = "text", to: str = "ids", proof: str = "lossless") -> DataFrame:
+    """:func:`encode` without the text but with a column ``proof``: whether the ids decode to it (null: to null).
+
+    Both steps of a batch are one worker's, so a task needs one Python process and no decoded text leaves it.
+    """
+    own = [c for c in docs.columns if c not in (to, proof)]
+    kept = docs.select(*[docs[f"`{c}`"] for c in own])
+    others = [c for c in own if c != column]
+    schema = T.StructType([*kept.drop(column).schema.fields, T.StructField(to, T.ArrayType(T.IntegerType())), T.StructField(proof, T.BooleanType())])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    at, by, ids = own.index(column), own.index(key), len(own)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                x = b.slice(start, 256)
-                lists = x.column(at)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                ends = np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
-                texts = [y if ok else None for y, ok in zip(decode_all(shared.value, flat, ends), lists.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(texts, pa.string())], [*x.schema.names, to])
-        release()
+        for b in _decoded(_encoded(batches, shared.value, at, by, alpha, seed, to), shared.value, ids, proof):
+            same = [x == y for x, y in zip(b.column(at).to_pylist(), b.column(ids + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(own.index(c)) for c in others], b.column(ids), pa.array(same, pa.bool_())], [*others, to, proof])
 
     return kept.mapInArrow(run, schema)

@@ -374,6 +374,18 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert {r.doc_id: r.ids for r in rows} == {r.doc_id: r.ids for r in again}
 
 
+def test_pieces_are_verified_where_they_are_made(spark):
+    v = pieces.Vocabulary()
+    rows = [(1, "The quick  brown", "x", None), (1, "The quick  brown", "x", None), (None, "\u2581 caf\u00e9\n", None, [1]), (3, None, "y", [2]), (4, "", "y", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, ids array<int>")
+    got = pieces.encode_and_verify(df, v)
+    assert got.columns == ["doc_id", "source", "ids", "lossless"]
+    want = pieces.decode(pieces.encode(df, v), v).select("doc_id", "source", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    key = lambda r: str(tuple(r))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and all(r.lossless for r in got.collect())
+    assert pieces.encode_and_verify(df.limit(0), v).collect() == []
+
+
 def test_pieces_are_drawn_in_proportion():
     v = pieces.Vocabulary()
     weight = {p: 1 / (max(0, r) + pieces.RANK) for p, r in zip(v.pieces, v.ranks, strict=True) if p}
