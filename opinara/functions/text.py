@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 NOT_URL = rf"[^{SPACE}<>\"{{}}|\\^`\[\]]"
+# The ranges of emoji.
 EMOJI = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{1F900}-\x{1F9FF}"
     r"\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}\x{1F000}-\x{1F02F}\x{1F0A0}-\x{1F0FF}]+"

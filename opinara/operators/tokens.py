@@ -20,7 +20,7 @@ HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
 TOKEN = rf"[\p{{L}}\p{{N}}_&&[^{HAN}]]+|[{HAN}]+"
 #: Dictionary words that are broadcast to the tasks at most.
 DICTIONARY_WORDS = 2_000_000
-# The stop words that every list starts with; longer lists come as a table or a file.
+# The stop words that every list starts with, without punctuation, which is no token; longer lists come as a table or a file.
 STOPWORDS = (
     "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要",
     "去", "你", "会", "着", "没有", "看", "好", "自己", "这", "那", "他", "她", "它", "们", "这个", "那个", "什么", "怎么",
