@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as X
 from opinara.functions import times
-from opinara.operators import graph, hot, sentiment, tokens, topics, upsert
+from opinara.operators import graph, hot, sentiment, topics, upsert
 from opinara.plans.fixtures import Tables, rounded, with_sql
 from opinara.sources import pages
 
@@ -90,10 +90,15 @@ def recent_hot(t: Tables) -> DataFrame:
     return hot.recent_hot(h, 12, ["p1", "p2"]).select("page_id")
 
 
-@query("""SELECT 'r' || o_orderkey % 4 AS run_batch_id, count(*) AS hot, count(*) FILTER (o_orderkey % 2 = 0) AS matched, count(*) AS keywords, count(*) AS crawls FROM orders GROUP BY 1""")
+@query("""WITH r AS (SELECT 'r' || o_orderkey % 4 AS run_batch_id, 'hot' AS k FROM orders UNION ALL SELECT 'r' || l_orderkey % 4, 'matched' FROM lineitem WHERE l_linenumber % 2 = 0
+UNION ALL SELECT 'r' || p_partkey % 4, 'keywords' FROM part UNION ALL SELECT 'r' || s_suppkey % 4, 'crawls' FROM supplier)
+SELECT run_batch_id, count(*) FILTER (k = 'hot') AS hot, count(*) FILTER (k = 'matched') AS matched, count(*) FILTER (k = 'keywords') AS keywords, count(*) FILTER (k = 'crawls') AS crawls FROM r GROUP BY 1""")
 def run_summary(t: Tables) -> DataFrame:
-    o = t.raw("orders").select(F.concat(L("r"), (F.col("o_orderkey") % 4).cast("string")).alias("run_batch_id"), (F.col("o_orderkey") % 2 == 0).alias("is_match"))
-    return hot.run_summary(o, o, o, o)
+    def runs(table: str, key: str) -> DataFrame:
+        return t.raw(table).withColumn("run_batch_id", F.concat(L("r"), (F.col(key) % 4).cast("string")))
+
+    analysis = runs("lineitem", "l_orderkey").withColumn("is_match", F.col("l_linenumber") % 2 == 0)
+    return hot.run_summary(runs("orders", "o_orderkey"), analysis, runs("part", "p_partkey"), runs("supplier", "s_suppkey"))
 
 
 @query("SELECT o_orderkey AS log_id FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 40")
@@ -172,10 +177,18 @@ def simplified(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.md5(X.to_simplified(F.col("text"), {"e": "艾", "a": "阿", "é": "e"})).alias("simple"))
 
 
-@query(r"""WITH q AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: contains(x, '=') AND NOT ends_with(x, '=')) AS p FROM pages)
-SELECT page_id, CAST(len(list_distinct(list_transform(p, lambda x: split_part(x, '=', 1)))) AS INTEGER) AS n FROM q""")
+@query(r"""WITH u AS (SELECT page_id, split_part(url, '#', 1) AS u FROM pages), a AS (SELECT page_id, concat(u, CASE WHEN contains(u, '?') THEN '&' ELSE '?' END, 'id=', page_id, '&q=caf%C3%A9+', page_id % 3, '&id=again&none=#top') AS url FROM u),
+q AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: contains(x, '=') AND substr(x, strpos(x, '=') + 1) <> '') AS p FROM a),
+e AS (SELECT page_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM q),
+f AS (SELECT page_id, url_decode(replace(split_part(x, '=', 1), '+', ' ')) AS k, arg_min(url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' ')), i) AS v FROM e GROUP BY ALL)
+SELECT page_id, CAST(count(*) AS INTEGER) AS n, string_agg(k || '=' || v, '&' ORDER BY k) AS params FROM f GROUP BY page_id""")
 def url_parameters(t: Tables) -> DataFrame:
-    return pages.url_params(t.raw("pages")).select("page_id", F.size("params").alias("n"))
+    # coded letters and spaces, a name that stands twice, one without a value, a fragment
+    base = F.substring_index("url", "#", 1)
+    more = (L("id="), F.col("page_id").cast("string"), L("&q=caf%C3%A9+"), (F.col("page_id") % 3).cast("string"), L("&id=again&none=#top"))
+    p = t.raw("pages").select("page_id", F.concat(base, F.when(base.contains("?"), "&").otherwise("?"), *more).alias("url"))
+    named = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], L("="), e["value"]))
+    return pages.url_params(p).select("page_id", F.size("params").alias("n"), F.array_join(named, "&").alias("params"))
 
 
 @query(r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id END AS id, CASE WHEN page_id % 2 = 0 THEN '' END AS note FROM pages""")
@@ -238,9 +251,9 @@ def unclustered(t: Tables) -> DataFrame:
     return topics.unclustered(t.content, t.processed).select("id")
 
 
-@query(f"""{with_sql("content")} SELECT id, CASE WHEN title <> '' THEN substr(title, 1, 50) ELSE '话题-未命名' END AS name, 'emerging' AS status FROM content""")
+@query(f"""{with_sql("content")} SELECT id, CASE WHEN id % 2 = 0 THEN 'a/b/c/d/k' || id WHEN title <> '' THEN substr(title, 1, 50) ELSE '话题-未命名' END AS name, 'emerging' AS status FROM content""")
 def new_topic_names(t: Tables) -> DataFrame:
-    seeds = t.content.select("id", F.col("id").alias("topic_id"), F.array().cast("array<string>").alias("keywords"), "title")
+    seeds = t.content.select("id", F.col("id").alias("topic_id"), F.when(F.col("id") % 2 == 0, F.array(*map(L, "abcd"), F.concat(L("k"), F.col("id").cast("string")), L("sixth"))).otherwise(F.array().cast("array<string>")).alias("keywords"), "title")
     return topics.new_topics(seeds).select("id", "name", "status")
 
 
@@ -280,9 +293,3 @@ def checked_relations(t: Tables) -> DataFrame:
 @query("""WITH b AS (SELECT o_custkey % 50 AS topic_id, o_orderkey AS built_at FROM orders) SELECT topic_id, max(built_at) AS built_at FROM b GROUP BY topic_id""")
 def latest_builds(t: Tables) -> DataFrame:
     return graph.latest_build(t.raw("orders").select((F.col("o_custkey") % 50).alias("topic_id"), F.col("o_orderkey").alias("built_at")))
-
-
-@query(r"""SELECT conv_id * 1000 + turn AS id, CASE WHEN text IS NULL THEN 'error' ELSE 'completed' END AS status FROM conversations""")
-def process_comments(t: Tables) -> DataFrame:
-    c = t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
-    return tokens.process_comments(c).select("id", "status")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions import text as T
 from opinara.functions import vectors as V
 from opinara.operators import adapters, graph, hot, sentiment, tokens, topics, upsert
-from opinara.plans import more_queries, payload_queries, product_queries
+from opinara.plans import more_queries, payload_queries, product_queries, rule_queries
 from opinara.plans.fixtures import NOW, Tables, rounded, with_sql
 from opinara.sources import flatten, pages
 from opinara.streaming import streams
@@ -64,9 +64,10 @@ def topic_comments(t: Tables) -> DataFrame:
 
 
 @query(f"""{with_sql("content")}, {STATS} SELECT topic_id, content_count, round(mean_score, 6) AS mean_score, pos, neu, neg, likes, comments, shares, interaction, first_at, last_at,
-  {DOMINANT} AS dominant, {HEAT.format('content_count * 5 + interaction * 0.01')} AS heat FROM stats""")
+  {DOMINANT} AS dominant, {HEAT.format('content_count * 5 + interaction * 0.01')} AS heat, peak_at FROM stats JOIN (SELECT topic_id, arg_min(d, (-n, d)) AS peak_at FROM
+  (SELECT topic_id, CAST(original_created_at AS DATE) AS d, count(*) AS n FROM content WHERE topic_id IS NOT NULL GROUP BY ALL) GROUP BY topic_id) USING (topic_id)""")
 def topic_stats(t: Tables) -> DataFrame:
-    return rounded(topics.heat_level(topics.dominant_sentiment(topics.topic_content_stats(t.content))).drop("peak_at"), "mean_score")
+    return rounded(topics.heat_level(topics.dominant_sentiment(topics.topic_content_stats(t.content))), "mean_score")
 
 
 @query(f"""{with_sql("content")} SELECT topic_id, string_agg(platform || '=' || n, ',' ORDER BY platform) AS platforms FROM (SELECT topic_id, platform, count(*) AS n FROM content WHERE topic_id IS NOT NULL GROUP BY ALL) GROUP BY topic_id""")
@@ -135,11 +136,11 @@ def normalize_slang(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.md5(T.normalize_slang(F.col("text"))).alias("slang"))
 
 
-def _clean_sql(c: str = "text", to: str = "md5({}) AS cleaned") -> str:
+def _clean_sql(c: str = "text", to: str = "md5({}) AS cleaned", source: str = "documents") -> str:
     for n in ("html", "urls", "emails", "mentions", "hashtags", "emojis"):
         c = _re(c, n)
     # repeats: runs by position over the characters, as the engine has no back-references
-    return f"""WITH a AS (SELECT doc_id, {_slang_sql(c)} AS s FROM documents),
+    return f"""WITH a AS (SELECT doc_id, {_slang_sql(c)} AS s FROM {source}),
 u AS (SELECT doc_id, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS i FROM a WHERE s <> ''),
 g AS (SELECT doc_id, ch, i, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM u),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ch, run ORDER BY i) AS n FROM g),
@@ -316,7 +317,7 @@ def process_stats(t: Tables) -> DataFrame:
     return tokens.process_stats(t.content, t.processed)
 
 
-def _process_sql() -> str:
+def _process_sql(source: str, title: str | None, k: int) -> str:
     stop = "[" + ", ".join(_lit(w) for w in tokens.STOPWORDS) + "]"
 
     def words(c: str) -> str:
@@ -324,14 +325,29 @@ def _process_sql() -> str:
             c = _re(c, n)
         return rf"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({stop}, x))"
 
-    body, title = "coalesce(text, '')", "split_part(coalesce(text, ''), chr(10), 1)"
-    return f"""WITH cleaned AS ({_clean_sql(body, "CAST(length({}) AS INTEGER) AS char_count")}), w AS (SELECT doc_id, text IS NULL AS none, {words(body)} AS words, {words(title)} AS titles FROM documents)
-SELECT doc_id AS id, CASE WHEN none THEN 'error' ELSE 'completed' END AS status, char_count, CAST(len(words) AS INTEGER) AS word_count, CAST(least(10, len(list_distinct(list_concat(words, titles)))) AS INTEGER) AS n_keywords FROM w JOIN cleaned USING (doc_id)"""
+    body = "coalesce(text, '')"
+    return f"""WITH cleaned AS ({_clean_sql(body, "md5({0}) AS clean_content, CAST(length({0}) AS INTEGER) AS char_count", source)}),
+w AS MATERIALIZED (SELECT doc_id, text IS NULL AS none, {words(body)} AS words, {words(title) if title else "CAST([] AS VARCHAR[])"} AS titles FROM {source}),
+t AS (SELECT doc_id, unnest(list_concat(titles, words)) AS word FROM w), z AS (SELECT doc_id, count(*) AS size FROM t GROUP BY doc_id), f AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY ALL),
+d AS (SELECT word, ln((SELECT count(*) FROM w) / count(*)::DOUBLE) AS idf FROM f GROUP BY word), x AS (SELECT f.doc_id, f.word, round(n / size::DOUBLE * idf, 6) AS weight FROM f JOIN d USING (word) JOIN z ON z.doc_id = f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) AS rank FROM x), k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY rank) AS keywords FROM r WHERE rank <= {k} GROUP BY doc_id)
+SELECT doc_id AS id, CASE WHEN none THEN 'error' ELSE 'completed' END AS status, clean_content, char_count, md5(array_to_string(words, ' ')) AS words, CAST(len(words) AS INTEGER) AS word_count, coalesce(keywords, '') AS keywords FROM w JOIN cleaned USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
-@query(_process_sql())
+def _process_columns(df: DataFrame) -> DataFrame:
+    joined = lambda c: F.array_join(c, " ")
+    return df.select("id", "status", F.md5("clean_content").alias("clean_content"), "char_count", F.md5(joined("content_tokens")).alias("words"), "word_count", joined("keywords").alias("keywords"))
+
+
+@query(_process_sql("documents", "split_part(coalesce(text, ''), chr(10), 1)", 10))
 def process_contents(t: Tables) -> DataFrame:
-    return tokens.process_contents(t.content.select("id", "title", "content")).select("id", "status", "char_count", "word_count", F.size("keywords").alias("n_keywords"))
+    return _process_columns(tokens.process_contents(t.content.select("id", "title", "content")))
+
+
+@query(_process_sql("(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)", None, 5))
+def process_comments(t: Tables) -> DataFrame:
+    c = t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    return _process_columns(tokens.process_comments(c))
 
 
 def _tags_sql() -> str:
@@ -394,9 +410,11 @@ def class_metrics(t: Tables) -> DataFrame:
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
-@query(f"SELECT vec_id, round({_NORM}, 6) AS norm, round(embedding[1]::DOUBLE / greatest({_NORM}, 1e-12), 6) AS first FROM embeddings")
+@query(f"""WITH n AS (SELECT vec_id, {_NORM} AS n, embedding AS e FROM embeddings), c AS (SELECT vec_id, n, unnest(e)::DOUBLE AS x, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS i FROM n)
+SELECT vec_id, round(n, 6) AS norm, i, CASE WHEN abs(x / greatest(n, 1e-12)) < 5e-7 THEN 0 ELSE round(x / greatest(n, 1e-12), 6) END AS x FROM c""")
 def l2_norm(t: Tables) -> DataFrame:
-    return t.raw("embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.l2_normalize(F.col("embedding"))[0], 6).alias("first"))
+    e = t.raw("embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.posexplode(V.l2_normalize(F.col("embedding"))).alias("i", "x"))
+    return e.withColumn("x", F.when(F.abs("x") < 5e-7, 0.0).otherwise(F.round("x", 6)))
 
 
 _CENTROIDS = """e AS (SELECT CAST(label AS BIGINT) AS topic_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -585,11 +603,12 @@ def dedupe_keywords(t: Tables) -> DataFrame:
     return hot.dedupe_keywords(t.raw("documents").select(F.col("doc_id").alias("keyword_id"), F.concat(F.lit("k"), (F.col("doc_id") % 97).cast("string")).alias("keyword"), ((F.col("doc_id") % 10) / 10.0).alias("confidence")))
 
 
-@query("""SELECT p.p_partkey AS keyword_id, p.p_size + coalesce(u.n, 0) AS search_count FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) u ON u.l_partkey = p.p_partkey""")
+@query("""SELECT p.p_partkey AS keyword_id, p.p_size + coalesce(u.n, 0) AS search_count, greatest(u.d, CASE WHEN p_partkey % 3 = 0 THEN DATE '1997-01-01' END) AS last_used_at
+FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n, max(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY l_partkey) u ON u.l_partkey = p.p_partkey""")
 def bump_usage(t: Tables) -> DataFrame:
-    k = t.raw("part").select(F.col("p_partkey").alias("keyword_id"), F.col("p_size").cast("long").alias("search_count"), F.lit(None).cast("date").alias("last_used_at"))
+    k = t.raw("part").select(F.col("p_partkey").alias("keyword_id"), F.col("p_size").cast("long").alias("search_count"), F.when(F.col("p_partkey") % 3 == 0, F.lit("1997-01-01").cast("date")).alias("last_used_at"))
     u = t.raw("lineitem").select(F.col("l_partkey").alias("keyword_id"), F.to_date("l_shipdate").alias("used_at"))
-    return hot.bump_usage(k, u).select("keyword_id", "search_count")
+    return hot.bump_usage(k, u)
 
 
 @query("""WITH e AS (SELECT user_id, user_id % 13 AS other, event_type FROM events) SELECT DISTINCT up_id, fan_id FROM (SELECT user_id AS up_id, other AS fan_id FROM e WHERE event_type = 'view' UNION ALL SELECT other, user_id FROM e WHERE event_type = 'click')""")
@@ -670,6 +689,6 @@ def two_hour_window(t: Tables) -> DataFrame:
     return streams.stream_hot_counts(e, "2 hours", "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-for registered in (payload_queries.QUERIES, more_queries.QUERIES, product_queries.QUERIES):
+for registered in (payload_queries.QUERIES, more_queries.QUERIES, product_queries.QUERIES, rule_queries.QUERIES):
     QUERIES |= {name: (lambda f: lambda spark, sf_dir: f(Tables(spark, sf_dir)))(f) for name, (f, _) in registered.items()}
     SQL |= {name: sql for name, (_, sql) in registered.items()}
