@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.functions import times
-from opinara.operators import graph, hot, tokens, topics
+from opinara.functions import text, times
+from opinara.operators import graph, hot, sentiment, tokens, topics
 from opinara.plans.fixtures import Tables, with_sql
 from opinara.plans.more_queries import _PARTS, _parts
 from opinara.sources import pages
@@ -125,6 +125,38 @@ def lookup_by_table(t: Tables) -> DataFrame:
     return hot.lookup(_parts(t), keyword_id=ids, run_batch_id="b1").select("keyword_id", "keyword")
 
 
+# ---- texts: hashtags that go, keywords by a given idf, a seeded sample
+
+
+@query(f"""WITH d AS (SELECT doc_id, concat('#', replace(split_part(coalesce(text, ''), chr(10), 1), ' ', '# #'), '# ', coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(t, '#([^#{text.SPACE}]+)#?', '', 'g')) AS bare FROM d""")
+def hashtags_removed(t: Tables) -> DataFrame:
+    """Texts behind their first line as hashtags, which go with their words."""
+    body = F.coalesce("text", L(""))
+    tags = F.concat(L("#"), F.replace(F.substring_index(body, "\n", 1), L(" "), L("# #")), L("# "), body)
+    return t.raw("documents").select("doc_id", F.md5(text.hashtags(tags, keep=False)).alias("bare"))
+
+
+@query(f"""WITH w AS (SELECT conv_id * 1000 + turn AS id, {_WORDS} FROM conversations), s AS (SELECT id, count(*) AS size FROM w GROUP BY id), f AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL),
+b AS (SELECT item_id, {_WORDS} FROM benchmark), d AS (SELECT word, ln((SELECT count(*) FROM benchmark) / count(DISTINCT item_id)::DOUBLE) AS idf FROM b GROUP BY word),
+x AS (SELECT id, word, round(n / size::DOUBLE * idf, 6) AS weight FROM f JOIN d USING (word) JOIN s USING (id)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS INTEGER) AS rank FROM x)
+SELECT id, word, weight, rank FROM r WHERE rank <= 5""")
+def keywords_by_given_idf(t: Tables) -> DataFrame:
+    """Keywords of turns, weighed by the benchmark's idf; words that it has not are none."""
+    b = t.raw("benchmark")
+    each = b.select(F.explode(F.array_distinct(tokens.latin_tokens(F.col("text")))).alias("word"))
+    idf = each.groupBy("word").agg(F.log(L(float(b.count())) / F.count(L(1))).alias("idf"))
+    turns = t.raw("conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return tokens.keywords(tokens.tokenize(turns, "text").select("id", "tokens"), "tfidf", 5, idf=idf)
+
+
+@query("""WITH r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY md5(doc_id || ':7'), doc_id) - 1 AS r, least(150, count(*) OVER ()) AS n FROM documents)
+SELECT id, CASE WHEN r < floor(n * 7 / 10) THEN 'train' WHEN r < floor(n * 7 / 10) + floor(n * 2 / 10) THEN 'val' ELSE 'test' END AS split FROM r WHERE r < n""")
+def split_sample(t: Tables) -> DataFrame:
+    """A seeded sample of at most 150 rows, the feature, in three parts."""
+    return sentiment.split_dataset(t.raw("documents").select(F.col("doc_id").alias("id")), (7, 2, 1), seed=7, most=150).select("id", "split")
+
+
 # ---- topics
 
 
