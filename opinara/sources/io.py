@@ -78,10 +78,19 @@ READERS = {"json": "json", "csv": "csv", "parquet": "parquet", "jsonl": "json"}
 
 
 def source_files(spark: SparkSession, root: str, platforms: list[str]) -> DataFrame:
-    """(path, bytes, platform, type) of the files under ``root``; the platform is the first that the path names."""
+    """(path, bytes, file, platform, type) of the files under ``root``; the platform is the first that ``file`` names.
+
+    ``file`` is the path below ``root``.  A folder that is named like a file, as Spark writes one (``x.csv/part-0.csv``),
+    is one file: its parts have the folder's name as ``file``.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
-    found = F.coalesce(*[F.when(F.contains(F.lower("path"), F.lit(p)), p) for p in platforms], F.lit("unknown"))
-    return files.select("path", "bytes", found.alias("platform"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("type"))
+    below = F.substr("path", F.lit(len(base) + 1))
+    folder = F.regexp_extract(below, r"(?i)^(.*?\.([a-z0-9]+))/(?:.*/)?[^/]*\.\2$", 1)
+    file = F.coalesce(F.nullif(folder, F.lit("")), below)
+    found = F.coalesce(*[F.when(F.contains(F.lower("file"), F.lit(p.lower())), p) for p in platforms], F.lit("unknown"))
+    return files.withColumn("file", file).withColumns({"platform": found, "type": F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))})
 
 
 def file_records(spark: SparkSession, root: str) -> DataFrame:
@@ -96,15 +105,17 @@ def file_records(spark: SparkSession, root: str) -> DataFrame:
             if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
                 raise
             continue
-        out.append(rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("records")))
+        counts = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("records"))
+        # the path comes as a URI, so blanks are encoded; a plus sign is itself
+        out.append(counts.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))))
     none = spark.createDataFrame([], "path string, records long")
     return reduce(DataFrame.unionByName, out, none)
 
 
 def source_file_stats(spark: SparkSession, root: str, platforms: list[str]) -> DataFrame:
-    """(platform, type, files, bytes, records) of the files under ``root``; records of other types are null."""
+    """(platform, type, files, bytes, records) of the files under ``root``, part files as one (:func:`source_files`); records of other types are null."""
     same = lambda c: F.regexp_replace(c, r"^file:/+", "/")
     files = source_files(spark, root, platforms).withColumn("path", same("path"))
     both = files.hint("merge").join(file_records(spark, root).withColumn("path", same("path")), "path", "left")
     records = F.when(F.col("type").isin(list(READERS)), F.coalesce("records", F.lit(0)))
-    return both.groupBy("platform", "type").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum(records).alias("records"))
+    return both.groupBy("platform", "type").agg(F.count_distinct("file").alias("files"), F.sum("bytes").alias("bytes"), F.sum(records).alias("records"))

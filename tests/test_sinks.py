@@ -78,6 +78,16 @@ def test_inventory(spark, tmp_path):
     assert got == {("xhs", "parquet"): (1, 7), ("wb", "csv"): (1, 2), ("wb", "jsonl"): (1, 3), ("unknown", "bin"): (1, None)}
 
 
+def test_inventory_of_folders_of_parts(spark, tmp_path):
+    """Parts named "part" are not of the platform "part", nor is all below a root named like one; a folder of parts is one file."""
+    root = f"{tmp_path}/nation part+50%"
+    spark.range(7).repartition(3).write.parquet(f"{root}/region.parquet")
+    spark.range(4).repartition(2).write.option("header", True).csv(f"{root}/events.csv")
+    spark.range(5).repartition(2).write.parquet(f"{root}/plain")
+    got = {(r.platform, r.type): (r.files, r.records) for r in io.source_file_stats(spark, root, ["region", "nation", "part", "events"]).collect()}
+    assert got == {("region", "parquet"): (1, 7), ("events", "csv"): (1, 4), ("part", "parquet"): (2, 5)}
+
+
 def test_pairs_beyond_the_broadcast_limit(spark):
     rows, d = spark.range(50).repartition(3), spark.range(37).select(F.col("id").alias("d"))
     for limit in (100, 10):
