@@ -7,6 +7,9 @@ give an empty text as the first step of a pipeline should.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +51,11 @@ def slang_pairs(extra: dict[str, str] | None = None) -> list[tuple[str, str]]:
     return sorted((SLANG | (extra or {})).items(), key=lambda p: -len(p[0]))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip_html(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
@@ -80,14 +88,39 @@ def to_simplified(c: Column, table: dict[str, str]) -> Column:
     return F.translate(c, "".join(table), "".join(table.values())) if table else c
 
 
+def _any_of(keys: list[str]) -> str:
+    """A pattern for the longest of ``keys`` at a place; first characters are told apart by halves of their range."""
+    firsts = sorted({k[0] for k in keys})
+    if len(firsts) <= 3:
+        rests = ("|".join(re.escape(k[1:]) for k in sorted(keys, key=lambda k: -len(k)) if k[0] == c) for c in firsts)
+        return "|".join(f"{re.escape(c)}(?:{r})" for c, r in zip(firsts, rests, strict=True))
+    sides = firsts[: len(firsts) // 2], firsts[len(firsts) // 2 :]
+    return "|".join(f"(?=[{re.escape(side[0])}-{re.escape(side[-1])}])(?:{_any_of([k for k in keys if k[0] in side])})" for side in sides)
+
+
+def _slang_reach(pairs: list[tuple[str, str]]) -> dict[str, list[int]]:
+    """For each key, the pairs that may find something in a text because the key stands in it, by their place.
+
+    These are the keys inside it, and the later ones that a replacement may give rise to: they have a
+    character of what it puts in, or any, where it puts in nothing.
+    """
+    after = [[j for j in range(i + 1, len(pairs)) if not v or set(v) & set(pairs[j][0])] for i, (_, v) in enumerate(pairs)]
+    reach: list[set[int]] = []
+    for i in reversed(range(len(pairs))):
+        reach.insert(0, {i}.union(*[reach[j - i - 1] for j in after[i]]))
+    return {k: sorted(set().union(*[reach[i] for i, (o, _) in enumerate(pairs) if o in k])) for k, _ in pairs}
+
+
 def normalize_slang(c: Column, extra: dict[str, str] | None = None) -> Column:
     """Slang replaced longest first, each replacement seen by the later ones.
 
-    A chain of replacements begins with a key of the text itself, so a text without any key is
-    left alone after one look."""
-    some = F.greatest(*[F.contains(c, F.lit(k)) for k, _ in slang_pairs(extra) if not any(o in k for o, _ in slang_pairs(extra) if o != k)], F.lit(False))
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in slang_pairs(extra)])
-    return F.when(some, F.aggregate(pairs, c, lambda text, p: F.replace(text, p["k"], p["v"]))).otherwise(c)
+    One look at a text finds the keys in it; only the pairs that these keys can lead to are replaced."""
+    pairs = [(k, v) for k, v in slang_pairs(extra) if k]
+    reach = F.create_map(*[x for k, at in _slang_reach(pairs).items() for x in (F.lit(k), F.array(*[F.lit(i) for i in at]))])
+    keys, values = (F.array(*[F.lit(x) for x in column]) for column in zip(*pairs, strict=True))
+    found = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_any_of([k for k, _ in pairs])}))"), F.lit(1)))
+    places = lambda text: F.array_sort(F.array_distinct(F.flatten(F.transform(found(text), lambda k: F.element_at(reach, k)))))
+    return once(c, lambda text: F.aggregate(places(text), text, lambda t, i: F.replace(t, F.element_at(keys, i + 1), F.element_at(values, i + 1))))
 
 
 def squeeze_repeats(c: Column, n: int = 3) -> Column:
