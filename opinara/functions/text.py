@@ -56,31 +56,45 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
+def _where(c: Column, test: Callable[[Column], Column], f: Callable[[Column], Column]) -> Column:
+    """``f`` of the texts that pass a cheap test; it leaves the others as they are."""
+    return once(c, lambda x: F.when(test(x), f(x)).otherwise(x))
+
+
+def _has(*parts: str) -> Callable[[Column], Column]:
+    return lambda x: F.greatest(*[F.contains(x, F.lit(p)) for p in parts], F.lit(False))
+
+
 def strip_html(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]+>", "")
+    return _where(c, _has("<"), lambda x: F.regexp_replace(x, "<[^>]+>", ""))
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, rf"https?://{NOT_URL}+|www\.{NOT_URL}+", "")
+    return _where(c, _has("http", "www."), lambda x: F.regexp_replace(x, rf"https?://{NOT_URL}+|www\.{NOT_URL}+", ""))
 
 
 def strip_emails(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WORD}.+\-]+@[{WORD}\-]+\.[{WORD}.\-]+", "")
+    # a run of name characters is tried once, from where it or the search begins
+    name = rf"[{WORD}.+\-]"
+    return _where(c, _has("@"), lambda x: F.regexp_replace(x, rf"(?:\G|(?<!{name})){name}++@[{WORD}\-]++\.[{WORD}.\-]++", ""))
 
 
 def strip_mentions(c: Column) -> Column:
-    return F.regexp_replace(c, rf"@[{WORD}]+", "")
+    return _where(c, _has("@"), lambda x: F.regexp_replace(x, rf"@[{WORD}]+", ""))
 
 
 def hashtags(c: Column, keep: bool = True) -> Column:
     """Hashtags without their marks and topic suffix, or removed."""
     pattern = rf"#([^#{SPACE}]+)#?"
-    return F.regexp_replace(F.regexp_replace(c, pattern, "$1"), r"\[话题\]", "") if keep else F.regexp_replace(c, pattern, "")
+    plain = _where(c, _has("#"), lambda x: F.regexp_replace(x, pattern, "$1" if keep else ""))
+    return F.replace(plain, F.lit("[话题]"), F.lit("")) if keep else plain
 
 
 def strip_emojis(c: Column) -> Column:
     """Emoji, and the bracketed ones that some platforms write as text."""
-    return F.regexp_replace(F.regexp_replace(c, EMOJI, ""), r"\[[^\]]{1,10}R\]", "")
+    # the two ranges hold all of them
+    plain = _where(c, lambda x: F.rlike(x, F.lit(r"[\x{2600}-\x{26FF}\x{1F000}-\x{1FAFF}]")), lambda x: F.regexp_replace(x, EMOJI, ""))
+    return _where(plain, _has("R]"), lambda x: F.regexp_replace(x, r"\[[^\]]{1,10}R\]", ""))
 
 
 def to_simplified(c: Column, table: dict[str, str]) -> Column:
@@ -133,11 +147,12 @@ def strip_space(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{SPACE}]+", " ")
+    # a single blank is left where it is; the wide ranges only tell other characters apart sooner
+    return F.regexp_replace(c, rf"[\x00-\x20\x{{80}}-\x{{3000}}&&[{SPACE}]]{{2,}}|[\x00-\x1F\x{{80}}-\x{{3000}}&&[{SPACE}]]", " ")
 
 
 def strip_punct(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[^{WORD}{SPACE}]", "")
+    return F.regexp_replace(c, rf"[^{WORD}{SPACE}]+", "")
 
 
 #: The steps of :func:`clean` in order.  Each can be switched off.
