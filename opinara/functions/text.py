@@ -143,7 +143,8 @@ def squeeze_repeats(c: Column, n: int = 3) -> Column:
 
 
 def strip_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    ends = lambda x: F.rlike(F.substring(x, 1, 1), F.lit(f"[{SPACE}]")) | F.rlike(F.substring(x, -1, 1), F.lit(f"[{SPACE}]"))
+    return _where(c, ends, lambda x: F.regexp_replace(x, rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++$", ""))
 
 
 def collapse_space(c: Column) -> Column:

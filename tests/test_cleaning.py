@@ -10,12 +10,12 @@ from opinara.functions import text as T
 
 def test_long_runs_are_read_once(spark):
     n = 400_000
-    rows = [(1, "a" * n + "@"), (3, "a@b.c+d@e.f g.h@i-j.k@l")]
-    d = spark.createDataFrame(rows, "id int, t string").select("id", F.md5(T.strip_emails("t")).alias("m"), T.strip_emails(F.col("t")).alias("e"))
+    rows = [(1, "a" * n + "@"), (2, "x" + " " * n + "y "), (3, "a@b.c+d@e.f g.h@i-j.k@l")]
+    d = spark.createDataFrame(rows, "id int, t string").select("id", F.md5(T.strip_emails("t")).alias("m"), F.length(T.strip_space(F.col("t"))).alias("n"), T.strip_emails(F.col("t")).alias("e"))
     began = time.time()
     got = {r.id: r for r in d.collect()}
     assert time.time() - began < 30
-    assert got[3].e == " @l"
+    assert got[2].n == n + 2 and got[3].e == " @l" and got[1].n == n + 1
 
 
 def test_slang_against_a_plain_loop(spark):
