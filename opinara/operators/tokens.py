@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opinara.functions.text import SPACE, clean, clean_for_segmentation
+from opinara.functions.text import SPACE, clean, clean_for_segmentation, once
 from opinara.operators.segment import WordTrie, cut_lists, with_column
 from opinara.scratch import BROADCAST_ROWS, tidy, written
 from opinara.skew import heavy_keys, salted_join
@@ -71,8 +71,9 @@ def tokenize(df: DataFrame, col: str, dictionary: DataFrame | None = None, mode:
 
 def drop_stopwords(c: Column, words: list[str] | None = None) -> Column:
     """Tokens that are neither stop words nor blank."""
-    stop = F.array(*[F.lit(w) for w in (STOPWORDS if words is None else words)])
-    return F.filter(c, lambda x: ~F.array_contains(stop, x) & (F.regexp_replace(x, f"[{SPACE}]", "") != ""))
+    stop = list(STOPWORDS if words is None else words)
+    # many literals are one hash set
+    return F.filter(c, lambda x: ~x.isin(stop) & F.rlike(x, F.lit(f"[^{SPACE}]")))
 
 
 def drop_stopword_rows(tokens: DataFrame, words: DataFrame, col: str = "word") -> DataFrame:
@@ -80,11 +81,6 @@ def drop_stopword_rows(tokens: DataFrame, words: DataFrame, col: str = "word") -
     return tokens.join(words.select(F.col("word").alias(col)).distinct().hint("merge"), col, "left_anti")
 
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` names it inside lambdas."""
-    return F.element_at(F.transform(F.array(c), f), 1)
-
-
 def word_counts(c: Column) -> Column:
     """Array of (word, n): the distinct words of an array with their number, by word; nulls are no words."""
 
@@ -97,7 +93,7 @@ def word_counts(c: Column) -> Column:
         return F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i == 1) | (i > n) | (F.try_element_at(words, i) != F.try_element_at(words, i - 1)))
 
     # place 1 of no words is the place behind them, so an empty array has no run
-    return _once(F.sort_array(F.array_compact(c)), lambda words: _once(places(words), lambda first: of(words, first)))
+    return once(F.sort_array(F.array_compact(c)), lambda words: once(places(words), lambda first: of(words, first)))
 
 
 @tidy
@@ -188,11 +184,14 @@ def _processed(df: DataFrame, body: str, k: int, title: str | None, dictionary:
         out = out.withColumn(to, clean(F.col(c))).withColumn(f"_seg_{to}", clean_for_segmentation(F.col(c)))
         out = tokenize(out, f"_seg_{to}", dictionary, to=f"{to.removeprefix('clean_')}_tokens")
         out = out.withColumn(f"{to.removeprefix('clean_')}_tokens", drop_stopwords(F.col(f"{to.removeprefix('clean_')}_tokens"))).drop(f"_seg_{to}")
+    # counts and status come before the join, which then does not carry the raw text for them
+    out = out.withColumns({"char_count": F.length("clean_content"), "word_count": F.size("content_tokens"), "status": F.when(F.col(body).isNull(), "error").otherwise("completed")})
     every = F.concat(F.col("title_tokens"), F.col("content_tokens")) if title else F.col("content_tokens")
     words = keywords_tfidf(out.select("id", every.alias("tokens")), k)
     lists = words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
-    out = out.join(lists.hint("merge"), "id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-    return out.withColumns({"char_count": F.length("clean_content"), "word_count": F.size("content_tokens"), "status": F.when(F.col(body).isNull(), "error").otherwise("completed")})
+    joined = out.join(lists.hint("merge"), "id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    last = ["char_count", "word_count", "status"]
+    return joined.select(*[c for c in joined.columns if c not in last], *last)
 
 
 def process_contents(df: DataFrame, k: int = 10, dictionary: DataFrame | None = None) -> DataFrame:

@@ -341,7 +341,9 @@ def _process_columns(df: DataFrame) -> DataFrame:
 
 @query(_process_sql("documents", "split_part(coalesce(text, ''), chr(10), 1)", 10))
 def process_contents(t: Tables) -> DataFrame:
-    return _process_columns(tokens.process_contents(t.content.select("id", "title", "content")))
+    # as in the SQL, the documents alone: the content table's other columns cost joins that carry the texts
+    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
+    return _process_columns(tokens.process_contents(d))
 
 
 @query(_process_sql("(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)", None, 5))

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
+from opinara.operators import tokens
 
 
 def test_long_runs_are_read_once(spark):
@@ -39,3 +40,10 @@ def test_slang_takes_few_pairs():
     reach = T._slang_reach(pairs)
     assert [pairs[i][0] for i in reach["hhhh"]] == ["hhhh", "hhh", "hh"]
     assert all(len(reach[k]) == 1 for k in ("mm", "dd", "py", "6", "em"))
+
+
+def test_stop_words_are_a_set(spark):
+    d = spark.createDataFrame([(["的", "a", None, " ", "b"],), (None,), ([],)], "w array<string>")
+    out = d.select(tokens.drop_stopwords(F.col("w")).alias("w"))
+    assert [r.w for r in out.collect()] == [["a", "b"], None, []]
+    assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()
