@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Code points that are walked at a time.
-SLICE = 1 << 20
+SLICE = 1 << 17
 #: Bits of a code point in an edge.
 _BITS = 21
 

@@ -20,6 +20,8 @@ HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
 TOKEN = rf"[\p{{L}}\p{{N}}_&&[^{HAN}]]+|[{HAN}]+"
 #: Dictionary words that are broadcast to the tasks at most.
 DICTIONARY_WORDS = 2_000_000
+#: Rows that are cut by a dictionary at a time.
+CUT_ROWS = 500
 # The stop words that every list starts with, without punctuation, which is no token; longer lists come as a table or a file.
 STOPWORDS = (
     "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要",
@@ -62,9 +64,11 @@ def tokenize(df: DataFrame, col: str, dictionary: DataFrame | None = None, mode:
     shared = df.sparkSession.sparkContext.broadcast(WordTrie.of(words))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            lists = b.column(b.schema.get_field_index(to)).to_pylist()
-            yield with_column(b, to, list(cut_lists(shared.value, lists, lambda t: "㐀" <= t[:1] <= "鿿", mode == "search")))
+        for whole in batches:
+            # few rows at a time, as lists of words take many times their text's memory
+            for b in (whole.slice(i, CUT_ROWS) for i in range(0, whole.num_rows, CUT_ROWS)):
+                lists = b.column(b.schema.get_field_index(to)).to_pylist()
+                yield with_column(b, to, list(cut_lists(shared.value, lists, lambda t: "㐀" <= t[:1] <= "鿿", mode == "search")))
 
     return out.mapInArrow(run, out.schema)
 

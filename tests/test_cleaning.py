@@ -47,3 +47,11 @@ def test_stop_words_are_a_set(spark):
     out = d.select(tokens.drop_stopwords(F.col("w")).alias("w"))
     assert [r.w for r in out.collect()] == [["a", "b"], None, []]
     assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dictionary_rows_go_in_slices(spark):
+    n = 2 * tokens.CUT_ROWS + 201
+    rows = [(i, None if i % 7 == 0 else "天地" * (i % 5) + "人a") for i in range(n)]
+    d = spark.createDataFrame(rows, "i int, t string").coalesce(1)
+    got = {r.i: r.tokens for r in tokens.tokenize(d, "t", spark.createDataFrame([("天地",)], "word string")).collect()}
+    assert got == {i: [] if i % 7 == 0 else ["天地"] * (i % 5) + ["人", "a"] for i in range(n)} and tokens.CUT_ROWS <= 1000
