@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from opinara.functions.text import SPACE, clean, clean_for_segmentation, once
+from opinara.functions.text import SPACE, clean, clean_for_segmentation
 from opinara.operators.segment import WordTrie, cut_lists, with_column
 from opinara.scratch import BROADCAST_ROWS, tidy, written
 from opinara.skew import heavy_keys, salted_join
@@ -22,6 +24,8 @@ TOKEN = rf"[\p{{L}}\p{{N}}_&&[^{HAN}]]+|[{HAN}]+"
 DICTIONARY_WORDS = 2_000_000
 #: Rows that are cut by a dictionary at a time.
 CUT_ROWS = 500
+#: Distinct words of rows that are weighed at a time, and the length to which a word's idf goes to all tasks.
+WEIGHED, KNOWN_LENGTH = 1 << 20, 100
 # The stop words that every list starts with, without punctuation, which is no token; longer lists come as a table or a file.
 STOPWORDS = (
     "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要",
@@ -85,19 +89,46 @@ def drop_stopword_rows(tokens: DataFrame, words: DataFrame, col: str = "word") -
     return tokens.join(words.select(F.col("word").alias(col)).distinct().hint("merge"), col, "left_anti")
 
 
-def word_counts(c: Column) -> Column:
-    """Array of (word, n): the distinct words of an array with their number, by word; nulls are no words."""
+def _slices(b: pa.RecordBatch, lists: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``most`` entries of its lists, or of one row."""
+    ends, at = np.cumsum(np.asarray(pc.list_value_length(b.column(lists)))), 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, to - at)
+        at = to
 
-    def of(words: Column, first: Column) -> Column:
-        # run j begins at place first[j] of the sorted words; the last entry is the place behind them
-        return F.transform(F.slice(first, 1, F.size(first) - 1), lambda i, j: F.struct(F.element_at(words, i).alias("word"), (F.element_at(first, j + 2) - i).alias("n")))
 
-    def places(words: Column) -> Column:
-        n = F.size(words)
-        return F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i == 1) | (i > n) | (F.try_element_at(words, i) != F.try_element_at(words, i - 1)))
+def word_counts(lists: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Each list's distinct words and their numbers, in any order; nulls are no words."""
+    coded = lists.flatten().dictionary_encode()
+    code, words = np.asarray(pc.fill_null(coded.indices, -1)).astype(np.int64), max(len(coded.dictionary), 1)
+    row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    found, n = np.unique((row * words + code)[code >= 0], return_counts=True)
+    ends = np.append(0, np.cumsum(np.bincount(found // words, minlength=len(lists)))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(found % words))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))
 
-    # place 1 of no words is the place behind them, so an empty array has no run
-    return once(F.sort_array(F.array_compact(c)), lambda words: once(places(words), lambda first: of(words, first)))
+
+def best_words(row: np.ndarray, tf: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int) -> np.ndarray:
+    """Places of the words that may be among the ``k`` best of their row by tf * idf to six digits, then by word.
+
+    Word i is number at[i] of the known words, which are in order; -1 is none of them, and the last idf is the most
+    that such a word may have (NaN: it goes).  Known words are left out where k of their row are before them for
+    certain, others where k known ones are.
+    """
+    most = tf * idf[at]
+    known = np.flatnonzero(at >= 0)
+    known = known[np.lexsort((at[known], -most[known], row[known]))]
+    r, w, i = row[known], most[known], np.arange(len(known))
+    n = np.bincount(row) if len(row) else np.zeros(0, int)
+    here = np.bincount(r, minlength=len(n))
+    kth, full = np.full(len(n), -np.inf), here >= k
+    kth[full] = w[(np.cumsum(here) - here)[full] + k - 1]
+    # two weights more than a unit of the sixth digit apart keep their order when they are rounded
+    least = kth - 2e-6
+    first = np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))[: len(known)]
+    equal = i - np.maximum.accumulate(np.where(first, i, 0))
+    other = np.flatnonzero(at < 0)
+    return np.concatenate([known[(w >= least[r]) & (equal < k)], other[most[other] >= least[row[other]]]])
 
 
 @tidy
@@ -107,21 +138,63 @@ def keywords_tfidf(df: DataFrame, k: int, idf: DataFrame | None = None, id_col:
     idf is log(rows / rows with the word), from this table or from a supplied one (word, idf).  Ties
     go to the lesser word.  A row is a document; a null id, and a null or empty array, give nothing.
 
-    Words are counted inside their row, so only distinct words leave it; of these, k a row are shuffled
-    where the idf of all words is small enough to be broadcast.
+    Words are counted inside their row.  The idf of the words that stand in most rows (``BROADCAST_ROWS`` of them at
+    most) goes to all tasks, so a row weighs these where it lies and only its best leave it; of the other
+    words those leave it that may still be among the k best, and meet their idf in a join.
     """
+    spark = df.sparkSession
     rows = df.filter(F.col(id_col).isNotNull()).select(id_col, F.monotonically_increasing_id().alias("_row"), F.size(tokens).alias("_size"), F.col(tokens).alias("_tokens"))
-    tf = written(rows.select(id_col, "_row", "_size", F.inline(word_counts(F.col("_tokens")))), "tfidf-counts")
+    schema = StructType().add(id_col, df.schema[id_col].dataType).add("_row", "long")
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for b in (part for whole in batches for part in _slices(whole, "_tokens", WEIGHED)):
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *word_counts(b.column("_tokens"))], [id_col, "_row", "_size", "_words", "_n"])
+
+    counted = StructType([*schema.fields]).add("_size", "integer").add("_words", ArrayType(StringType())).add("_n", ArrayType(IntegerType()))
+    tf = written(rows.filter("_size > 0").mapInArrow(count, counted), "tfidf-counts")
+    counts = tf.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_rows"))
     if idf is None:
-        total = df.count()
-        idf = tf.groupBy("word").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
-    idf = written(idf.select("word", "idf"), "tfidf-idf")
-    if idf.count() <= BROADCAST_ROWS:
-        both = tf.join(F.broadcast(idf), "word")  # counted
+        idf = counts.select("word", "_rows", F.log(F.lit(float(df.count())) / F.col("_rows")).alias("idf"), F.lit(True).alias("_plain"))
     else:
-        # the commonest words stand in nearly every row
-        both = salted_join(tf, idf, ["word"], heavy_keys(tf, ["word"]), by=F.col("_row"))
-    scored = both.select(id_col, "_row", "word", F.round(F.col("n") / F.col("_size") * F.col("idf"), 6).alias("weight"))
+        given = written(idf.select("word", F.col("idf").cast("double")), "tfidf-given").filter("word IS NOT NULL")
+        given = given.withColumn("_rows", F.lit(1).cast("long")) if given.count() <= BROADCAST_ROWS else given.hint("merge").join(counts, "word")
+        # a word with two rows has two weights
+        plain = (F.count(F.lit(1)).over(W.partitionBy("word")) == 1) & (F.abs("idf") < float("inf"))
+        idf = given.select("word", "_rows", "idf", F.coalesce(plain, F.lit(False)).alias("_plain"))
+    idf = written(idf.withColumn("_class", F.when(F.col("_plain") & (F.length("word") <= KNOWN_LENGTH), F.floor(F.log2("_rows") * 8)).otherwise(-1)), "tfidf-idf")
+    # classes of about equal numbers of rows, a few hundred at any size, as long as they fit
+    least, n = 0, 0
+    for c, more in idf.groupBy("_class").count().orderBy(F.desc("_class")).collect():
+        n += more
+        if n > BROADCAST_ROWS:
+            least = c + 1
+            break
+    known = idf.filter(F.col("_class") >= least).select("word", "idf").toArrow().sort_by("word")
+    others = idf.filter(F.col("_class") < least).select("word", "idf")
+    number, top = others.agg(F.count(F.lit(1)), F.max("idf")).first()
+    top = np.nan if not number else np.inf if top is None or np.isnan(top) else top
+    shared = spark.sparkContext.broadcast((known.column("word").combine_chunks(), np.append(known.column("idf").to_numpy(), top)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]):
+        names, weights = shared.value
+        for b in (part for whole in batches for part in _slices(whole, "_words", WEIGHED)):
+            words = b.column("_words").flatten()
+            row = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column("_words"))))
+            share = np.asarray(b.column("_n").flatten()) / np.asarray(b.column("_size"))[row]
+            at = np.asarray(pc.fill_null(pc.index_in(words, value_set=names.cast(words.type)), -1))
+            best = best_words(row, share, at, weights, k)
+            of, at = pa.array(row[best]), at[best]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(of), b.column("_row").take(of), words.take(pa.array(best)), pa.array(share[best]), pa.array(weights[at], mask=at < 0)],
+                [id_col, "_row", "word", "_tf", "idf"],
+            )
+
+    both = tf.mapInArrow(weigh, StructType([*schema.fields]).add("word", "string").add("_tf", "double").add("idf", "double"))
+    if number:
+        both = written(both, "tfidf-best")
+        rest = both.filter("idf IS NULL").drop("idf")
+        both = both.filter("idf IS NOT NULL").unionByName(salted_join(rest, others, ["word"], heavy_keys(rest, ["word"]), by=F.col("_row")))
+    scored = both.select(id_col, "_row", "word", F.round(F.col("_tf") * F.col("idf"), 6).alias("weight"))
     best = W.partitionBy("_row").orderBy(F.desc("weight"), "word")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("_row")
 

@@ -111,6 +111,49 @@ def test_tfidf_by_row(spark, monkeypatch, limit):
     assert sorted((r.id, r.word, r.weight) for r in tokens.keywords_tfidf(d, 2, idf).collect()) == [(1, "a", 2.25), (1, "a", 4.5)]
 
 
+def _plain_tfidf(d, k, idf=None):
+    """Every word of every row is joined and ranked."""
+    w = d.filter("id IS NOT NULL").select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("word")).filter("word IS NOT NULL")
+    f = w.groupBy("id", "size", "word").agg(F.count(F.lit(1)).alias("n"))
+    idf = f.groupBy("word").agg(F.log(F.lit(float(d.count())) / F.count(F.lit(1))).alias("idf")) if idf is None else idf
+    x = f.join(idf, "word").select("id", "word", F.round(F.col("n") / F.col("size") * F.col("idf"), 6).alias("weight"))
+    return x.withColumn("rank", F.expr("row_number() OVER (PARTITION BY id ORDER BY weight DESC, word)")).filter(F.col("rank") <= k)
+
+
+def _skewed_rows(n: int) -> list[tuple]:
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"w{x}" for x in (rng.pareto(0.7, int(rng.integers(1, 120))) * 4).astype(int) if x < 3000]) for i in range(n)]
+    return [*rows, (n, None), (n + 1, []), (n + 2, [None, "w1", "x" * 300, "x" * 300]), (n + 3, ["x" * 300]), (None, ["w1"])]
+
+
+def _rows_of(df):
+    return sorted(tuple(map(str, (r.id, r["rank"], r.word, r.weight))) for r in df.collect())
+
+
+def test_tfidf_rows_weigh_their_words(spark, monkeypatch):
+    """With more words than are broadcast, a row still sends few of its words; the result is that of all of them."""
+    sent, write = {}, tokens.written
+    monkeypatch.setattr(tokens, "written", lambda df, name: sent.setdefault(name, write(df, name)))
+    d = spark.createDataFrame(_skewed_rows(300), "id long, tokens array<string>").repartition(3).cache()
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", 200)
+    monkeypatch.setattr(tokens, "WEIGHED", 500)
+    got = tokens.keywords_tfidf(d, 4)
+    pairs = d.filter("id IS NOT NULL").select(F.explode(F.array_distinct("tokens"))).count()
+    assert got.count() <= sent["tfidf-best"].count() < pairs / 2
+    assert sent["tfidf-idf"].count() > 200
+    assert _rows_of(got) == _rows_of(_plain_tfidf(d, 4))
+
+
+@pytest.mark.parametrize("limit", [0, 40, 300, 100_000])
+@pytest.mark.parametrize("given", [False, True])
+def test_tfidf_is_that_of_all_words(spark, monkeypatch, limit, given):
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", limit)
+    d = spark.createDataFrame(_skewed_rows(80), "id long, tokens array<string>").cache()
+    odd = [("w1", float("nan")), ("w2", float("inf")), ("w3", None), ("w4", -5.0), ("w5", 1.0), ("w5", 2.0), (None, 9.0), ("none", 1.0), ("w7", 0.0)]
+    idf = spark.createDataFrame([*odd, *((f"w{i}", 50 / i) for i in range(8, 250))], "word string, idf double") if given else None
+    assert _rows_of(tokens.keywords_tfidf(d, 7, idf)) == _rows_of(_plain_tfidf(d, 7, idf))
+
+
 def test_sentiment_rules(spark):
     tags = lambda t, s: spark.range(1).select(sentiment.emotion_tags(F.lit(t), F.lit(s)).alias("x")).first().x
     assert tags("谢谢, 太好了", None) == ["喜悦", "感激"] and tags("abc", "negative") == ["失望"]
